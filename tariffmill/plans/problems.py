@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import badrows, packed
+from ..operators import badrows, drift, packed
 from ..session import table
 
 
@@ -22,6 +22,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_values(spark, sf_dir, least=2).select("table_name", "row_id", "pos", "val")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "file_metadata").select("file_id", "hospital_id", "file_seq")
+    return drift.changes(table(spark, sf_dir, "header_mappings"), files)
+
+
+def p4_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.unified(table(spark, sf_dir, "header_mappings"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = badrows.judge_lines(table(spark, sf_dir, "raw_rows"), suspects=True)
     items = badrows.judge_codes(table(spark, sf_dir, "charge_items").select("item_id", "code", "code_type"), suspects=True)
@@ -42,5 +51,5 @@ def p5_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row_id", "file_id", *(F.nullif(F.get("cells", F.lit(k)), F.lit("")).alias(n) for k, n in enumerate(names)))
 
 
-QUERIES = {"p2_found": p2_found, "p2_values": p2_values, "p5_found": p5_found, "p5_sound": p5_sound}
+QUERIES = {"p2_found": p2_found, "p2_values": p2_values, "p4_found": p4_found, "p4_columns": p4_columns, "p5_found": p5_found, "p5_sound": p5_sound}
 ORACLES: dict[str, str] = {}
