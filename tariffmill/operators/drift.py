@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # The canonical fields, with words that people use for each beside its own name.
 FIELD_WORDS = {
     "description": "description desc text txt item procedure service line name",
@@ -159,13 +161,13 @@ def columns_of(mappings: DataFrame) -> DataFrame:
 
 def changes(mappings: DataFrame, files: DataFrame) -> DataFrame:
     """(file_id, change, old_header, new_header) of every file against its series' previous file."""
-    cols = columns_of(mappings)
+    cols = cut(columns_of(mappings))  # read by every step below: without a cut each would plan it anew
     order = previous_files(files).filter("prev_id is not null").select("file_id", "prev_id")
     keep = ["file_id", "name", "ord", "source_header", "value_type", "field", "wide"]
     new = cols.join(order.select("file_id"), "file_id", "left_semi").select(keep)
     old = cols.withColumnRenamed("file_id", "prev_id").join(order, "prev_id").select(keep)
     n, o = new.select("file_id", "name", F.struct(*keep[1:]).alias("n")), old.select("file_id", "name", F.struct(*keep[1:]).alias("o"))
-    both = n.join(o, ["file_id", "name"], "full").select("file_id", "n", "o")
+    both = cut(n.join(o, ["file_id", "name"], "full").select("file_id", "n", "o"))
 
     # 2. equal canonical fields among what is left; several columns of one field pair up in the order of their places
     def ranked(side: str) -> DataFrame:
@@ -174,6 +176,7 @@ def changes(mappings: DataFrame, files: DataFrame) -> DataFrame:
         return rest.withColumn("k", F.when(F.col("field").isNotNull(), F.row_number().over(w)).otherwise(-F.xxhash64(f"{side}.name")))
 
     fields = ranked("n").join(ranked("o"), ["file_id", "field", "k"], "full").select("file_id", "n", "o")
+    fields = cut(fields)
 
     # 3. unknown names against the fields left over
     together = beside(cols)
@@ -186,6 +189,7 @@ def changes(mappings: DataFrame, files: DataFrame) -> DataFrame:
     edges = edges.withColumn("weight", edge_weight()("unknown", "known", "n.name", "o.name", "n.value_type", "o.value_type", "n.ord", "o.ord"))
     edges = edges.filter(F.col("weight") >= LEAST_WEIGHT)
     pairs = edges.select("file_id", F.col("o.name").alias("old_id"), F.col("n.name").alias("new_id"), "weight").groupBy("file_id").applyInPandas(match_file, EDGE)
+    pairs = cut(pairs)
     renamed = pairs.join(lone_n.withColumn("new_id", F.col("n.name")), ["file_id", "new_id"]).join(lone_o.withColumn("old_id", F.col("o.name")), ["file_id", "old_id"])
     taken_n = pairs.select(F.col("file_id").alias("f"), F.col("new_id").alias("x"))
     taken_o = pairs.select(F.col("file_id").alias("f"), F.col("old_id").alias("y"))
