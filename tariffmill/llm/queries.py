@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import encoding
+from . import canonical, encoding
 
 
 def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +18,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_restored(spark, sf_dir).select("table_name", "row_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_restored": p3_restored}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["plan_name", "plan_category", "methodology_type"]
+    found = canonical.assign(table(spark, sf_dir, "payer_rates"), "rate_id", fields, table(spark, sf_dir, "canonical_values"))
+    return found.selectExpr("row_id as rate_id", "field_name", "entry_id")
+
+
+QUERIES = {"p6_found": p6_found, "p3_found": p3_found, "p3_restored": p3_restored}
 ORACLES: dict[str, str] = {}
