@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import canonical, encoding
+from . import address, canonical, encoding
 
 
 def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,5 +24,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("row_id as rate_id", "field_name", "entry_id")
 
 
-QUERIES = {"p6_found": p6_found, "p3_found": p3_found, "p3_restored": p3_restored}
+def p7_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The location of every record: one row per record with the id of its class."""
+    return address.locate(table(spark, sf_dir, "file_metadata"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return address.pairs(p7_locations(spark, sf_dir))
+
+
+QUERIES = {"p7_found": p7_found, "p7_locations": p7_locations, "p6_found": p6_found, "p3_found": p3_found, "p3_restored": p3_restored}
 ORACLES: dict[str, str] = {}
