@@ -149,7 +149,7 @@ def variants(word: Column) -> Column:
 def edits(a: str, b: str) -> Column:
     @F.pandas_udf("int")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([distance(*p) for p in zip(x, y)], dtype="int32")
+        return pd.Series([None if p is None or q is None else distance(p, q) for p, q in zip(x, y)], dtype="Int32")
 
     return run(a, b)
 

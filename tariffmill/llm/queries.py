@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import address, canonical, encoding
+from . import address, canonical, encoding, names
 
 
 def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,5 +33,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return address.pairs(p7_locations(spark, sf_dir))
 
 
-QUERIES = {"p7_found": p7_found, "p7_locations": p7_locations, "p6_found": p6_found, "p3_found": p3_found, "p3_restored": p3_restored}
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct text with the id of its payer."""
+    return names.resolve(table(spark, sf_dir, "payer_rates").select("raw_payer_name", "payer_name"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.found(p1_entities(spark, sf_dir))
+
+
+QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p7_found": p7_found, "p7_locations": p7_locations, "p6_found": p6_found, "p3_found": p3_found, "p3_restored": p3_restored}
 ORACLES: dict[str, str] = {}
