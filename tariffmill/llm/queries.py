@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import address, canonical, encoding, names
+from . import address, canonical, contamination, encoding, names
 
 
 def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,5 +42,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.found(p1_entities(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p7_found": p7_found, "p7_locations": p7_locations, "p6_found": p6_found, "p3_found": p3_found, "p3_restored": p3_restored}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p8_found": p8_found, "p1_found": p1_found, "p1_entities": p1_entities, "p7_found": p7_found, "p7_locations": p7_locations, "p6_found": p6_found, "p3_found": p3_found, "p3_restored": p3_restored}
 ORACLES: dict[str, str] = {}
