@@ -24,7 +24,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -63,10 +63,12 @@ def fold(text: str) -> str:
     return "".join(c for c in text if not unicodedata.combining(c))
 
 
-def _near(word: str, known: dict[str, str]) -> str | None:
+@lru_cache(maxsize=200_000)
+def _near(word: str, regions: bool) -> str | None:
     """The group of a known long word within one edit (two for nine letters and more)."""
     if len(word) < 4:
         return None
+    known = REGION_OF if regions else ORG_OF
     best = min(((distance(word, w), w) for w in known if len(w) > 3 and abs(len(w) - len(word)) < 3), default=(9, ""))
     return known[best[1]] if best[0] <= (2 if len(word) > 8 else 1) else None
 
@@ -101,7 +103,7 @@ def profile(name: str) -> dict:
         for i in list(free):
             if len(free) == 1 and any(k and k[0] == "region" for k in kinds):
                 break
-            r, o = _near(words[i], REGION_OF), _near(words[i], ORG_OF)
+            r, o = _near(words[i], True), _near(words[i], False)
             if r and not any(k and k[0] == "region" for k in kinds):
                 kinds[i] = ("region", r)
             elif o:
@@ -180,7 +182,7 @@ def resolve(rows: DataFrame, columns: tuple[str, str] = ("raw_payer_name", "paye
     texts = reduce(DataFrame.unionByName, [pairs.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("name")).agg(F.sum("n").alias("n")) for c in ("x", "y")])
     texts = texts.groupBy("name").agg(F.sum("n").alias("n"))
     table = {r.symbol: r.letter for r in encoding.garbles(encoding.learn(texts, "name")).limit(encoding.BROADCAST_SYMBOLS).collect()}
-    p = cut(settle_regions(profiles(texts, table)))
+    p = cut(settle_regions(cut(profiles(texts, table))))  # profiles are read five times
 
     # round 1: spellings of a lead within its region
     leads = p.filter("lead is not null and region is not null").groupBy("region", "lead").agg(F.sum("n").alias("n"))
