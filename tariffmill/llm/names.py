@@ -185,15 +185,16 @@ def resolve(rows: DataFrame, columns: tuple[str, str] = ("raw_payer_name", "paye
     p = cut(settle_regions(cut(profiles(texts, table))))  # profiles are read five times
 
     # round 1: spellings of a lead within its region
-    leads = p.filter("lead is not null and region is not null").groupBy("region", "lead").agg(F.sum("n").alias("n"))
+    leads = p.filter("lead is not null and region is not null and not nick").groupBy("region", "lead").agg(F.sum("n").alias("n"))
     mains = join_spellings(leads, ["region"], "lead")
-    p = cut(p.join(mains, ["region", "lead"], "left"))
+    p = cut(p.join(mains, ["region", "lead"], "left").withColumn("main", F.when(~F.col("nick"), F.col("main"))))
     by_key = p.filter("main is not null").select(F.col("key").alias("a"), hub("lead", "region", "main").alias("b"))
+    by_key = by_key.unionByName(p.filter("nick and lead is not null").select(F.col("key").alias("a"), hub("nick", "region", "lead").alias("b")))
     # an id counts where its texts do not name several leads
     ids = p.filter("id is not null").groupBy("id").agg(F.count_distinct("region").alias("r"), F.count_distinct("main").alias("m")).filter("r <= 1 and m <= 1").select("id")
     by_id = p.join(ids, "id").select(F.col("key").alias("a"), hub("id", "id").alias("b"))
     # two texts of one row name one payer unless their profiles speak against it
-    part = lambda s: p.select(F.col("name").alias(s), F.col("key").alias(f"{s}k"), F.col("main").alias(f"{s}m"), F.col("region").alias(f"{s}r"))
+    part = lambda s: p.select(F.col("name").alias(s), F.col("key").alias(f"{s}k"), F.coalesce("main", "lead").alias(f"{s}m"), F.col("region").alias(f"{s}r"))
     beside = pairs.filter("x <> y").join(part("x"), "x").join(part("y"), "y").filter("xr is null or yr is null or xr = yr")
     beside = beside.filter(F.col("xm").isNull() | F.col("ym").isNull() | (F.col("xm") == F.col("ym")) | alike("xm", "ym")).select(F.col("xk").alias("a"), F.col("yk").alias("b"))
     edges = by_key.unionByName(by_id).unionByName(beside)
@@ -212,9 +213,9 @@ def resolve(rows: DataFrame, columns: tuple[str, str] = ("raw_payer_name", "paye
 
 def rematch(p: DataFrame) -> DataFrame:
     """(a, b): profiles that the merged spellings and initials now join."""
-    full = p.filter("main is not null and not nick")
+    full = p.filter("main is not null")
     # nicknames: a shortened lead that begins leads of exactly one profile of its region
-    short = p.filter("main is not null and nick").select("label", "region", F.col("lead").alias("cut")).distinct()
+    short = p.filter("lead is not null and region is not null and nick").select("label", "region", F.col("lead").alias("cut")).distinct()
     heads = full.select(F.col("label").alias("other"), "region", "lead").distinct()
     heads = heads.withColumn("cut", F.explode(F.transform(F.sequence(F.lit(4), F.greatest(F.lit(4), F.length("lead") - 1)), lambda k: F.substring("lead", F.lit(1), k)))).drop("lead").distinct()
     nick = one_other(short.join(heads, ["region", "cut"]))
