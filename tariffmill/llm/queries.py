@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import address, canonical, contamination, encoding, names
+from . import address, canonical, contamination, encoding, mixing, names, subjects
 
 
 def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,5 +46,22 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p8_found": p8_found, "p1_found": p1_found, "p1_entities": p1_entities, "p7_found": p7_found, "p7_locations": p7_locations, "p6_found": p6_found, "p3_found": p3_found, "p3_restored": p3_restored}
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects with their share of each document's sentences."""
+    return subjects.classify(*(table(spark, sf_dir, t) for t in ("documents", "subjects", "subject_labels")))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_shares(spark, sf_dir).select("doc_id", "subject")
+
+
+QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares, "p8_found": p8_found, "p1_found": p1_found, "p1_entities": p1_entities, "p7_found": p7_found, "p7_locations": p7_locations, "p6_found": p6_found, "p3_found": p3_found, "p3_restored": p3_restored}
 ORACLES: dict[str, str] = {}
