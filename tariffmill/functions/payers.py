@@ -81,38 +81,66 @@ def resolve(names: DataFrame, column: str, dictionary: DataFrame | None = None)
     return names.join(named, F.col(column).eqNullSafe(F.col("_raw")), "left").drop("_raw")
 
 
-# Plan categories and networks by ordered patterns on the upper-case plan name; the first that matches wins.
+# Labels of plans by ordered patterns on the upper-case name (the first that matches wins), and what each label means.
 PLAN_RULES = [
-    (r"WORK(?:ER|MAN|MEN)?'?S?'? ?COMP|^WC\b", "Workers Comp", None),
-    (r"TRICARE|VACCN|CHAMPUS", "TRICARE", None),
-    (r"CHAMPVA|VETERAN|^VA\b|FEHB|GEHA|GOVERNMENT", "Government", None),
-    (r"MEDI-?CAL|MEDICAID|MCAID", "Medicaid", None),
-    (r"\bCHIP\b|CHILD HEALTH", "Medicaid", None),
-    (r"MEDICARE ADV|MCR ADV|\bMAPD\b|\bD-?SNP\b|\bDUAL\b|\bMMP\b", "Medicare Advantage", None),
-    (r"MEDICARE|\bMCR\b|\bPACE\b", "Medicare", None),
-    (r"MARKETPLACE|EXCHANGE|\bHIX\b|COVERED CALIFORNIA", "Commercial", None),
-    (r"COMMERCIAL|\bCOMM\b|ALL PLANS|ALL PRODUCTS", "Commercial", None),
-    (r"\bPPO\b|\bEPO\b", "Commercial", "PPO"),
-    (r"(?<!NON-)\bHMO\b", "Commercial", "HMO"),
-    (r"\bPOS\b", "Commercial", "POS"),
-    (r"INDEMNITY", "Commercial", "Indemnity"),
+    (r"WORKER'?S?[_ ]?COMP|^WORK COMP$", "Workers Comp"),
+    (r"\bTRICARE\b", "TRICARE"),
+    (r"CHAMP ?VA", "Government"),
+    (r"\bVACCN\b|VA COMMUNITY CARE", "TRICARE"),
+    (r"MEDI[- ]CAL|^MEDICAL$|MANAGED MEDI|\bMEDICAID\b", "Medi-Cal"),
+    (r"\bS?CHIP\b|CHILD HEALTH PLUS|KIDCARE|\bSTAR\s*(?:\+?\s*PLUS|KIDS?|HEALTH)\b|MASSHEALTH|ESSENTIAL PLAN|\bESSENTIAL\s+P[QA]\b", "Medicaid"),
+    (r"CONNECTOR ?CARE|FAMILY CHOICE|COMMUNITY PLAN|WELLSENSE|(?=.*BETTER HEALTH)(?=.*HEALTHY)|HEALTHY KID", "Medicaid"),
+    (r"MCALMC", "Medi-Cal Managed Care"),
+    (r"^GOVERNMENT|FEDERAL EMPLOYEE|^FEHB$|^FEP$|\bGEHA\b", "Government"),
+    (r"PACE", "Medicare PACE"),
+    (r"^(?=.*MEDICARE ADV)(?=.*PPO)(?!.*HMO)", "Medicare Advantage PPO"),
+    (r"^(?=.*MEDICARE ADV)(?=.*HMO)(?!.*PPO)", "Medicare Advantage HMO"),
+    (r"MEDICARE|MCR ADV|D-SNP|DUALELIGIBLE|\b(?:DUAL|SNP|CSNP|ISNP|MMP|MAPD)\b", "Medicare Advantage"),
+    (r"\b(?:HIX|AMBETTER|MARKETPLACE|QHP)\b|EXCHANGE", "Marketplace"),
+    (r"COVERED CA", "Covered California"),
+    (r"TRANSPLANT|DONOR NETWORK", "Transplant"),
+    (r"^EMPLOYEE", "Employee"),
+    (r"BEHAVIORAL|\bEAP\b", "Behavioral Health"),
+    (r"^(?=.*COMMERCIAL)(?=.*INDEMNITY)(?!.*(?:(?<!NON-)HMO|PPO|\bEPO\b|POS))", "Commercial Indemnity"),
+    (r"^(?=.*COMMERCIAL)(?=.*(?:PPO|\bEPO\b))(?!.*(?<!NON-)HMO)", "Commercial PPO"),
+    (r"^(?=.*COMMERCIAL)(?=.*(?<!NON-)HMO)(?!.*PPO)", "Commercial HMO"),
+    (r"^(?=.*COMMERCIAL)(?=.*POS)(?!.*HMO)", "Commercial POS"),
+    (r"COMMERCIAL|^HMO ?/ ?PPO$", "Commercial"),
+    (r"^HMO$", "Commercial HMO"),
+    (r"^(?:PPO|PPO/EPO|EPO)$", "Commercial PPO"),
+    (r"^(?:POS|HMO ?/ ?POS)$", "Commercial POS"),
+    (r"^INDEMNITY$", "Commercial Indemnity"),
+    (r"^INDIVIDUAL$|\bALL\s+PRODUCTS?\b|\bSELF[- ]?FUNDED\b|\bASO\b|FULLY INSURED|^IFP$|\bINDIVIDUAL\s*/?\s*FAMILY\b|\b(?:SMALL|LARGE)\s*GROUP\b|^SMALLGROUP$|^MANAGED CARE$|NON-HMO", "Commercial"),
+    (r"PPO|\bEPO\b", "Commercial PPO"),
+    (r"(?<!NON-)HMO", "Commercial HMO"),
+    (r"\bINDEMNITY\b", "Commercial Indemnity"),
+    (r"SELECT/NAVIGATE|OAP", "Commercial"),
+    (r"^TRIM?$", "TRICARE"),
+    (r"^VETERANS(?: AFFAIRS)?$|VETERANS ADMIN", "Government"),
+    (r"ALL\s*(?:OTHER\s*)?PLANS|COMM$|COMM ", "Commercial"),
+    (r"HEALTHY FAMIL", "Medicaid"),
 ]
+PLAN_MEANS = {
+    "Commercial": ("Commercial", None), "Commercial HMO": ("Commercial", "HMO"), "Commercial PPO": ("Commercial", "PPO"), "Commercial POS": ("Commercial", "POS"),
+    "Commercial EPO": ("Commercial", "EPO"), "Commercial Indemnity": ("Commercial", "Indemnity"), "Medicare": ("Medicare", None), "Medicare Advantage": ("Medicare", None),
+    "Medicare Advantage HMO": ("Medicare", "HMO"), "Medicare Advantage PPO": ("Medicare", "PPO"), "Medicare PACE": ("Medicare", None), "Medicaid": ("Medicaid", None),
+    "Medi-Cal": ("Medicaid", None), "Medi-Cal Managed Care": ("Medicaid", "Managed Care"), "TRICARE": ("TRICARE", None), "Workers Comp": ("Workers Comp", None),
+    "Government": ("Government", None), "Behavioral Health": ("Behavioral Health", None), "Transplant": ("Transplant", None), "Employee": ("Employee", None),
+    "Marketplace": ("Commercial", None), "Covered California": ("Commercial", None), "Other": ("Other", None),
+}
 # ------------------------------------------------------------------
 
 
-def plan_class(c: Column) -> Column:
-    """struct(plan_category, plan_network, plan_name); a blank plan is ('Other', null, 'Other')."""
+def plan_class(c: Column, payer: Column | None = None) -> Column:
+    """struct(plan_category, plan_network, plan_name): the plan's label by the rules, else its own name in title case.
+
+    A blank plan is ('Other', null, 'Other'); a plan that only repeats its payer is Commercial.
+    """
     name = unwrap(c)
     up = F.upper(name)
-    kind, net = F.lit("Other"), F.lit(None).cast("string")
-    for pattern, category, _ in reversed(PLAN_RULES):
-        kind = F.when(up.rlike(pattern), category).otherwise(kind)
-    for pattern, _, network in reversed(PLAN_RULES):
-        if network:
-            net = F.when(up.rlike(pattern), network).otherwise(net)
+    hits = F.filter(F.array(*(F.when(up.rlike(p), F.lit(label)) for p, label in PLAN_RULES)), lambda x: x.isNotNull())
+    same = F.when(up == F.upper(payer), F.lit("Commercial")) if payer is not None else F.lit(None).cast("string")
     blank = F.coalesce(name, F.lit("")) == ""
-    return F.struct(
-        F.when(blank, "Other").otherwise(kind).alias("plan_category"),
-        F.when(~blank, net).alias("plan_network"),
-        F.when(blank, "Other").otherwise(name).alias("plan_name"),
-    )
+    label = F.when(blank, "Other").otherwise(F.coalesce(F.get(hits, F.lit(0)), same, title_case(strip(c))))
+    means = lambda k: F.try_element_at(F.create_map(*(F.lit(x) for n, v in PLAN_MEANS.items() if v[k] for x in (n, v[k]))), label)
+    return F.struct(F.coalesce(means(0), F.lit("Other")).alias("plan_category"), means(1).alias("plan_network"), label.alias("plan_name"))

@@ -24,11 +24,20 @@ ITEM = (
 )
 # Order of preference of code types; the fields that nested files fill.
 PRIORITY = {"CPT": 0, "HCPCS": 1, "RC": 2, "CDM": 3, "NDC": 4}
-FIELDS = {
-    "description": "description", "code_information": "code", "drug_information": "drug_unit_of_measurement", "setting": "setting", "billing_class": "billing_class",
-    "gross_charge": "gross_charge", "discounted_cash": "discounted_cash_price", "minimum": "min_negotiated_rate", "maximum": "max_negotiated_rate", "modifiers": "modifiers",
-    "payers_information": "payer_name", "additional_generic_notes": "additional_generic_notes", "standard_charges": "gross_charge",
-}
+FIELDS = [
+    ("description", "description", "description"), ("code_information.code", "code", "code"), ("code_information.type", "code_type", "code_type"),
+    ("standard_charges.gross_charge", "gross_charge", "gross_charge"), ("standard_charges.discounted_cash", "discounted_cash_price", "discounted_cash_price"),
+    ("standard_charges.minimum", "min_negotiated_rate", "min_negotiated_rate"), ("standard_charges.maximum", "max_negotiated_rate", "max_negotiated_rate"),
+    ("standard_charges.billing_class", "billing_class", "billing_class"), ("standard_charges.setting", "setting", "setting"), ("standard_charges.modifiers", "modifiers", "modifiers"),
+    ("drug_information.unit", "drug_unit_of_measurement", "drug_unit_of_measurement"), ("drug_information.type", "drug_type_of_measurement", "drug_type_of_measurement"),
+    ("standard_charges.payers_information", "payers_information", "wide_payer:cms_nested"),
+]
+STATES = (
+    "Alabama AL, Alaska AK, Arizona AZ, Arkansas AR, California CA, Colorado CO, Connecticut CT, Delaware DE, District of Columbia DC, Florida FL, Georgia GA, Hawaii HI, Idaho ID, "
+    "Illinois IL, Indiana IN, Iowa IA, Kansas KS, Kentucky KY, Louisiana LA, Maine ME, Maryland MD, Massachusetts MA, Michigan MI, Minnesota MN, Mississippi MS, Missouri MO, "
+    "Montana MT, Nebraska NE, Nevada NV, New Hampshire NH, New Jersey NJ, New Mexico NM, New York NY, North Carolina NC, North Dakota ND, Ohio OH, Oklahoma OK, Oregon OR, "
+    "Pennsylvania PA, Rhode Island RI, South Carolina SC, South Dakota SD, Tennessee TN, Texas TX, Utah UT, Vermont VT, Virginia VA, Washington WA, West Virginia WV, Wisconsin WI, Wyoming WY"
+)
 # ------------------------------------------------------------------
 
 
@@ -83,7 +92,7 @@ def tables(parts: DataFrame, dictionary: DataFrame | None = None) -> dict[str, D
     d = cut(d.withColumn("sub", F.col("n") * 2 + F.col("twin")))
     own = F.filter("payers", lambda p: payers.is_self_pay(p["payer_name"]))
     cash = F.array_min(F.filter(F.transform(own, lambda p: F.coalesce(price(p["standard_charge_dollar"]), price(p["estimated_amount"]))), lambda v: v.isNotNull()))
-    d = d.withColumn("discounted_cash_price", F.coalesce("discounted_cash_price", cash))
+    d = d.withColumn("discounted_cash_price", F.least("discounted_cash_price", cash))
     key = ["code", "code_type", "description", "billing_class", "setting", "modifiers"]
     out = {"standard_charges": d.filter(F.coalesce("gross_charge", "discounted_cash_price", "min_negotiated_rate", "max_negotiated_rate").isNotNull()).select(
         "file_id", "ord", "sub", F.lit(0).alias("part"), *key, "gross_charge", "discounted_cash_price", "min_negotiated_rate", "max_negotiated_rate")}
@@ -100,7 +109,7 @@ def tables(parts: DataFrame, dictionary: DataFrame | None = None) -> dict[str, D
     there = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
     r = r.filter(values.truthy(F.col("negotiated_rate")) | values.truthy(F.col("negotiated_percentage")) | values.truthy(F.col("estimated_amount")) | there("negotiated_algorithm") | there("methodology"))
     r = payers.resolve(r, "raw_payer_name", dictionary).filter("payer_name is not null")
-    r = r.withColumns({"_pl": payers.plan_class(F.col("plan_name")), "methodology_type": values.methodology_type(F.col("methodology")), "methodology": values.clean_methodology(F.col("methodology"))})
+    r = r.withColumns({"_pl": payers.plan_class(F.col("plan_name"), F.col("payer_name")), "methodology_type": values.methodology_type(F.col("methodology")), "methodology": values.clean_methodology(F.col("methodology"))})
     r = r.withColumn("_h", values.hoist_methodology(F.col("methodology"), F.col("methodology_type"), F.col("negotiated_rate"), F.col("negotiated_percentage"), F.col("negotiated_algorithm")))
     out["payer_rates"] = r.withColumns({"methodology": F.col("_h.methodology"), "methodology_type": F.col("_h.methodology_type"), "negotiated_percentage": F.col("_h.negotiated_percentage"), "plan_name": F.col("_pl.plan_name"), "plan_category": F.col("_pl.plan_category"), "plan_network": F.col("_pl.plan_network")}).drop("_h", "_pl")
     out["modifiers"] = modifiers(parts, dictionary)
@@ -123,7 +132,7 @@ def modifiers(parts: DataFrame, dictionary: DataFrame | None = None) -> DataFram
 
 def header_mappings(parts: DataFrame) -> DataFrame:
     files = parts.filter("kind = 'item'").filter(is_nested(F.col("raw"))).select("file_id").distinct()
-    rows = F.array(*(F.struct(F.lit(k).alias("pos"), F.lit(h).alias("source_header"), F.lit(h).alias("normalized"), F.lit(f).alias("mapped_to")) for k, (h, f) in enumerate(FIELDS.items())))
+    rows = F.array(*(F.struct(F.lit(k).alias("pos"), F.lit(h).alias("source_header"), F.lit(n).alias("normalized"), F.lit(f).alias("mapped_to")) for k, (h, n, f) in enumerate(FIELDS)))
     return files.select("file_id", F.inline(rows))
 
 
@@ -136,13 +145,15 @@ ROOT = (
 def metadata(parts: DataFrame) -> DataFrame:
     """file_metadata from the values before the data array; lists are joined, nested licence and attestation are opened."""
     r = parts.filter("kind = 'root'").withColumn("r", F.from_json("raw", ROOT)).filter("r.hospital_name is not null")
-    text = lambda v: F.coalesce(F.array_join(F.try_variant_get(v, "$", "array<string>"), "; "), F.try_variant_get(v, "$", "string"))
+    text = lambda v: F.coalesce(F.array_join(F.try_variant_get(v, "$", "array<string>"), "|"), F.try_variant_get(v, "$", "string"))
     deep = lambda v, k: F.coalesce(F.try_variant_get(v, f"$.{k}", "string"), F.try_variant_get(v, f"$[0].{k}", "string"))
     c = F.col
+    short = F.create_map(*(F.lit(x) for one in STATES.split(", ") for x in (one[:-3].upper(), one[-2:])))
+    state = lambda v: F.coalesce(F.try_element_at(short, F.coalesce(F.upper(F.trim(v)), F.lit(""))), F.when(F.length(F.trim(v)) == 2, F.upper(F.trim(v))))
     npis = F.coalesce(F.array_join(F.try_variant_get("r.type_2_npi", "$", "array<string>"), "|"), F.try_variant_get("r.type_2_npi", "$", "string"))
     return r.select(
         "file_id", "r.hospital_name", F.coalesce(text(c("r.hospital_location")), text(c("r.location_name"))).alias("hospital_location"), text(c("r.hospital_address")).alias("hospital_address"),
-        "r.cms_certification_number", deep(c("r.license_information"), "license_number").alias("license_number"), deep(c("r.license_information"), "state").alias("license_state"),
+        "r.cms_certification_number", deep(c("r.license_information"), "license_number").alias("license_number"), state(deep(c("r.license_information"), "state")).alias("license_state"),
         values.first_npi(npis).alias("type_2_npi"), "r.ein", "r.last_updated_on", "r.version",
         F.coalesce(deep(c("r.attestation"), "attestation"), F.try_variant_get("r.attestation", "$", "string")).alias("attestation"),
         F.coalesce(c("r.attester_name"), deep(c("r.attestation"), "attester_name")).alias("attester_name"),
