@@ -70,7 +70,7 @@ def resolve(names: DataFrame, column: str, dictionary: DataFrame | None = None)
         words = F.split("_key", " ")
         runs = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(words, F.lit(1), n), " ").alias("k")))
         probe = todo.filter("_ok").select("_raw", F.inline(runs))
-        hits = probe.join(dictionary.select(F.upper("key").alias("k"), "canonical"), "k")
+        hits = probe.join(dictionary.select(payer_key(F.col("key")).alias("k"), "canonical"), "k")
         found = hits.groupBy("_raw").agg(F.max_by("canonical", "n").alias("_canonical"))
         todo = todo.join(found, "_raw", "left")
     else:

@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import problems
+from . import problems, reference
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(problems.QUERIES)
+    return problems.QUERIES | reference.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return dict(problems.ORACLES)
+    return problems.ORACLES | reference.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problems.p2_found(spark, sf_dir)
+    return reference.flagship(spark, sf_dir)
