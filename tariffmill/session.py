@@ -41,3 +41,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialize df reliably and drop its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for heavy work per row; inputs that are large enough already
+    come in that many and are not moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
