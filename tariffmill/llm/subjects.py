@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import spread
 
 # Seed words of each subject, English and Spanish, and of sentences on none of them.
 SEEDS = {
@@ -119,12 +119,10 @@ class Lexicon:
         self.weight = {w: np.maximum(v, v.max() - 6.0) for w, v in self.weight.items()}
 
     def classify(self, ws: tuple[str, ...]) -> np.ndarray:
-        s = self.prior.copy()
-        for w in ws:
-            v = self.weight.get(w)
-            if v is not None:
-                s += v
-        return s - np.logaddexp.reduce(s)
+        found = [v for v in map(self.weight.get, ws) if v is not None]
+        s = self.prior + sum(found) if found else self.prior
+        top = s.max()
+        return s - (top + np.log(np.exp(s - top).sum()))
 
 
 def seed_table(definitions: dict[str, str]) -> tuple[list[str], dict[str, set[int]]]:
@@ -146,32 +144,62 @@ def seed_vote(ws: tuple[str, ...], seeds: dict[str, set[int]], n: int) -> int:
     return hits.index(best) if best and hits.count(best) == 1 else -1
 
 
-def posteriors(known: list[tuple[str, ...]], model: Lexicon | None, seeds: dict[str, set[int]], n: int, hint: list[int] | None, heat: float) -> list[tuple[tuple[str, ...], np.ndarray]]:
-    """Subject shares of a document's sentences while learning. The document's own mixture is the prior of its sentences,
-    so that a sentence without known words goes where its neighbours are; labels of the document weigh in. Before any
-    model only sentences with seed words count."""
+class Words:
+    """Numbers of words within a task, with their weights in a model."""
+
+    def __init__(self, n: int, model: Lexicon | None) -> None:
+        self.n, self.model, self.ids = n, model, {}
+        self.rows = np.zeros((1024, n))
+
+    def number(self, w: str) -> int:
+        k = self.ids.get(w)
+        if k is None:
+            k = self.ids[w] = len(self.ids)
+            if k >= len(self.rows):
+                self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
+            v = self.model.weight.get(w) if self.model else None
+            if v is not None:
+                self.rows[k] = v
+        return k
+
+
+def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive groups of rows; groups may be empty."""
+    total = np.vstack([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0)])
+    ends = np.cumsum(sizes)
+    return total[ends] - total[ends - sizes]
+
+
+def softmax(logs: np.ndarray) -> np.ndarray:
+    e = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def posteriors(model: Lexicon | None, words_of: Words, flat: np.ndarray, lengths: np.ndarray, seeded: np.ndarray, per_doc: np.ndarray, hints: list[list[int] | None], heat: float) -> np.ndarray:
+    """Subject shares of all sentences of a batch while learning (flat: word numbers, lengths: words per sentence, seeded: seed
+    votes, per_doc: sentences per document). The document's own mixture is the prior of its sentences, so that a sentence
+    without known words goes where its neighbours are; labels of the document weigh in. Before any model only sentences
+    with seed words count."""
+    n = words_of.n
+    has = seeded >= 0
+    one = np.zeros((len(lengths), n))
+    one[np.flatnonzero(has), seeded[has]] = 1.0
+    doc_of = np.repeat(np.arange(len(per_doc)), per_doc)
     if model is None:
-        out = []
-        for ws in known:
-            k = seed_vote(ws, seeds, n)
-            if k >= 0:
-                post = np.zeros(n)
-                post[k] = 0.3 if hint and k < n - 1 and k not in hint else 1.0
-                out.append((ws, post))
-        return out
-    logs = [(model.classify(ws) - model.prior) * heat / max(len(ws), 1) for ws in known]
-    for ws, lo in zip(known, logs):
-        k = seed_vote(ws, seeds, n)
-        if k >= 0:
-            lo[k] += SEED_BONUS
-    mix = np.exp(model.prior)
+        odd = np.array([h is not None and k >= 0 and k < n - 1 and k not in h for h, k in zip((hints[d] for d in doc_of), seeded)], dtype=bool)
+        one[odd] *= 0.3
+        return one
+    logs = sums(words_of.rows[flat], lengths) * (heat / np.maximum(lengths, 1))[:, None] + SEED_BONUS * one
+    extra = np.full((len(per_doc), n), 0.1)
+    for d, h in enumerate(hints):
+        if h:
+            extra[d, h] += 2.0
+    mix = np.tile(np.exp(model.prior), (len(per_doc), 1))
     for _ in range(2):
-        posts = [np.exp(v - np.logaddexp.reduce(v)) for v in (lo + np.log(mix) for lo in logs)]
-        mix = sum(posts, np.full(n, 0.1)) if posts else mix
-        if hint:
-            mix[hint] += 2.0
-        mix = mix / mix.sum()
-    return list(zip(known, posts)) if known else []
+        post = softmax(logs + np.log(mix)[doc_of])
+        mix = sums(post, per_doc) + extra
+        mix /= mix.sum(axis=1, keepdims=True)
+    return post
 
 
 STAT = "word string, k int, n double"
@@ -185,20 +213,32 @@ def learn_words(docs: DataFrame, subjects: list[str], seeds: dict[str, set[int]]
         model = lex
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            acc: dict[str, np.ndarray] = {}
+            book = Words(n, model)
+            acc, everything = np.zeros((1024, n)), np.zeros(n)
             for pdf in batches:
-                for doc, text in zip(pdf.doc_id, pdf.text):
-                    for ws, post in posteriors([words(s) for s in sentences(text, furniture)[0]], model, seeds, n, labels.get(doc), heat):
-                        for w in (*ws, ""):
-                            row = acc.get(w)
-                            if row is None:
-                                acc[w] = post.copy()
-                            else:
-                                row += post
-                if len(acc) > 200_000:
-                    yield emit(acc)
-                    acc = {}
-            yield emit(acc)
+                flat, lengths, seeded, per_doc = [], [], [], []
+                for text in pdf.text:
+                    body = [words(s) for s in sentences(text, furniture)[0]]
+                    per_doc.append(len(body))
+                    for ws in body:
+                        flat += [book.number(w) for w in ws]
+                        lengths.append(len(ws))
+                        seeded.append(seed_vote(ws, seeds, n))
+                if not lengths:
+                    continue
+                size, flat_ = np.array(lengths), np.array(flat, dtype=np.int64)
+                post = posteriors(model, book, flat_, size, np.array(seeded), np.array(per_doc), [labels.get(d) for d in pdf.doc_id], heat)
+                each = np.repeat(post, size, axis=0)
+                if len(acc) < len(book.rows):
+                    acc = np.vstack([acc, np.zeros((len(book.rows) - len(acc), n))])
+                for k in range(n):
+                    acc[: len(book.ids), k] += np.bincount(flat_, weights=each[:, k], minlength=len(book.ids))
+                everything += post.sum(axis=0)
+                if len(book.ids) > 200_000:
+                    yield emit(book, acc)
+                    book, acc = Words(n, model), np.zeros((1024, n))
+            yield emit(book, acc)
+            yield pd.DataFrame([("", k, float(v)) for k, v in enumerate(everything)], columns=["word", "k", "n"])
 
         rows = docs.mapInPandas(count, STAT).groupBy("word", "k").agg(F.sum("n").alias("n"))
         counts: dict[str, list[float]] = {}
@@ -210,9 +250,10 @@ def learn_words(docs: DataFrame, subjects: list[str], seeds: dict[str, set[int]]
     return lex
 
 
-def emit(acc: dict[str, np.ndarray]) -> pd.DataFrame:
-    rows = [(w, k, float(v)) for w, row in acc.items() for k, v in enumerate(row) if v > 1e-3]
-    return pd.DataFrame(rows, columns=["word", "k", "n"])
+def emit(book: Words, acc: np.ndarray) -> pd.DataFrame:
+    names = list(book.ids)
+    w, k = np.nonzero(acc[: len(names)] > 1e-3)
+    return pd.DataFrame({"word": [names[i] for i in w], "k": k.astype("int32"), "n": acc[w, k]})
 
 
 FUNCTIONS = ("seeds", "lexicon", "section", "address", "source", "context")
@@ -224,15 +265,26 @@ class Voter:
     def __init__(self, lex: Lexicon, seeds: dict[str, set[int]], furniture: frozenset[str], by_source: dict[str, int]) -> None:
         self.lex, self.seeds, self.furniture, self.by_source = lex, seeds, furniture, by_source
         self.n = len(lex.subjects)
+        self.seen: dict[tuple[str, ...], int] = {}
+
+    def lexical(self, known: list[tuple[str, ...]]) -> list[int]:
+        """Votes of the learnt lexicon; sentences seen before in this task keep theirs."""
+        out = []
+        for ws in known:
+            k = self.seen.get(ws)
+            if k is None:
+                p = self.lex.classify(ws)
+                k = int(p.argmax())
+                k = k if p[k] > np.log(0.6) else -1
+                if len(self.seen) < 500_000:
+                    self.seen[ws] = k
+            out.append(k)
+        return out
 
     def votes(self, text: str, source: str | None) -> list[tuple[int, ...]]:
         body, heading = sentences(text, self.furniture)
         known = [words(s) for s in body]
-        lexical = []
-        for ws in known:
-            p = self.lex.classify(ws)
-            k = int(p.argmax())
-            lexical.append(k if p[k] > np.log(0.6) else -1)
+        lexical = self.lexical(known)
         section = seed_vote(words(heading), self.seeds, self.n) if heading else -1
         src = self.by_source.get(source or "", -1)
         out = []
@@ -308,6 +360,7 @@ SHARES = "doc_id long, subject string, share double, sentences int"
 def classify(documents: DataFrame, subjects: DataFrame, labels: DataFrame, source: str = "source") -> DataFrame:
     """(doc_id, subject, share, sentences) of the subjects that each document treats."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(source).alias("source")).filter("text is not null")
+    docs = spread(docs)
     total = max(docs.count(), 1)
     names, seeds = seed_table({r.subject: r.definition or "" for r in subjects.limit(1000).collect() if r.subject})
     n = len(names)
@@ -321,18 +374,20 @@ def classify(documents: DataFrame, subjects: DataFrame, labels: DataFrame, sourc
     lex = learn_words(docs, names, seeds, furniture, hints, total * 10)
 
     # the source function: the subject that a source has at least twice as much of as all sources together
+    voter = Voter(lex, seeds, furniture, {})
+
     def source_votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[tuple[str, int], int] = {}
         for pdf in batches:
             for text, s in zip(pdf.text, pdf.source):
                 for sent in sentences(text, furniture)[0]:
-                    key = (s or "", int(lex.classify(words(sent)).argmax()))
+                    key = (s or "", voter.lexical([words(sent)])[0])
                     acc[key] = acc.get(key, 0) + 1
         yield pd.DataFrame([(s, k, c) for (s, k), c in acc.items()], columns=["source", "k", "n"])
 
     shares: dict[str, np.ndarray] = {}
     counted = docs.mapInPandas(source_votes, "source string, k int, n long").groupBy("source", "k").agg(F.sum("n").alias("n"))
-    frequent = counted.filter(F.col("n") >= 1e-4 * total)  # bounds the number of sources that come to the driver
+    frequent = counted.filter((F.col("n") >= 1e-4 * total) & (F.col("k") >= 0))  # bounds the number of sources that come to the driver
     for r in frequent.collect():
         shares.setdefault(r.source, np.zeros(n))[r.k] += r.n
     everything = sum(shares.values(), np.ones(n))
