@@ -60,9 +60,14 @@ REMAINDER = {  # what may follow "TYPE " for the split to be believed; other typ
 CPT5, CPT_CAT, HCPCS2, CDT = r"^\d{5}$", r"^\d{4}[FTUftu]$", r"^[A-CE-Va-ce-v]\d{4}$", r"^[Dd]\d{4}$"
 
 
-def fence(c: Column) -> Column:
-    """c, in a form that filters are not pushed through: each pushed filter would repeat all stages inside itself."""
-    return F.when(F.rand() >= 0, c)
+def settled(df: DataFrame, **made: Column) -> DataFrame:
+    """df.withColumns(made) behind a generator of one row.
+
+    The optimizer does not push filters, aliases or constraints through generated columns. Through a plain projection it
+    would write every earlier stage into each later one, and ten stages multiply. It stays in generated code.
+    """
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in made]
+    return df.select(*rest, F.inline(F.array(F.struct(*(v.alias(k) for k, v in made.items())))))
 
 
 def _like(c: Column, pattern: str) -> Column:
@@ -98,20 +103,20 @@ def split_composite(df: DataFrame, code: str = "code", kind: str = "code_type")
     A recognised type of another system in the type column forbids the split; CDM and LOCAL do not.
     """
     s, prefix, rest, system, declared = (F.col(x) for x in ("_p_s", "_p_prefix", "_p_rest", "_p_system", "_p_declared"))
-    out = df.withColumns({"_p_s": strip(F.col(code)), "_p_declared": known_type(F.col(kind))})
+    out = settled(df, _p_s=strip(F.col(code)), _p_declared=known_type(F.col(kind)))
     head = "(?i)^(" + "|".join(p.replace(" ", r"\ ") for p in PREFIXES) + r")\ "
-    out = out.withColumn("_p_prefix", F.nullif(F.upper(F.regexp_extract(s, head, 1)), F.lit("")))
-    out = out.withColumns({"_p_rest": strip(F.substring(s, F.length(prefix) + 2, F.length(s))), "_p_system": known_type(prefix)})
+    out = settled(out, _p_prefix=F.nullif(F.upper(F.regexp_extract(s, head, 1)), F.lit("")))
+    out = settled(out, _p_rest=strip(F.substring(s, F.length(prefix) + 2, F.length(s))), _p_system=known_type(prefix))
     fits = reduce(lambda a, kv: a & ((system != kv[0]) | rest.rlike(kv[1])), REMAINDER.items(), rest != "")
     drg = F.nullif(F.regexp_extract(rest, r"(\d{1,3})\s*$", 1), F.lit(""))
     part = F.when(system == "MS-DRG", drg).otherwise(rest)
     apart = s.contains(" ") & fits & (declared.isNull() | declared.isin("CDM", "LOCAL") | (declared == system)) & part.isNotNull()
     hits = [F.struct(F.nullif(F.regexp_extract(s, p, 1), F.lit("")).alias("code"), F.lit(k).alias("kind")) for k, p in ATTACHED.items()]
-    out = out.withColumns({"_p_part": F.when(apart, part), "_p_tight": F.get(F.filter(F.array(*hits), lambda h: h["code"].isNotNull()), F.lit(0))})
+    out = settled(out, _p_part=F.when(apart, part), _p_tight=F.get(F.filter(F.array(*hits), lambda h: h["code"].isNotNull()), F.lit(0)))
     tight_kind = F.col("_p_tight.kind")
     tight = F.coalesce(tight_kind.isNotNull() & (declared.isNull() | declared.isin("CDM", "LOCAL") | (declared == tight_kind)), F.lit(False))
     whole = F.col("_p_part")
-    return out.withColumns({
+    return settled(out, **{
         code: F.when(whole.isNotNull(), whole).when(tight, F.col("_p_tight.code")).otherwise(F.col(code)),
         kind: F.when(whole.isNotNull(), F.when(declared == system, F.col(kind)).otherwise(prefix)).when(tight, tight_kind).otherwise(F.col(kind)),
     }).drop("_p_s", "_p_prefix", "_p_rest", "_p_system", "_p_declared", "_p_part", "_p_tight")
@@ -158,7 +163,7 @@ def normalize(df: DataFrame, code: str = "code", kind: str = "code_type") -> Dat
             nc = nc if to_code is None else F.when(r == i, to_code).otherwise(nc)
             nt = nt if to_type is None else F.when(r == i, F.lit(to_type) if isinstance(to_type, str) else to_type).otherwise(nt)
             nd = nd if not ends else F.when(r == i, F.lit(True)).otherwise(nd)
-        return d.withColumn("_r", hit).withColumns({"_c": nc, "_t": nt, "_done": nd})
+        return settled(settled(d, _r=hit), _c=nc, _t=nt, _done=nd)
 
     ascii_code = F.regexp_replace(F.col(code), r"[^\x00-\x7F]", "")
     was = F.col(code)
@@ -167,7 +172,7 @@ def normalize(df: DataFrame, code: str = "code", kind: str = "code_type") -> Dat
     out = out.withColumn("_k", F.col(kind)).withColumn("_x", c)
     out = split_composite(out, "_x", "_k")
     out = out.withColumns({"_c": F.when(done, c).otherwise(F.col("_x")), "_k": F.when(done, F.col(kind)).otherwise(F.col("_k"))}).drop("_x")
-    out = out.withColumn("_t", F.when(F.coalesce(F.length("_k"), F.lit(0)) > 0, F.coalesce(known_type(F.col("_k")), F.upper(strip(F.col("_k"))))))
+    out = settled(out, _t=F.when(F.coalesce(F.length("_k"), F.lit(0)) > 0, F.coalesce(known_type(F.col("_k")), F.upper(strip(F.col("_k"))))))
     s = strip(c)
     ndc_shape = s.rlike(r"^\d{9,11}$|^\d{4,5}-\d{3,4}-\d{1,2}$")
     both = _in(t, ["NDCHCPCS", "NDCCPT"])
@@ -206,7 +211,7 @@ def normalize(df: DataFrame, code: str = "code", kind: str = "code_type") -> Dat
         (invalid & s.rlike(CDT), None, "CDT", False),
         (none & s.rlike(r"^\d{4,5}-\d{3,4}-\d{1,2}$"), None, "NDC", False),
     )
-    out = out.withColumn("_n", F.when(t == "NDC", ndc(c)))
+    out = settled(out, _n=F.when(t == "NDC", ndc(c)))
     out = stage(out, ((t == "RC") & s.rlike(r"^\d+$"), F.when(F.length(s) < 4, F.lpad(s, 4, "0")).otherwise(s), None, True), (t == "NDC", F.col("_n.code"), F.col("_n.code_type"), True))
     out = stage(
         out,
@@ -215,14 +220,15 @@ def normalize(df: DataFrame, code: str = "code", kind: str = "code_type") -> Dat
         (none & (s.rlike(CPT5) | s.rlike(CPT_CAT)), None, "CPT", False),
     )
     bad = _in(t, ["CPT", "HCPCS"]) & ~F.upper(s).rlike(r"^(?:\d{5}|\d{4}[A-Z]|[A-Z]\d{4})$")
-    out = out.withColumn("_f", F.when(bad & ~done, salvage(F.upper(s))))
+    out = settled(out, _f=F.when(bad & ~done, salvage(F.upper(s))))
     out = stage(out, (F.col("_f.code").isNotNull(), F.col("_f.code"), F.col("_f.code_type"), False), (bad, None, "LOCAL", False))
     placeholder = s.rlike(r"(?i)^(?:X{3,}|TEST\b|N/?A$|NONE$|TBD$|UNKNOWN$)") & ~_in(t, ["RC", "NDC", "CDM", "MS-DRG", "APC"])
     out = stage(out, (placeholder, None, "LOCAL", False))
     out = stage(out, (t == "APR-DRG", strip(apr_drg(c)), None, False), (F.lit(True), s, None, False))
     out = stage(out, (invalid & s.rlike(r"^[\d-]+$"), None, "LOCAL", False))
     kind_out = F.when(F.coalesce(F.length(c), F.lit(0)) == 0, F.when(empty, t).otherwise(F.col(kind))).otherwise(t)
-    return out.withColumns({kind: fence(kind_out), code: fence(F.when(empty, F.col(code)).otherwise(c))}).drop("_c", "_t", "_done", "_k", "_r", "_n", "_f")
+    done_out = settled(out, **{kind: kind_out, code: F.when(empty, F.col(code)).otherwise(c)})
+    return done_out.select(*(F.col(f"`{x}`") for x in df.columns)).drop("_c", "_t", "_done", "_k", "_r", "_n", "_f")
 
 
 def rejection(code: Column, kind: Column) -> Column:

@@ -117,7 +117,7 @@ def normalize_header(c: Column) -> Column:
 def canonical(c: Column, extra: dict[str, str] | None = None) -> Column:
     """The canonical field of a header: its synonym, else that of a piped form, else the caller's."""
     parts = F.transform(F.split(unquote(c), r"\|"), strip)
-    n, first, last = F.size(parts), F.lower(F.element_at(parts, 1)), F.element_at(parts, -1)
+    n, first, last = F.size(parts), F.lower(F.try_element_at(parts, F.lit(1))), F.try_element_at(parts, F.lit(-1))
     syn = lambda k: lookup(SYNONYMS, k)
     norm = normalize_header(c)
     typed = (n >= 3) & F.lower(last).contains("type") & (first == "code")
@@ -137,7 +137,7 @@ def wide_payer(c: Column) -> Column:
     parts = F.when((F.size(raw) >= 3) & (F.get(raw, F.lit(1)) == ""), F.concat(F.slice(raw, 1, 1), F.slice(raw, F.lit(3), F.greatest(F.size(raw) - 2, F.lit(1))))).otherwise(raw)
     n, prefix = F.size(parts), normalize_header(F.get(parts, F.lit(0)))
     charge = prefix.isin(CHARGE_PREFIXES) & (n >= 3)
-    suffix = lookup(WIDE_SUFFIXES, normalize_header(F.element_at(parts, -1)))
+    suffix = lookup(WIDE_SUFFIXES, normalize_header(F.try_element_at(parts, F.lit(-1))))
     other = lookup(WIDE_PREFIXES, prefix)
     field = F.when(charge, suffix).when(n >= 2, other)
     ends = F.when(charge, n - 1).otherwise(n)

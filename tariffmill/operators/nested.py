@@ -49,7 +49,7 @@ def price(v: Column) -> Column:
 def first_nonzero(prices: Column) -> Column:
     """First price that is not 0; else the last one."""
     some = F.filter(prices, lambda x: x.isNotNull() & (x != 0))
-    return F.coalesce(F.get(some, F.lit(0)), F.element_at(prices, -1))
+    return F.coalesce(F.get(some, F.lit(0)), F.try_element_at(prices, F.lit(-1)))
 
 
 def is_nested(raw: Column) -> Column:

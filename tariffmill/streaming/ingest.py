@@ -16,6 +16,9 @@ from ..sources.mrf import SCHEMA, MrfSource, parts
 from ..sources.sinks import write_tables
 
 
+LANDED = "path string, modificationTime timestamp, length long, content binary"
+
+
 def file_id(path: str):
     return F.element_at(F.split(path, "/"), -1)
 
@@ -47,7 +50,7 @@ def parts_of(files: DataFrame) -> DataFrame:
 
 def start(spark: SparkSession, landing: str, out: str, checkpoint: str, fmt: str = "parquet", dictionary: DataFrame | None = None, **trigger) -> StreamingQuery:
     """Streams landing into out; trigger defaults to availableNow. File contents are not carried in the stream, only names."""
-    landed = spark.readStream.format("binaryFile").load(landing).select("path")
+    landed = spark.readStream.format("binaryFile").schema(LANDED).load(landing).select("path")
 
     def load(batch: DataFrame, _: int) -> None:
         names = batch.repartition("path")
