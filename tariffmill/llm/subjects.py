@@ -253,7 +253,7 @@ def learn_words(docs: DataFrame, subjects: list[str], seeds: dict[str, set[int]]
 def emit(book: Words, acc: np.ndarray) -> pd.DataFrame:
     names = list(book.ids)
     w, k = np.nonzero(acc[: len(names)] > 1e-3)
-    return pd.DataFrame({"word": [names[i] for i in w], "k": k.astype("int32"), "n": acc[w, k]})
+    return pd.DataFrame({"word": pd.Series([names[i] for i in w], dtype=object), "k": k.astype("int32"), "n": acc[w, k]})
 
 
 FUNCTIONS = ("seeds", "lexicon", "section", "address", "source", "context")
