@@ -4,6 +4,7 @@ import glob
 import os
 from collections import Counter
 
+import pandas as pd
 import pytest
 
 from tariffmill.plans import catalog
@@ -21,7 +22,7 @@ def duck(data):
 
 def rows(df) -> Counter:
     def text(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "null"
         v = v.item() if hasattr(v, "item") else v
         return str(v) if isinstance(v, bool | str) else repr(round(float(v), 6))
