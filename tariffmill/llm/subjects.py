@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import spread, stored
 
 # Seed words of each subject, English and Spanish, and of sentences on none of them.
 SEEDS = {
@@ -202,10 +202,36 @@ def posteriors(model: Lexicon | None, words_of: Words, flat: np.ndarray, lengths
     return post
 
 
+PREPARED = "doc_id long, source string, n int, body string, heading string, links string"
+
+
+def prepare(docs: DataFrame, furniture: frozenset[str]) -> DataFrame:
+    """Documents as lines of words, one line per sentence, written once and read by every pass below."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc, text, source in zip(pdf.doc_id, pdf.text, pdf.source):
+                body, head = sentences(text, furniture)
+                links = [" ".join(LONG.findall(" ".join(ADDRESS.findall(s)).lower())) if "@" in s or "/" in s or "www" in s else "" for s in body]
+                rows.append((doc, source, len(body), "\n".join(" ".join(words(s)) for s in body), " ".join(words(head)), "\n".join(links) if any(links) else ""))
+            yield pd.DataFrame(rows, columns=["doc_id", "source", "n", "body", "heading", "links"])
+
+    return stored(docs.mapInPandas(run, PREPARED))
+
+
+def lines(n: int, body: str) -> list[str]:
+    return body.split("\n") if n else []
+
+
+def of_line(line: str) -> tuple[str, ...]:
+    return tuple(line.split(" ")) if line else ()
+
+
 STAT = "word string, k int, n double"
 
 
-def learn_words(docs: DataFrame, subjects: list[str], seeds: dict[str, set[int]], furniture: frozenset[str], labels: dict[int, list[int]], total: int) -> Lexicon:
+def learn_words(docs: DataFrame, subjects: list[str], seeds: dict[str, set[int]], labels: dict[int, list[int]], total: int) -> Lexicon:
     """EM of word likelihoods over all sentences. Counts are summed per task, then by word; rare words drop out."""
     n = len(subjects)
     lex: Lexicon | None = None
@@ -215,15 +241,21 @@ def learn_words(docs: DataFrame, subjects: list[str], seeds: dict[str, set[int]]
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             book = Words(n, model)
             acc, everything = np.zeros((1024, n)), np.zeros(n)
+            memo: dict[str, tuple[list[int], int]] = {}
             for pdf in batches:
                 flat, lengths, seeded, per_doc = [], [], [], []
-                for text in pdf.text:
-                    body = [words(s) for s in sentences(text, furniture)[0]]
-                    per_doc.append(len(body))
-                    for ws in body:
-                        flat += [book.number(w) for w in ws]
-                        lengths.append(len(ws))
-                        seeded.append(seed_vote(ws, seeds, n))
+                for count_, body in zip(pdf.n, pdf.body):
+                    per_doc.append(count_)
+                    for line in lines(count_, body):
+                        known = memo.get(line)
+                        if known is None:
+                            ws = of_line(line)
+                            known = ([book.number(w) for w in ws], seed_vote(ws, seeds, n))
+                            if len(memo) < 300_000:
+                                memo[line] = known
+                        flat += known[0]
+                        lengths.append(len(known[0]))
+                        seeded.append(known[1])
                 if not lengths:
                     continue
                 size, flat_ = np.array(lengths), np.array(flat, dtype=np.int64)
@@ -236,7 +268,7 @@ def learn_words(docs: DataFrame, subjects: list[str], seeds: dict[str, set[int]]
                 everything += post.sum(axis=0)
                 if len(book.ids) > 200_000:
                     yield emit(book, acc)
-                    book, acc = Words(n, model), np.zeros((1024, n))
+                    book, acc, memo = Words(n, model), np.zeros((1024, n)), {}
             yield emit(book, acc)
             yield pd.DataFrame([("", k, float(v)) for k, v in enumerate(everything)], columns=["word", "k", "n"])
 
@@ -262,38 +294,32 @@ FUNCTIONS = ("seeds", "lexicon", "section", "address", "source", "context")
 class Voter:
     """All labelling functions but context see one sentence; context sees the lexicon's votes around it."""
 
-    def __init__(self, lex: Lexicon, seeds: dict[str, set[int]], furniture: frozenset[str], by_source: dict[str, int]) -> None:
-        self.lex, self.seeds, self.furniture, self.by_source = lex, seeds, furniture, by_source
+    def __init__(self, lex: Lexicon, seeds: dict[str, set[int]], by_source: dict[str, int]) -> None:
+        self.lex, self.seeds, self.by_source = lex, seeds, by_source
         self.n = len(lex.subjects)
-        self.seen: dict[tuple[str, ...], int] = {}
-
-    def lexical(self, known: list[tuple[str, ...]]) -> list[int]:
-        """Votes of the learnt lexicon; sentences seen before in this task keep theirs."""
-        out = []
-        for ws in known:
-            k = self.seen.get(ws)
-            if k is None:
-                p = self.lex.classify(ws)
-                k = int(p.argmax())
-                k = k if p[k] > np.log(0.6) else -1
-                if len(self.seen) < 500_000:
-                    self.seen[ws] = k
-            out.append(k)
-        return out
-
-    def votes(self, text: str, source: str | None) -> list[tuple[int, ...]]:
-        body, heading = sentences(text, self.furniture)
-        known = [words(s) for s in body]
-        lexical = self.lexical(known)
-        section = seed_vote(words(heading), self.seeds, self.n) if heading else -1
+        self.seen: dict[str, tuple[int, int]] = {}
+
+    def own(self, line: str) -> tuple[int, int]:
+        """(seeds, lexicon) votes of a sentence; those seen before in this task keep theirs."""
+        known = self.seen.get(line)
+        if known is None:
+            ws = of_line(line)
+            p = self.lex.classify(ws)
+            k = int(p.argmax())
+            known = (seed_vote(ws, self.seeds, self.n), k if p[k] > np.log(0.6) else -1)
+            if len(self.seen) < 500_000:
+                self.seen[line] = known
+        return known
+
+    def votes(self, n: int, body: str, heading: str, links: str, source: str | None) -> list[tuple[int, ...]]:
+        own = [self.own(x) for x in lines(n, body)]
+        section = seed_vote(of_line(heading), self.seeds, self.n) if heading else -1
+        linked = [seed_vote(of_line(x), self.seeds, self.n) for x in links.split("\n")] if links else [-1] * n
         src = self.by_source.get(source or "", -1)
         out = []
-        for i, ws in enumerate(known):
-            links = " ".join(ADDRESS.findall(body[i]))
-            address = seed_vote(words(re.sub(r"[^\w]+", " ", links)), self.seeds, self.n) if links else -1
-            around = {lexical[j] for j in (i - 1, i + 1) if 0 <= j < len(known)}
-            context = around.pop() if len(around) == 1 else -1
-            out.append((seed_vote(ws, self.seeds, self.n), lexical[i], section, address, src, context))
+        for i, (seed, lexical) in enumerate(own):
+            around = {own[j][1] for j in (i - 1, i + 1) if 0 <= j < n}
+            out.append((seed, lexical, section, linked[i], src, around.pop() if len(around) == 1 else -1))
         return out
 
 
@@ -371,17 +397,18 @@ def classify(documents: DataFrame, subjects: DataFrame, labels: DataFrame, sourc
         if r.subject in at:
             hints.setdefault(r.doc_id, []).append(at[r.subject])
     furniture = furniture_of(docs, total)
-    lex = learn_words(docs, names, seeds, furniture, hints, total * 10)
+    docs = prepare(docs, furniture)
+    lex = learn_words(docs, names, seeds, hints, total * 10)
 
     # the source function: the subject that a source has at least twice as much of as all sources together
-    voter = Voter(lex, seeds, furniture, {})
+    voter = Voter(lex, seeds, {})
 
     def source_votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[tuple[str, int], int] = {}
         for pdf in batches:
-            for text, s in zip(pdf.text, pdf.source):
-                for sent in sentences(text, furniture)[0]:
-                    key = (s or "", voter.lexical([words(sent)])[0])
+            for count, body, s in zip(pdf.n, pdf.body, pdf.source):
+                for line in lines(count, body):
+                    key = (s or "", voter.own(line)[1])
                     acc[key] = acc.get(key, 0) + 1
         yield pd.DataFrame([(s, k, c) for (s, k), c in acc.items()], columns=["source", "k", "n"])
 
@@ -399,13 +426,13 @@ def classify(documents: DataFrame, subjects: DataFrame, labels: DataFrame, sourc
         if s and k >= 0 and lift[k] >= 2.0:
             by_source[s] = k
 
-    voter = Voter(lex, seeds, furniture, by_source)
+    voter = Voter(lex, seeds, by_source)
 
     def patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[tuple[int, ...], int] = {}
         for pdf in batches:
-            for text, s in zip(pdf.text, pdf.source):
-                for v in voter.votes(text, s):
+            for doc in zip(pdf.n, pdf.body, pdf.heading, pdf.links, pdf.source):
+                for v in voter.votes(*doc):
                     acc[v] = acc.get(v, 0) + 1
         yield pd.DataFrame([(list(v), c) for v, c in acc.items()], columns=["votes", "n"])
 
@@ -417,8 +444,8 @@ def classify(documents: DataFrame, subjects: DataFrame, labels: DataFrame, sourc
         known: dict[tuple[int, ...], int] = {}
         for pdf in batches:
             rows = []
-            for doc, text, s in zip(pdf.doc_id, pdf.text, pdf.source):
-                votes = voter.votes(text, s)
+            for doc, *parts in zip(pdf.doc_id, pdf.n, pdf.body, pdf.heading, pdf.links, pdf.source):
+                votes = voter.votes(*parts)
                 got = [0] * n
                 for v in votes:
                     if v not in known:
