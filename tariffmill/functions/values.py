@@ -21,6 +21,12 @@ METHODOLOGIES = {
 }
 NULL_RATES = ["n/a", "n/a.", "na", "#n/a", "null", "none", "nil", "-", "--", "—"]
 NEVER_EXPIRES = "9999-12-31"
+STATES = (
+    "Alabama AL, Alaska AK, Arizona AZ, Arkansas AR, California CA, Colorado CO, Connecticut CT, Delaware DE, District of Columbia DC, Florida FL, Georgia GA, Hawaii HI, Idaho ID, "
+    "Illinois IL, Indiana IN, Iowa IA, Kansas KS, Kentucky KY, Louisiana LA, Maine ME, Maryland MD, Massachusetts MA, Michigan MI, Minnesota MN, Mississippi MS, Missouri MO, "
+    "Montana MT, Nebraska NE, Nevada NV, New Hampshire NH, New Jersey NJ, New Mexico NM, New York NY, North Carolina NC, North Dakota ND, Ohio OH, Oklahoma OK, Oregon OR, "
+    "Pennsylvania PA, Rhode Island RI, South Carolina SC, South Dakota SD, Tennessee TN, Texas TX, Utah UT, Vermont VT, Virginia VA, Washington WA, West Virginia WV, Wisconsin WI, Wyoming WY"
+)
 NPI_RANGE = (1_000_000_000, 9_999_999_999)
 # ------------------------------------------------------------------
 
@@ -165,3 +171,34 @@ def title_case(c: Column) -> Column:
     """Upper case for every letter after a non-letter."""
     parts = F.split(F.lower(c), r"(?<=[^\p{L}])(?=\p{L})")
     return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p)))), "")
+
+
+def file_ids(name: Column) -> Column:
+    """struct(ein, npi) of a file name that starts with them: '68-0396600-1801821376_name_standardcharges.csv'."""
+    head = F.substring_index(F.regexp_replace(F.regexp_replace(name, "^subset_", ""), r"(?i)\.(?:csv\.gz|json\.gz|csv|json|zip)$", ""), "_", 1)
+    pattern = r"^(\d{9}|\d{2}-\d{7})(?:-(\d{10}))?$"
+    part = lambda k: F.nullif(F.regexp_extract(head, pattern, k), F.lit(""))
+    return F.struct(ein(part(1)).alias("ein"), part(2).alias("npi"))
+
+
+def address_parts(c: Column) -> Column:
+    """struct(street, city, state, zip) of an address in one line; what cannot be told apart stays in street."""
+    s = strip(F.regexp_replace(strip(c), r'^"(.*)"$', "$1"))
+    ends = [  # pattern of the end, group of the state, group of the ZIP code
+        (r"[,\s]+([A-Za-z]{2})[,\s]+(\d{5}(?:-\d{4})?)$", 1, 2), (r"[,\s]+([A-Za-z][A-Za-z ]+?)\s+(\d{5}(?:-\d{4})?)$", 1, 2),
+        (r"\s+(\d{5}(?:-\d{4})?)\s+([A-Za-z]{2})$", 2, 1), (r"[,\s]+([A-Z]{2})$", 1, None),
+    ]
+    names = F.create_map(*(F.lit(x) for one in STATES.split(", ") for k in (one[:-3].upper(), one[-2:]) for x in (k, one[-2:])))
+    null = F.lit(None).cast("string")
+    front = r"^([A-Za-z]{2})\s+(\d{5}(?:-\d{4})?)\s*\|\s*(.*)$"
+    ways = [F.when(s.rlike(front), F.struct(F.regexp_extract(s, front, 1).alias("word"), F.regexp_extract(s, front, 2).alias("zip"), F.regexp_extract(s, front, 3).alias("rest")))]
+    for pattern, st, z in ends:
+        ways.append(F.when(s.rlike(pattern), F.struct(F.regexp_extract(s, pattern, st).alias("word"), (F.regexp_extract(s, pattern, z) if z else null).alias("zip"), F.regexp_replace(s, pattern, "").alias("rest"))))
+    named = F.transform(F.array_compact(F.array(*ways)), lambda w: F.struct(F.try_element_at(names, F.upper(w["word"])).alias("state"), w["zip"].alias("zip"), w["rest"].alias("rest")))
+    hit = F.coalesce(F.get(F.filter(named, lambda w: w["state"].isNotNull()), F.lit(0)), F.struct(null.alias("state"), null.alias("zip"), s.alias("rest")))
+    rest = strip(hit["rest"])
+    cut = r"^(.*),\s*([^,]+)$"
+    split = hit["state"].isNotNull() & rest.rlike(cut)
+    return F.when(s != "", F.struct(
+        F.when(split, strip(F.regexp_extract(rest, cut, 1))).otherwise(rest).alias("street"), F.when(split, strip(F.regexp_extract(rest, cut, 2))).alias("city"), hit["state"].alias("state"), hit["zip"].alias("zip"),
+    ))

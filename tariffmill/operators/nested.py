@@ -10,13 +10,22 @@ from ..functions.values import safe_count, safe_float
 from ..session import cut
 from .ordered import first_wins
 
-PAYER = (
-    "struct<payer_name:string,plan_name:string,standard_charge_dollar:variant,standard_charge_percentage:variant,standard_charge_algorithm:string,estimated_amount:variant,"
-    "methodology:string,median_amount:variant,`10th_percentile`:variant,`90th_percentile`:variant,count:variant,additional_payer_notes:string,footnote:string>"
-)
+# The spellings of each field of a charge and of a payer entry; the first that is there counts.
+CHARGE_KEYS = {
+    "gross_charge": ["gross_charge"], "discounted_cash": ["discounted_cash", "discounted_cash_price"], "minimum": ["minimum", "min"], "maximum": ["maximum", "max"],
+    "modifiers": ["modifiers", "modifier_code"],
+}
+PAYER_KEYS = {
+    "standard_charge_dollar": ["standard_charge_dollar", "negotiated_dollar"],
+    "standard_charge_percentage": ["standard_charge_percentage", "standard_charge_percent", "negotiated_percentage", "negotiated_percent"],
+    "estimated_amount": ["estimated_amount"], "median_amount": ["median_amount", "median_allowed_amount"], "10th_percentile": ["10th_percentile"],
+    "90th_percentile": ["90th_percentile"], "count": ["count"],
+}
+PAYER_TEXTS = ["payer_name", "plan_name", "standard_charge_algorithm", "negotiated_algorithm", "methodology", "additional_payer_notes", "footnote"]
+# ------------------------------------------------------------------
+PAYER = "struct<" + ",".join([*(f"{k}:string" for k in PAYER_TEXTS), *(f"`{k}`:variant" for ks in PAYER_KEYS.values() for k in ks)]) + ">"
 CHARGE = (
-    "struct<setting:string,billing_class:string,gross_charge:variant,discounted_cash:variant,minimum:variant,maximum:variant,modifier_code:array<string>,modifiers:array<string>,"
-    f"additional_generic_notes:string,payers_information:array<{PAYER}>>"
+    "struct<setting:string,billing_class:string,additional_generic_notes:string," + ",".join(f"`{k}`:variant" for ks in CHARGE_KEYS.values() for k in ks) + f",payers_information:array<{PAYER}>>"
 )
 ITEM = (
     "struct<description:string,code_information:array<struct<code:string,type:string>>,drug_information:struct<unit:string,type:string>,"
@@ -32,18 +41,12 @@ FIELDS = [
     ("drug_information.unit", "drug_unit_of_measurement", "drug_unit_of_measurement"), ("drug_information.type", "drug_type_of_measurement", "drug_type_of_measurement"),
     ("standard_charges.payers_information", "payers_information", "wide_payer:cms_nested"),
 ]
-STATES = (
-    "Alabama AL, Alaska AK, Arizona AZ, Arkansas AR, California CA, Colorado CO, Connecticut CT, Delaware DE, District of Columbia DC, Florida FL, Georgia GA, Hawaii HI, Idaho ID, "
-    "Illinois IL, Indiana IN, Iowa IA, Kansas KS, Kentucky KY, Louisiana LA, Maine ME, Maryland MD, Massachusetts MA, Michigan MI, Minnesota MN, Mississippi MS, Missouri MO, "
-    "Montana MT, Nebraska NE, Nevada NV, New Hampshire NH, New Jersey NJ, New Mexico NM, New York NY, North Carolina NC, North Dakota ND, Ohio OH, Oklahoma OK, Oregon OR, "
-    "Pennsylvania PA, Rhode Island RI, South Carolina SC, South Dakota SD, Tennessee TN, Texas TX, Utah UT, Vermont VT, Virginia VA, Washington WA, West Virginia WV, Wisconsin WI, Wyoming WY"
-)
 # ------------------------------------------------------------------
 
 
-def price(v: Column) -> Column:
-    """A JSON number or text as a double; a number 0 counts as absent for 'first that is there', text does not."""
-    return safe_float(F.try_variant_get(v, "$", "string"))
+def first_of(entry: Column, keys: list[str]) -> Column:
+    """The first spelling of a field that is not null, as text."""
+    return F.coalesce(*(F.try_variant_get(entry[k], "$", "string") for k in keys))
 
 
 def first_nonzero(prices: Column) -> Column:
@@ -69,10 +72,12 @@ def flatten(items: DataFrame, raw: str = "raw") -> DataFrame:
     x = x.withColumn("best", F.get(best, F.lit(0)))
     x = x.select("file_id", "ord", F.col("best.code").alias("code"), F.col("best.type").alias("code_type"), F.col("i.description").alias("description"), F.col("i.drug_information.unit").alias("drug_unit_of_measurement"), F.col("i.drug_information.type").alias("drug_type_of_measurement"), F.posexplode_outer("i.standard_charges").alias("n", "s"))
     x = x.filter("s is not null or code is not null")
-    mods = F.array_join(F.filter(F.coalesce("s.modifier_code", "s.modifiers"), lambda m: F.coalesce(m, F.lit("")) != ""), ",")
-    x = x.withColumns({"billing_class": F.lower(F.coalesce("s.billing_class", F.lit(""))), "setting": F.lower(F.coalesce("s.setting", F.lit(""))), "modifiers": F.nullif(mods, F.lit(""))})
+    listed = F.coalesce(*(F.try_variant_get(F.col(f"s.{k}"), "$", "array<string>") for k in CHARGE_KEYS["modifiers"]))
+    mods = F.coalesce(F.array_join(F.filter(F.transform(listed, lambda m: F.trim(m)), lambda m: m != ""), ","), F.trim(first_of(F.col("s"), CHARGE_KEYS["modifiers"])))
+    known_class = F.lower(F.trim("s.billing_class"))
+    x = x.withColumns({"billing_class": F.when(known_class.isin("facility", "professional", "both"), known_class).otherwise(""), "setting": F.lower(F.trim(F.coalesce("s.setting", F.lit("")))), "modifiers": F.nullif(mods, F.lit(""))})
     keep = ["file_id", "ord", "code", "code_type", "description", "drug_unit_of_measurement", "drug_type_of_measurement", "billing_class", "setting", "modifiers"]
-    part = F.struct("n", price(F.col("s.gross_charge")).alias("g"), price(F.col("s.discounted_cash")).alias("c"), price(F.col("s.minimum")).alias("lo"), price(F.col("s.maximum")).alias("hi"), F.col("s.additional_generic_notes").alias("notes"), F.col("s.payers_information").alias("p"))
+    part = F.struct("n", *(safe_float(first_of(F.col("s"), CHARGE_KEYS[k])).alias(a) for k, a in (("gross_charge", "g"), ("discounted_cash", "c"), ("minimum", "lo"), ("maximum", "hi"))), F.col("s.additional_generic_notes").alias("notes"), F.col("s.payers_information").alias("p"))
     g = x.withColumn("part", part).groupBy(*keep).agg(F.min("n").alias("n"), F.array_sort(F.collect_list("part"), lambda a, b: a["n"] - b["n"]).alias("parts"))
     pick = lambda f: first_nonzero(F.filter(F.transform("parts", lambda q: q[f]), lambda v: v.isNotNull()))
     g = g.select(*keep, "n", pick("g").alias("gross_charge"), pick("c").alias("discounted_cash_price"), pick("lo").alias("min_negotiated_rate"), pick("hi").alias("max_negotiated_rate"), F.get(F.filter(F.transform("parts", lambda q: q["notes"]), lambda v: v.isNotNull()), F.lit(0)).alias("additional_generic_notes"), F.flatten(F.filter(F.transform("parts", lambda q: q["p"]), lambda v: v.isNotNull())).alias("payers"))
@@ -91,7 +96,7 @@ def tables(parts: DataFrame, dictionary: DataFrame | None = None) -> dict[str, D
     d = d.withColumns({"code": F.col("_i.code"), "code_type": F.col("_i.code_type"), "billing_class": F.coalesce(F.col("_i.billing_class"), F.lit(""))}).drop("_i")
     d = cut(d.withColumn("sub", F.col("n") * 2 + F.col("twin")))
     own = F.filter("payers", lambda p: payers.is_self_pay(p["payer_name"]))
-    cash = F.array_min(F.filter(F.transform(own, lambda p: F.coalesce(price(p["standard_charge_dollar"]), price(p["estimated_amount"]))), lambda v: v.isNotNull()))
+    cash = F.array_min(F.filter(F.transform(own, lambda p: F.coalesce(safe_float(first_of(p, PAYER_KEYS["standard_charge_dollar"])), safe_float(first_of(p, PAYER_KEYS["estimated_amount"])))), lambda v: v.isNotNull()))
     d = d.withColumn("discounted_cash_price", F.least("discounted_cash_price", cash))
     key = ["code", "code_type", "description", "billing_class", "setting", "modifiers"]
     out = {"standard_charges": d.filter(F.coalesce("gross_charge", "discounted_cash_price", "min_negotiated_rate", "max_negotiated_rate").isNotNull()).select(
@@ -100,10 +105,10 @@ def tables(parts: DataFrame, dictionary: DataFrame | None = None) -> dict[str, D
     out["charge_items"] = first_wins(item, ["file_id", "code", "code_type", "billing_class", "setting", "_m"], ["ord", "sub"]).drop("_m")
     r = d.select("file_id", "ord", "sub", *key, F.posexplode("payers").alias("part", "p")).filter(~payers.is_self_pay(F.col("p.payer_name")))
     r = r.select(
-        "file_id", "ord", "sub", "part", *key, F.col("p.payer_name").alias("raw_payer_name"), F.col("p.plan_name").alias("plan_name"), price(F.col("p.standard_charge_dollar")).alias("negotiated_rate"),
-        price(F.col("p.standard_charge_percentage")).alias("negotiated_percentage"), F.col("p.standard_charge_algorithm").alias("negotiated_algorithm"), F.col("p.methodology").alias("methodology"),
-        price(F.col("p.estimated_amount")).alias("estimated_amount"), price(F.col("p.median_amount")).alias("median_amount"), price(F.col("p.`10th_percentile`")).alias("pct_10"), price(F.col("p.`90th_percentile`")).alias("pct_90"),
-        safe_count(F.try_variant_get("p.count", "$", "string")).alias("claim_count"), F.col("p.additional_payer_notes").alias("additional_notes"), F.col("p.footnote").alias("footnote"),
+        "file_id", "ord", "sub", "part", *key, F.col("p.payer_name").alias("raw_payer_name"), F.col("p.plan_name").alias("plan_name"), safe_float(first_of(F.col("p"), PAYER_KEYS["standard_charge_dollar"])).alias("negotiated_rate"),
+        safe_float(first_of(F.col("p"), PAYER_KEYS["standard_charge_percentage"])).alias("negotiated_percentage"), F.coalesce("p.standard_charge_algorithm", "p.negotiated_algorithm").alias("negotiated_algorithm"), F.col("p.methodology").alias("methodology"),
+        safe_float(first_of(F.col("p"), PAYER_KEYS["estimated_amount"])).alias("estimated_amount"), safe_float(first_of(F.col("p"), PAYER_KEYS["median_amount"])).alias("median_amount"), safe_float(first_of(F.col("p"), PAYER_KEYS["10th_percentile"])).alias("pct_10"), safe_float(first_of(F.col("p"), PAYER_KEYS["90th_percentile"])).alias("pct_90"),
+        safe_count(first_of(F.col("p"), PAYER_KEYS["count"])).alias("claim_count"), F.col("p.additional_payer_notes").alias("additional_notes"), F.col("p.footnote").alias("footnote"),
         F.col("billing_class").alias("rate_billing_class"), F.col("setting").alias("rate_setting"),
     )
     there = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
@@ -148,7 +153,7 @@ def metadata(parts: DataFrame) -> DataFrame:
     text = lambda v: F.coalesce(F.array_join(F.try_variant_get(v, "$", "array<string>"), "|"), F.try_variant_get(v, "$", "string"))
     deep = lambda v, k: F.coalesce(F.try_variant_get(v, f"$.{k}", "string"), F.try_variant_get(v, f"$[0].{k}", "string"))
     c = F.col
-    short = F.create_map(*(F.lit(x) for one in STATES.split(", ") for x in (one[:-3].upper(), one[-2:])))
+    short = F.create_map(*(F.lit(x) for one in values.STATES.split(", ") for x in (one[:-3].upper(), one[-2:])))
     state = lambda v: F.coalesce(F.try_element_at(short, F.coalesce(F.upper(F.trim(v)), F.lit(""))), F.when(F.length(F.trim(v)) == 2, F.upper(F.trim(v))))
     npis = F.coalesce(F.array_join(F.try_variant_get("r.type_2_npi", "$", "array<string>"), "|"), F.try_variant_get("r.type_2_npi", "$", "string"))
     return r.select(

@@ -72,7 +72,7 @@ def rates(items: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     p = x.select("file_id", "ord", "n", "billing_code", "billing_code_type", "billing_code_type_version", "negotiation_arrangement", F.explode("r.negotiated_prices").alias("p"))
     p = p.select("*", "p.*").drop("p").withColumn("value", F.col("negotiated_rate").try_cast("double"))
     p = p.filter(price_fault(F.col("negotiated_type"), F.col("billing_class"), F.col("negotiated_rate"), F.col("value")).isNull())
-    mods = F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(F.filter("billing_code_modifier", lambda m: m.isNotNull()), lambda m: F.transform(F.split(m, ","), F.trim))), lambda m: m != "")))
+    mods = F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(F.filter("billing_code_modifier", lambda m: m.isNotNull()), lambda m: F.transform(F.split(m, ","), lambda x: F.trim(x)))), lambda m: m != "")))
     p = p.withColumns({
         "setting": F.when(F.col("setting").isin(SETTINGS), F.col("setting")).otherwise(""), "expiration_date": values.expiration(F.col("expiration_date")),
         "service_codes": F.nullif(F.array_join(F.array_sort("service_code"), "|"), F.lit("")), "modifiers": F.nullif(F.array_join(mods, "|"), F.lit("")),

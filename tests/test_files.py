@@ -139,3 +139,9 @@ def test_flatten_edges(spark):
     docs = [(1, '{"description":"a"}'), (2, '{"code_information":[{"code":"1","type":"CDM"}]}'), (3, "nope"), (4, '{"standard_charges":[]}'), (5, None)]
     df = spark.createDataFrame([("f", i, d) for i, d in docs], "file_id string, ord long, raw string")
     assert [(r.ord, r.code) for r in nested.flatten(df).collect()] == [(2, "1")]
+
+
+def test_flatten_spellings(spark):
+    doc = {"code_information": [{"code": "1", "type": "CDM"}], "standard_charges": [{"setting": " Both ", "billing_class": "odd", "discounted_cash_price": "150", "min": 80, "max": "400", "modifier_code": [" 26", " "]}, {"setting": "x", "modifiers": "59"}]}
+    got = nested.flatten(spark.createDataFrame([("f", 1, json.dumps(doc))], "file_id string, ord long, raw string")).orderBy("n").collect()
+    assert [(r.billing_class, r.setting, r.modifiers, r.discounted_cash_price, r.min_negotiated_rate, r.max_negotiated_rate) for r in got] == [("", "both", "26", 150.0, 80.0, 400.0), ("", "x", "59", None, None, None)]

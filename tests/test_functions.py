@@ -90,3 +90,13 @@ def test_strip_is_total(text):
 def test_nulls(spark, bad):
     for f in (V.safe_float, V.safe_count, V.ein, V.first_npi, V.methodology_type):
         assert column(spark, f, [bad]) == [None]
+
+
+def test_addresses_and_file_names(spark):
+    got = column(spark, V.address_parts, ["170 Alameda, Redwood City, CA 94062", "1001 A AVE, SAN FRANCISCO, CALIFORNIA 94110-3518", "4601 DALE RD MODESTO 95356 CA", "MS 38827 | 351 Peoples Dr, Pontotoc", "123 Main St", "", None])
+    assert [g and tuple(g) for g in got] == [
+        ("170 Alameda", "Redwood City", "CA", "94062"), ("1001 A AVE", "SAN FRANCISCO", "CA", "94110-3518"), ("4601 DALE RD MODESTO", None, "CA", "95356"),
+        ("351 Peoples Dr", "Pontotoc", "MS", "38827"), ("123 Main St", None, None, None), None, None,
+    ]
+    got = column(spark, V.file_ids, ["68-0396600-1801821376_John_standardcharges.zip", "subset_946174066_x.json.gz", "plain.csv", None])
+    assert [g and tuple(g) for g in got] == [("680396600", "1801821376"), ("946174066", None), (None, None), (None, None)]
