@@ -37,6 +37,8 @@ PAGES = ("cp1252", "latin-1", "cp1251", "cp437", "cp850", "mac_roman", "cp1250",
 FFFD = "�"
 BROADCAST_SYMBOLS = 50_000
 FOREIGN = r"[^\x00-\x7F]"
+#: Prior weight of a sound letter for itself, above what a scarcer letter's contexts may lend to a commoner one.
+SOUND = 1000.0
 PRIVATE = 0xF0000  # first code point of a plane for private use
 
 
@@ -182,7 +184,7 @@ def em(symbol: str, ctx: list[tuple[str, str, int]], lm: dict, rounds: int = 25,
         return FFFD, 1.0
     prior = dict(symbols().get(symbol, {}))
     if len(symbol) == 1 and symbol in _letter_set():
-        prior[symbol] = 4.0
+        prior[symbol] = SOUND  # a letter stands for itself; its own contexts taught the bigrams
     xs = list(dict.fromkeys([*prior, *lm]))
     if not xs:
         return symbol, 1.0
