@@ -4,7 +4,8 @@ Addresses are parsed into region, locality, street, number and unit, and linked
 
 1. region and locality: a ZIP code names the locality most records give it; without one, the typed city (from the address,
    else from the location field) is linked to a known locality, exactly or within one edit, in its region if that is given;
-2. street, within a locality and house number: spellings within one edit (two for long names) join the commonest one;
+2. street: a rare spelling within one edit of a name that is known elsewhere takes that name; within a locality and house
+   number spellings within one edit join the commonest one;
 3. direction and street type: a missing one inherits the only candidate of its street; several candidates leave it open;
 4. number: part of every key, never inherited. Units do not tell locations apart and are dropped.
 
@@ -214,7 +215,10 @@ def locate(records: DataFrame, row_id: str = "meta_id") -> DataFrame:
     rows = rows.withColumn("level", F.when(F.col("locality").isNotNull(), "located").when(F.col("heir").isNotNull(), "inherited").otherwise("open"))
     rows = rows.withColumn("locality", F.coalesce("locality", "heir", F.lit("?")))
 
-    # 2. streets within a locality and number
+    # 2. streets: a rare spelling of a name known elsewhere takes that name, then spellings join within a locality and number
+    named = rows.filter("street is not null").groupBy("street").agg(F.count("*").alias("n"))
+    everywhere = join_spellings(named, [], "street").join(named, "street").join(named.select(F.col("street").alias("main"), F.col("n").alias("m")), "main")
+    rows = rows.join(everywhere.filter("m >= 3 * n").select("street", "main"), "street", "left").withColumn("street", F.coalesce("main", "street")).drop("main")
     spelt = rows.filter("number is not null and street is not null").groupBy("locality", "number", "street").agg(F.count("*").alias("n"))
     streets = join_spellings(spelt, ["locality", "number"], "street")
     rows = rows.join(streets, ["locality", "number", "street"], "left").withColumn("street", F.coalesce("main", "street")).drop("main")
