@@ -40,7 +40,11 @@ REVENUE_CODES = [int(x) for x in (
     "420 424 430 440 450 460 470 471 480 481 483 489 510 521 610 611 615 618 636 637 710 721 722 730 731 740 750 760 812 906 916 918 920 921 922 940 942 "
     "949 987 998"
 ).split()]
-LETTER_MODIFIERS = ["TC", "QW", "LT", "RT", "SG", "JW", "JZ", "GT", "GP", "GN", "GO", "CP", "SC", "NU", "RR", "UE", "KX", "XS", "XU"]
+LETTER_MODIFIERS = ["TC", "JW", "JZ", "TB", "SL", "XE", "XP", "XS", "XU", "QW", "LT", "RT", "GY", "FY", "GO", "GN", "GP", "NU", "PO"]
+DIGIT_MODIFIERS = ["26", "54", "55", "56", "58", "78", "79", "24", "76", "77", "91", "59", "22", "25", "50", "52", "90", "95"]
+SHORT_WORDS = {"XR": "XRAY", "BIL": "BILATERAL", "BILAT": "BILATERAL", "W": "WITH", "WO": "WITHOUT", "BX": "BIOPSY"}
+EMPTY_DESCRIPTIONS = ["OTHER OUTPATIENT", "OUTPATIENT", "OTHER", "MISC", "MISCELLANEOUS"]
+FILLER_WORDS = ["AND", "OF", "OR", "THE", "WITH", "WITHOUT", "FOR", "TO", "IN", "ON", "BY", "A", "AN"]
 ATTACHED = {  # a prefix run into a code that is valid for it
     "MS-DRG": r"(?i)^(?:(?:MS-DRG|MSDRG|DRG)|MS-)(\d{1,3})$",
     "APR-DRG": r"(?i)^(?:APR-DRG|APRDRG)(\d{3}(?:-\d|\d)?)$",
@@ -256,6 +260,51 @@ def baked_modifier(code: Column, kind: Column, modifiers: list[str] | None = Non
     )
 
 
+def description_words(c: Column) -> Column:
+    """Distinct words of a description, short forms written out, without fillers and single letters."""
+    text = F.trim(F.regexp_replace(F.regexp_replace(F.upper(c), r"\bX-RAYS?\b", "XRAY"), r"[^A-Z0-9]+", " "))
+    full = F.create_map(*(F.lit(x) for kv in SHORT_WORDS.items() for x in kv))
+    words = F.transform(F.split(text, " "), lambda w: F.coalesce(F.try_element_at(full, w), w))
+    said = F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(FILLER_WORDS))
+    return F.when((text != "") & ~text.isin(EMPTY_DESCRIPTIONS), F.array_distinct(said))
+
+
+def descriptions_match(row: Column, reference: Column) -> Column:
+    """At least half of the reference's words are in the row's, one of them of four letters or more; false for nulls."""
+    ours, theirs = description_words(row), description_words(reference)
+    shared = F.array_intersect(theirs, ours)
+    return F.coalesce((F.size(theirs) > 0) & (F.size(shared) * 2 >= F.size(theirs)) & F.exists(shared, lambda w: F.length(w) >= 4), F.lit(False))
+
+
+def split_modifiers(df: DataFrame, validity: DataFrame | None = None, descriptions: DataFrame | None = None, published: DataFrame | None = None) -> DataFrame:
+    """Replaces code and code_type and adds `baked`: modifiers run into codes under CDM, LOCAL or no type.
+
+    Letter suffixes split on shape; published(code_type, code) restricts them to known codes. Digit suffixes split only where
+    validity(code, modifier) allows the pair and, if descriptions(code, description) are given, the row's description
+    fits the code's. The three are joined on equal keys; their size decides how.
+    """
+    shape = rf"^(\d{{5}}|[A-CE-V]\d{{4}})({'|'.join([*LETTER_MODIFIERS, *DIGIT_MODIFIERS])})$"
+    may = F.coalesce((F.col("code_type").isNull() | F.col("code_type").isin("CDM", "LOCAL")) & F.col("code").rlike(shape), F.lit(False))
+    d = settled(df, _h=F.when(may, F.regexp_extract("code", shape, 1)), _m=F.when(may, F.regexp_extract("code", shape, 2)))
+    d = d.withColumn("_to", F.when(F.col("_h").rlike(r"^\d"), "CPT").otherwise("HCPCS"))
+    digit, ok = F.col("_m").isin(DIGIT_MODIFIERS), F.col("_h").isNotNull()
+    if published is not None:
+        p = published.select(F.col("code_type").alias("_to"), F.col("code").alias("_h")).distinct().withColumn("_known", F.lit(True))
+        d, ok = d.join(p, ["_to", "_h"], "left"), ok & F.col("_known").isNotNull()
+    if validity is None:
+        ok = ok & ~digit
+    else:
+        v = validity.select(F.col("code").alias("_h"), F.col("modifier").alias("_m")).distinct().withColumn("_valid", F.lit(True))
+        d, ok = d.join(v, ["_h", "_m"], "left"), ok & (~digit | F.col("_valid").isNotNull())
+    if descriptions is not None:
+        t = descriptions.groupBy(F.col("code").alias("_h")).agg(F.min("description").alias("_text"))
+        d = d.join(t, "_h", "left")
+        ok = ok & (~digit | descriptions_match(F.col("description"), F.col("_text")))
+    ok = F.coalesce(ok, F.lit(False))
+    out = settled(d, code=F.when(ok, F.col("_h")).otherwise(F.col("code")), code_type=F.when(ok, F.col("_to")).otherwise(F.col("code_type")), baked=F.when(ok, F.col("_m")))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns if c != "baked"), "baked")
+
+
 def billing_class(code: Column, kind: Column, description: Column, given: Column) -> Column:
     """struct(billing_class, code, code_type): inferred only where none is given."""
     none = F.coalesce(given, F.lit("")) == ""

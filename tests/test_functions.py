@@ -100,3 +100,15 @@ def test_addresses_and_file_names(spark):
     ]
     got = column(spark, V.file_ids, ["68-0396600-1801821376_John_standardcharges.zip", "subset_946174066_x.json.gz", "plain.csv", None])
     assert [g and tuple(g) for g in got] == [("680396600", "1801821376"), ("946174066", None), (None, None), (None, None)]
+
+
+def test_split_modifiers(spark):
+    rows = [(1, "73721TC", "CDM", "MRI knee"), (2, "7372126", "CDM", "MRI KNEE WO contrast"), (3, "7372126", None, "Other"), (4, "4954052", "LOCAL", "azithromycin tab"), (5, "A4253QW", None, None), (6, "73721TC", "CPT", None), (7, None, None, None), (8, "02573ZZ", None, None)]
+    df = spark.createDataFrame(rows, "i int, code string, code_type string, description string")
+    validity = spark.createDataFrame([("73721", "26")], "code string, modifier string")
+    texts = spark.createDataFrame([("73721", "MRI joint knee without contrast")], "code string, description string")
+    known = spark.createDataFrame([("CPT", "73721")], "code_type string, code string")
+    got = lambda **k: {r.i: (r.code, r.code_type, r.baked) for r in C.split_modifiers(df, **k).collect() if r.baked}
+    assert got() == {1: ("73721", "CPT", "TC"), 5: ("A4253", "HCPCS", "QW")}
+    assert got(validity=validity) == {1: ("73721", "CPT", "TC"), 2: ("73721", "CPT", "26"), 3: ("73721", "CPT", "26"), 5: ("A4253", "HCPCS", "QW")}
+    assert got(validity=validity, descriptions=texts, published=known) == {1: ("73721", "CPT", "TC"), 2: ("73721", "CPT", "26")}
