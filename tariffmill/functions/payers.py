@@ -19,7 +19,17 @@ SELF_PAY = [
 ]
 SELF_PAY_WORDS = r"SELF PAY|SELF-PAY|SELFPAY|UNINSURED"
 ENTITIES = {"&amp;": "&", "&#39;": "'", "&apos;": "'", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&nbsp;": " "}
-TRAILING = ["HEALTH PLAN", "HEALTHCARE", "HEALTH SERVICES", "HEALTH"]
+NOBODY = ["#N/A", "N/A", "GENERIC COMMERCIAL/INDEMNITY", "GENERIC COMMERCIAL", "GENERIC HMO", "GENERIC PPO", "MEDICARE ADV GENERIC", "MEDI-CAL"]
+SITE_PREFIXES = ["SHCA COMM", "HILLS", "PSYCH", "JMPN", "NODE", "MC GENERIC", "TUH", "JNS", "CHH", "FCOD", "NACC", "JUP", "STOD", "PAYER", "PRO"]
+NUMBERED_NAMES = ["IMAGINE 360", "ADVANTAGE 360", "PLAN 80", "PLAN 65", "PLAN 1000"]
+PLAN_ENDINGS = [
+    " MEDICARE ADVANTAGE", " MEDICARE ADV", " MEDICARE A/B REBILL", " MCR ADV - ALL PLANS", " MCR ADV - ALL OTHER PLANS", " MCR ADV", " COMM - ALL OTHER PLANS",
+    " PPO/HPN - ALL OTHER PLANS", " PPO/HMO-ALL OTHER PLANS", " PPO-ALL OTHER PLANS", " PPO - ALL OTHER PLANS", " HMO-ALL OTHER PLANS", " HMO - ALL OTHER PLANS",
+    "-ALL OTHER PLANS", "-ALL PLANS", " - ALL OTHER PLANS", " - ALL PLANS", " ALTERNATE PAYER", " ALTERNATE PAYOR", " ALT PAYOR", " ALT PAYER", "-NETWORK MCARE", "-NETWORK",
+    " NETWORK SELECT", " DOCTORS PLAN PPO/EP", " DOCTORS PLAN", " SELECT/NAVIGATE/CORE", " TAILORED NETWORK", " ENHANCEDCARE", " CHOICE CARE", " FEDERAL EMPLOYEES", " NEW BUS OAP",
+    " MCARE", " MEDICARE", " HMO/IFP", " HMO/PPO", " HMO/POS", " PPO/EPO", " HMO", " PPO", " EPPO", " EPO", " POS", " INDEMNITY", " LIFE", " MEDI-CAL", " MEDICAID MANAGED CARE",
+    " MEDICAID", " MCAL", " MCD", " MCR", " COMMERCIAL",
+]
 # ------------------------------------------------------------------
 
 
@@ -57,15 +67,36 @@ def names_nobody(c: Column) -> Column:
     return F.coalesce(unwrap(c).rlike(r"^[\s$%.,0-9/_-]*$"), F.lit(True))
 
 
+def core_name(c: Column) -> Column:
+    """The name without a leading percentage, site codes, dates, ids and contract status."""
+    s = F.regexp_replace(unwrap(c), r"^\d+(?:\.\d+)?\s*%\s*(?:-\s*)?", "")
+    s = F.regexp_replace(s, r"(?i)\s+\d{8}(?:\s+\(.*?\))?\s*$", "")
+    bare = F.regexp_replace(F.regexp_replace(s, r"(?:,\s*\S+\s+\d{3,5})+$", ""), r"\s+\d{2,5}$", "")
+    s = F.when(F.upper(s).isin(NUMBERED_NAMES) | F.upper(s).contains("LOCAL "), s).otherwise(bare)
+    s = F.regexp_replace(s, "(?i)^(?:" + "|".join(SITE_PREFIXES) + ") (?=.)", "")
+    return strip(F.regexp_replace(F.regexp_replace(s, r"(?i)^WC\s+(?=.)", ""), r"(?i)(?<=.)\s+(?:NON[-\s]?CONTRACT(?:ED)?|CONTRACTED)$", ""))
+
+
+def plan_ending(name: Column) -> Column:
+    """The plan that a payer's name ends in, null without one or if nothing else would be left."""
+    ends = "|".join(p.replace("/", r"\/").replace("-", r"\-") for p in sorted(PLAN_ENDINGS, key=len, reverse=True))
+    return F.nullif(F.regexp_extract(name, rf"(?i)^.*?[^\s-]({ends})$", 1), F.lit(""))
+
+
 def resolve(names: DataFrame, column: str, dictionary: DataFrame | None = None) -> DataFrame:
-    """Adds payer_name: the canonical name of the longest run of leading words found in the dictionary, else the name in
+    """Adds payer_name and plan_hint (the plan that the name ends in). payer_name: the canonical name of the longest run of leading words found in the dictionary, else the name in
     title case, one spelling per match key; null for self-pay and names of nobody.
 
     names may repeat: each distinct name is looked up once. The dictionary is joined on equal keys (its size decides how).
     """
     distinct = names.select(F.col(column).alias("_raw")).filter("_raw is not null").distinct()
-    key = F.regexp_replace(payer_key(F.col("_raw")), r",?\s*(?:INC|LLC|LP|CO)\.?$", "")
-    todo = distinct.withColumn("_key", key).withColumn("_ok", ~names_nobody(F.col("_raw")) & ~is_self_pay(F.col("_raw")))
+    todo = distinct.withColumn("_core", core_name(F.col("_raw"))).withColumn("_end", plan_ending(F.col("_core")))
+    todo = todo.withColumn("_name", strip(F.regexp_replace(F.substring("_core", F.lit(1), F.length("_core") - F.coalesce(F.length("_end"), F.lit(0))), r"[\s-]+$", "")))
+    todo = todo.withColumn("_key", F.regexp_replace(F.upper("_core"), r",?\s*(?:INC|LLC|LP|CO)\.?$", ""))
+    nobody = names_nobody(F.col("_core")) | F.upper("_core").isin(NOBODY)
+    todo = todo.withColumn("_ok", ~nobody & ~is_self_pay(F.col("_raw")))
+    hint = F.when(payer_key(F.col("_raw")).rlike(r"^WC\s+."), "Workers Comp").otherwise(F.regexp_replace(strip(F.col("_end")), r"^[\s-]+", ""))
+    todo = todo.withColumn("_hint", hint)
     if dictionary is not None:
         words = F.split("_key", " ")
         runs = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(words, F.lit(1), n), " ").alias("k")))
@@ -75,13 +106,21 @@ def resolve(names: DataFrame, column: str, dictionary: DataFrame | None = None)
         todo = todo.join(found, "_raw", "left")
     else:
         todo = todo.withColumn("_canonical", F.lit(None).cast("string"))
-    free = todo.withColumns({"_title": title_case(unwrap(F.col("_raw"))), "_match": match_key(F.col("_raw"))})
+    free = todo.withColumns({"_title": title_case(F.col("_name")), "_match": match_key(F.col("_name"))})
     one = free.filter("_ok and _canonical is null").groupBy("_match").agg(F.min("_title").alias("_one"))
-    named = free.join(one, "_match", "left").select("_raw", F.when(F.col("_ok"), F.coalesce("_canonical", "_one")).alias("payer_name"))
+    named = free.join(one, "_match", "left").select("_raw", F.when(F.col("_ok"), F.coalesce("_canonical", "_one")).alias("payer_name"), F.when(F.col("_ok"), F.col("_hint")).alias("plan_hint"))
     return names.join(named, F.col(column).eqNullSafe(F.col("_raw")), "left").drop("_raw")
 
 
 # Labels of plans by ordered patterns on the upper-case name (the first that matches wins), and what each label means.
+PLAN_SHORT = {
+    "Medicare Advantage": "MCR MCRPOS MCRSNP MGMCR PFFS DSNP SNP CSNP ISNP MMP MAPD", "Medi-Cal": "MCD", "Medi-Cal Managed Care": "MGMCD", "Workers Comp": "WC WCOMP",
+    "Medicaid": "CHIP SCHIP", "Commercial": "COM COMM IFP ASO COCM", "Marketplace": "QHP", "Government": "FEP FEHB GEHA CHAMPVA", "Behavioral Health": "COMMBH",
+}
+RUN_TOGETHER = [  # parts of names written in one word
+    (r"WC$", "Workers Comp"), (r"MGDMCAID|MGDMCAL|MCAID", "Medi-Cal Managed Care"), (r"MCAL", "Medi-Cal"), (r"HIX|EXCHANGE", "Marketplace"), (r"MEDICARE|MCARE", "Medicare Advantage"),
+    (r"BEHAVIORAL", "Behavioral Health"), (r"INDEMNITY", "Commercial Indemnity"), (r"RECIPROCITY|ANCILLARY|GATEKEEPER|SELECT|NONMCS|MEDICAL", "Commercial"),
+]
 PLAN_RULES = [
     (r"WORKER'?S?[_ ]?COMP|^WORK COMP$", "Workers Comp"),
     (r"\bTRICARE\b", "TRICARE"),
@@ -138,9 +177,12 @@ def plan_class(c: Column, payer: Column | None = None) -> Column:
     """
     name = unwrap(c)
     up = F.upper(name)
-    hits = F.filter(F.array(*(F.when(up.rlike(p), F.lit(label)) for p, label in PLAN_RULES)), lambda x: x.isNotNull())
+    rules = [*((f"^(?:{w.replace(' ', '|')})$", label) for label, w in PLAN_SHORT.items()), *PLAN_RULES]
+    hits = F.filter(F.array(*(F.when(up.rlike(p), F.lit(label)) for p, label in rules)), lambda x: x.isNotNull())
+    joined = F.filter(F.array(*(F.when(up.rlike(p), F.lit(label)) for p, label in RUN_TOGETHER)), lambda x: x.isNotNull())
+    one_word = F.when(~up.contains(" ") & (F.length(up) > 6), F.get(joined, F.lit(0)))
     same = F.when(up == F.upper(payer), F.lit("Commercial")) if payer is not None else F.lit(None).cast("string")
     blank = F.coalesce(name, F.lit("")) == ""
-    label = F.when(blank, "Other").otherwise(F.coalesce(F.get(hits, F.lit(0)), same, title_case(strip(c))))
+    label = F.when(blank, "Other").otherwise(F.coalesce(F.get(hits, F.lit(0)), same, one_word, title_case(strip(c))))
     means = lambda k: F.try_element_at(F.create_map(*(F.lit(x) for n, v in PLAN_MEANS.items() if v[k] for x in (n, v[k]))), label)
     return F.struct(F.coalesce(means(0), F.lit("Other")).alias("plan_category"), means(1).alias("plan_network"), label.alias("plan_name"))

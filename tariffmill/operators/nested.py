@@ -114,9 +114,9 @@ def tables(parts: DataFrame, dictionary: DataFrame | None = None) -> dict[str, D
     there = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
     r = r.filter(values.truthy(F.col("negotiated_rate")) | values.truthy(F.col("negotiated_percentage")) | values.truthy(F.col("estimated_amount")) | there("negotiated_algorithm") | there("methodology"))
     r = payers.resolve(r, "raw_payer_name", dictionary).filter("payer_name is not null")
-    r = r.withColumns({"_pl": payers.plan_class(F.col("plan_name"), F.col("payer_name")), "methodology_type": values.methodology_type(F.col("methodology")), "methodology": values.clean_methodology(F.col("methodology"))})
+    r = r.withColumns({"_pl": payers.plan_class(F.coalesce(values.blank_to_null(F.col("plan_name")), F.col("plan_hint")), F.col("payer_name")), "methodology_type": values.methodology_type(F.col("methodology")), "methodology": values.clean_methodology(F.col("methodology"))})
     r = r.withColumn("_h", values.hoist_methodology(F.col("methodology"), F.col("methodology_type"), F.col("negotiated_rate"), F.col("negotiated_percentage"), F.col("negotiated_algorithm")))
-    out["payer_rates"] = r.withColumns({"methodology": F.col("_h.methodology"), "methodology_type": F.col("_h.methodology_type"), "negotiated_percentage": F.col("_h.negotiated_percentage"), "plan_name": F.col("_pl.plan_name"), "plan_category": F.col("_pl.plan_category"), "plan_network": F.col("_pl.plan_network")}).drop("_h", "_pl")
+    out["payer_rates"] = r.withColumns({"methodology": F.col("_h.methodology"), "methodology_type": F.col("_h.methodology_type"), "negotiated_percentage": F.col("_h.negotiated_percentage"), "plan_name": F.col("_pl.plan_name"), "plan_category": F.col("_pl.plan_category"), "plan_network": F.col("_pl.plan_network")}).drop("_h", "_pl", "plan_hint")
     out["modifiers"] = modifiers(parts, dictionary)
     return out
 
@@ -132,7 +132,7 @@ def modifiers(parts: DataFrame, dictionary: DataFrame | None = None) -> DataFram
     base = m.select("file_id", "ord", F.lit(-1).alias("part"), "code", "description", "setting", null.alias("payer_name"), null.alias("raw_payer_name"), null.alias("plan_name"), null.alias("payer_description"))
     each = m.select("file_id", "ord", F.posexplode("who").alias("part", "p"), "code", "description", "setting")
     each = each.select("file_id", "ord", "part", "code", "description", "setting", F.col("p.payer_name").alias("raw_payer_name"), F.col("p.plan_name").alias("plan_name"), F.col("p.description").alias("payer_description"))
-    return base.unionByName(payers.resolve(each, "raw_payer_name", dictionary).filter("payer_name is not null"))
+    return base.unionByName(payers.resolve(each, "raw_payer_name", dictionary).filter("payer_name is not null").drop("plan_hint"))
 
 
 def header_mappings(parts: DataFrame) -> DataFrame:

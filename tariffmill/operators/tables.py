@@ -205,13 +205,13 @@ def tables(parsed: DataFrame, dictionary: DataFrame | None = None) -> dict[str,
     groups = groups.filter(some).withColumns({"rate_billing_class": F.col("billing_class"), "rate_setting": F.col("setting")})
     pieces = tall.drop("data", "cells").unionByName(groups).unionByName(setting_rates(d, by_setting, base))
     named = payers.resolve(pieces, "raw_payer_name", dictionary).filter("payer_name is not null")
-    named = named.withColumns({"_pl": payers.plan_class(F.col("plan_name"), F.col("payer_name")), "_mt": values.methodology_type(F.col("methodology")), "methodology": values.clean_methodology(F.col("methodology"))})
+    named = named.withColumns({"_pl": payers.plan_class(F.coalesce(values.blank_to_null(F.col("plan_name")), F.col("plan_hint")), F.col("payer_name")), "_mt": values.methodology_type(F.col("methodology")), "methodology": values.clean_methodology(F.col("methodology"))})
     named = named.withColumn("_h", values.hoist_methodology(F.col("methodology"), F.col("_mt"), F.col("negotiated_rate"), F.col("negotiated_percentage"), F.col("negotiated_algorithm")))
     out["payer_rates"] = named.withColumns({
         "plan_name": F.col("_pl.plan_name"), "plan_category": F.col("_pl.plan_category"), "plan_network": F.col("_pl.plan_network"), "methodology": F.col("_h.methodology"),
         "methodology_type": F.col("_h.methodology_type"), "negotiated_percentage": F.col("_h.negotiated_percentage"),
         "rate_billing_class": F.coalesce("rate_billing_class", F.lit("")), "rate_setting": F.coalesce("rate_setting", F.lit("")),
-    }).drop("_pl", "_mt", "_h", "first_sub")
+    }).drop("_pl", "_mt", "_h", "first_sub", "plan_hint")
 
     first = d.filter("sub = first_sub").withColumn("_s", F.when(F.col("three") | F.col("two"), F.lit(None)).otherwise(F.col("setting")))
     shown = by_setting.groupBy("file_id", "ord").agg(F.min_by("setting", F.struct("sub", "part")).alias("_first"))

@@ -78,6 +78,13 @@ def test_payers(spark):
     names = spark.createDataFrame([("aetna ppo",), ("AETNA PPO",), ("Cash",), ("12%",), (None,), ("Zed Plans",), ("zed plan",)], "raw string")
     dic = spark.createDataFrame([("AETNA", "Aetna")], "key string, canonical string")
     assert [r.payer_name for r in P.resolve(names, "raw", dic).orderBy("raw").collect()] == [None, None, "Aetna", None, "Zed Plan", "Aetna", "Zed Plan"]
+    more = spark.createDataFrame([("WC Zenith",), ("TUH Aetna HMO 1234",), ("Beech Street - ALL OTHER PLANS",), ("40% Acme",), ("Imagine 360",), ("Generic HMO",), ("PPO",)], "raw string")
+    got = {r.raw: (r.payer_name, r.plan_hint) for r in P.resolve(more, "raw", dic).collect()}
+    assert got == {
+        "WC Zenith": ("Zenith", "Workers Comp"), "TUH Aetna HMO 1234": ("Aetna", "HMO"), "Beech Street - ALL OTHER PLANS": ("Beech Street", "ALL OTHER PLANS"), "40% Acme": ("Acme", None),
+        "Imagine 360": ("Imagine 360", None), "Generic HMO": (None, None), "PPO": ("Ppo", None),
+    }
+    assert [p.plan_name for p in column(spark, P.plan_class, ["MGMCR", "Molinamgdmcaid", "Corvelwc"])] == ["Medicare Advantage", "Medi-Cal Managed Care", "Workers Comp"]
 
 
 @settings(max_examples=30, deadline=None)
