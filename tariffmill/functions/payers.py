@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .values import strip, title_case
 
 # Names that stand for the cash price, names that name nobody, endings of companies.
@@ -96,7 +97,7 @@ def resolve(names: DataFrame, column: str, dictionary: DataFrame | None = None)
     nobody = names_nobody(F.col("_core")) | F.upper("_core").isin(NOBODY)
     todo = todo.withColumn("_ok", ~nobody & ~is_self_pay(F.col("_raw")))
     hint = F.when(payer_key(F.col("_raw")).rlike(r"^WC\s+."), "Workers Comp").otherwise(F.regexp_replace(strip(F.col("_end")), r"^[\s-]+", ""))
-    todo = todo.withColumn("_hint", hint)
+    todo = cut(todo.withColumn("_hint", hint))  # distinct names, read by each step below
     if dictionary is not None:
         words = F.split("_key", " ")
         runs = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(words, F.lit(1), n), " ").alias("k")))
