@@ -1,20 +1,28 @@
 """Link variant spellings of payer names (problem 1) by merge-and-rematch.
 
 Every distinct text of the name columns becomes a profile: lead name, region, id, initials, nickname form, after its
-encoding is restored. Profiles are merged, merged ones union their spellings, ids and initials, and the richer profiles
-enter blocking again until a round merges nothing:
+encoding is restored. Texts of equal parts are one profile from the start. Every round blocks the merged profiles on the
+union of what their texts say, until a round merges nothing:
 
-    round 1   blocks on (region, lead); leads within one edit of a commoner lead of their region join it
-    every     the same id; two texts that stand in one row as raw and normalized name
-    round     a nickname (the lead cut short) of exactly one profile of its region
-              bare initials that belong to exactly one profile
+    id          the same id in a text of each
+    spelling    a spelling of the lead within one edit of a spelling of a commoner profile of its region, as written or as
+                spoken (ph for f)
+    lost        a lead with lost letters that fits a lead of its region
+    cut         a nickname (the lead cut short) of a lead of its region
+    open        a lead without region
+    initials    bare initials of lead, region and organisation words
 
-A link is refused where it would join different regions, or leads that are not spellings of each other: a lead name
-with another region is another payer. Regions beyond the listed ones are told from leads by the data: of two unknown
-words the one that stands beside more different words is the region.
+The last four must meet one profile. A merge is refused where the merged profiles have different regions, leads that are not
+spellings of each other, or ids of which none is common: a lead name with another region is another payer.
 
-All steps are joins and aggregations on distinct texts with their counts, never on rows; labels spread by minimum over
-edges to hubs (key, id), so that no group is paired out. Texts are known by a 64-bit hash. Lineage is cut per round.
+That two texts stand in one row, as raw and normalized name, is a hint only: it decides between several candidates, and once
+no round merges anything it takes in profiles that stand beside exactly one other, under the same check.
+
+Regions beyond the listed ones are told from leads by the data: of two unknown words the one that stands beside more
+different words is the region, or else the one that stands second.
+
+All steps are joins and aggregations on distinct texts with their counts, never on rows. A round merges into profiles that
+stay, never along chains, so that everything merged was checked. Texts are known by a 64-bit hash. Lineage is cut per round.
 
 Defined results: null texts name nobody; a text without lead and id (blank, signs only) is a payer of its own.
 """
@@ -32,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from . import encoding
-from .address import edits, join_spellings
+from .address import edits, variants
 from .canonical import distance
 
 # Region words and the organisation words of payer names, each with customary short forms.
@@ -65,12 +73,14 @@ def fold(text: str) -> str:
 
 @lru_cache(maxsize=200_000)
 def _near(word: str, regions: bool) -> str | None:
-    """The group of a known long word within one edit (two for nine letters and more)."""
+    """The group of a known long word within one edit (two for nine letters and more); empty where several regions are as near."""
     if len(word) < 4:
         return None
     known = REGION_OF if regions else ORG_OF
-    best = min(((distance(word, w), w) for w in known if len(w) > 3 and abs(len(w) - len(word)) < 3), default=(9, ""))
-    return known[best[1]] if best[0] <= (2 if len(word) > 8 else 1) else None
+    near = sorted((distance(word, w), w) for w in known if len(w) > 3 and abs(len(w) - len(word)) < 3)
+    if not near or near[0][0] > (2 if len(word) > 8 else 1):
+        return None
+    return "" if regions and len({known[w] for d, w in near if d == near[0][0]}) > 1 else known[near[0][1]]
 
 
 def profile(name: str) -> dict:
@@ -106,12 +116,14 @@ def profile(name: str) -> dict:
             r, o = _near(words[i], True), _near(words[i], False)
             if r and not any(k and k[0] == "region" for k in kinds):
                 kinds[i] = ("region", r)
+            elif r == "" and len(free) > 1 and not any(k and k[0] == "region" for k in kinds):
+                kinds[i] = ("unclear", r)
             elif o:
                 kinds[i] = ("org", o)
             else:
                 continue
             free.remove(i)
-    out["free"] = [words[i] for i, k in enumerate(kinds) if k is None and len(words[i]) > 1]
+    out["free"] = [words[i] for i, k in enumerate(kinds) if k is None and len(words[i]) > 1 and re.search("[a-z]", words[i])]
     out["region"] = next((k[1] for k in kinds if k and k[0] == "region"), None)
     out["lead"] = max(out["free"], key=len) if out["free"] and (out["region"] or len(out["free"]) == 1) else None
     orgs = [k[1] for k in kinds if k and k[0] == "org"]
@@ -136,14 +148,19 @@ def profiles(texts: DataFrame, table: dict[str, str]) -> DataFrame:
 
 
 def settle_regions(p: DataFrame) -> DataFrame:
-    """Lead and region of texts with two unknown words; a shortened region word joins the commonest that it begins."""
-    open_ = p.filter("lead is null and size(free) >= 2").select("key", "n", F.col("free")[0].alias("a"), F.col("free")[1].alias("b"))
-    both = open_.select("key", "n", F.col("a").alias("w"), F.col("b").alias("o")).unionByName(open_.select("key", "n", F.col("b").alias("w"), F.col("a").alias("o")))
-    stats = both.groupBy("w").agg(F.count_distinct("o").alias("partners"), F.sum("n").alias("rows"))
-    head = F.substring("w", 1, 4)
-    main = stats.groupBy(head.alias("h")).agg(F.max_by("w", F.struct("rows", "w")).alias("main"))
-    side = stats.withColumn("h", head).join(main, "h").select("w", "partners", "main")
-    pick = both.join(side, "w").groupBy("key").agg(F.max_by(F.struct("main", "o"), F.struct("partners", "w")).alias("best"))
+    """Lead and region of texts with two unknown words; a shortened or misspelt word counts as the commonest that it stands for."""
+    long = F.filter("free", lambda w: F.length(w) > 2)  # site codes are shorter
+    free = p.filter("lead is null and size(free) >= 2").withColumn("free", F.when(F.size(long) > 1, long).otherwise(F.col("free"))).select("key", "n", F.get("free", F.lit(0)).alias("a"), F.get("free", F.lit(1)).alias("b"))
+    both = free.selectExpr("key", "n", "a as w", "b as o", "0 as second").unionByName(free.selectExpr("key", "n", "b as w", "a as o", "n as second"))
+    stats = both.groupBy("w").agg(F.sum("n").alias("rows"))
+    head = F.concat(F.substring("w", 1, 1), F.substring(F.regexp_replace(F.translate(F.substring("w", 2, 99), "w", "v"), "[aeiou?]", ""), 1, 2))
+    stats = stats.withColumn("h", head)
+    mains = stats.groupBy("h").agg(F.max_by("w", F.struct("rows", "w")).alias("main"))
+    short = F.rlike("main", F.regexp_replace(F.array_join(F.split("w", ""), ".*"), "[^a-z0-9.*]", "."))
+    side = cut(stats.join(mains, "h").select("w", F.when(short | (edits("w", "main") <= 2), F.col("main")).otherwise(F.col("w")).alias("main")))
+    both = both.join(side, "w").join(side.select(F.col("w").alias("o"), F.col("main").alias("beside")), "o")
+    score = both.groupBy("main").agg(F.count_distinct("beside").alias("partners"), (F.sum("second") / F.sum("n")).alias("second"))
+    pick = both.drop("second").join(score, "main").groupBy("key").agg(F.max_by(F.struct("main", "o"), F.struct("partners", "second", "w")).alias("best"))
     pick = pick.select("key", F.col("best.o").alias("lead2"), F.col("best.main").alias("region2"))
     return p.join(pick, "key", "left").withColumn("lead", F.coalesce("lead", "lead2")).withColumn("region", F.coalesce("region", "region2")).drop("lead2", "region2", "free")
 
@@ -165,71 +182,127 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFram
     return nodes.select("key").join(labels, "key", "left").select("key", F.coalesce("label", "key").alias("label"))
 
 
-def hub(kind: str, *parts: str) -> Column:
-    return F.xxhash64(F.lit(kind), *map(F.col, parts))
+def hub(kind: str, *parts: str | Column) -> Column:
+    return F.xxhash64(F.lit(kind), *(F.col(p) if isinstance(p, str) else p for p in parts))
+
+
+def sound(word: str) -> Column:
+    """A lead as it is spoken."""
+    return F.regexp_replace(F.regexp_replace(word, "ph", "f"), "ck", "k")
+
+
+def alike(kind: str, a: str, b: str) -> Column:
+    """Leads that may be spellings of each other, as written or as spoken: within two edits, or one cut short."""
+
+    def near(k: str, x: str | None, y: str | None) -> bool:
+        said = [(x, y), (x.replace("ph", "f").replace("ck", "k"), y.replace("ph", "f").replace("ck", "k"))] if x and y and k != "lost" else []
+        return not said or any(p.startswith(q[:5]) or q.startswith(p[:5]) or distance(p, q) <= 2 for p, q in said)
 
+    @F.pandas_udf("boolean")
+    def run(k: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([near(*z) for z in zip(k, x, y)], dtype=bool)
 
-def alike(a: str, b: str) -> Column:
-    """Leads that may be spellings of each other: within two edits, or one cut short."""
-    near = (edits(a, b) <= 2) | F.col(a).startswith(F.substring(b, 1, 5)) | F.col(b).startswith(F.substring(a, 1, 5))
-    return F.coalesce(near, F.lit(True))
+    return run(kind, a, b)
 
 
-def resolve(rows: DataFrame, columns: tuple[str, str] = ("raw_payer_name", "payer_name"), most_rounds: int = 6) -> DataFrame:
-    """(name, entity): every distinct text of the columns with the id of its payer."""
+def resolve(rows: DataFrame, columns: tuple[str, str] = ("raw_payer_name", "payer_name"), hint: bool = True) -> DataFrame:
+    """(name, entity): every distinct text of the columns with the id of its payer. hint: texts of one row decide where the profiles leave it open."""
     raw, norm = columns
     pairs = cut(rows.groupBy(F.col(raw).alias("x"), F.col(norm).alias("y")).agg(F.count("*").alias("n")))
     texts = reduce(DataFrame.unionByName, [pairs.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("name")).agg(F.sum("n").alias("n")) for c in ("x", "y")])
     texts = texts.groupBy("name").agg(F.sum("n").alias("n"))
     table = {r.symbol: r.letter for r in encoding.garbles(encoding.learn(texts, "name")).limit(encoding.BROADCAST_SYMBOLS).collect()}
-    p = cut(settle_regions(cut(profiles(texts, table))))  # profiles are read five times
-
-    # round 1: spellings of a lead within its region
-    leads = p.filter("lead is not null and region is not null and not nick").groupBy("region", "lead").agg(F.sum("n").alias("n"))
-    mains = join_spellings(leads, ["region"], "lead")
-    p = cut(p.join(mains, ["region", "lead"], "left").withColumn("main", F.when(~F.col("nick"), F.col("main"))))
-    by_key = p.filter("main is not null").select(F.col("key").alias("a"), hub("lead", "region", "main").alias("b"))
-    by_key = by_key.unionByName(p.filter("nick and lead is not null").select(F.col("key").alias("a"), hub("nick", "region", "lead").alias("b")))
-    # an id counts where its texts do not name several leads
-    ids = p.filter("id is not null").groupBy("id").agg(F.count_distinct("region").alias("r"), F.count_distinct("main").alias("m")).filter("r <= 1 and m <= 1").select("id")
-    by_id = p.join(ids, "id").select(F.col("key").alias("a"), hub("id", "id").alias("b"))
-    # two texts of one row name one payer unless their profiles speak against it
-    part = lambda s: p.select(F.col("name").alias(s), F.col("key").alias(f"{s}k"), F.coalesce("main", "lead").alias(f"{s}m"), F.col("region").alias(f"{s}r"))
-    beside = pairs.filter("x <> y").join(part("x"), "x").join(part("y"), "y").filter("xr is null or yr is null or xr = yr")
-    beside = beside.filter(F.col("xm").isNull() | F.col("ym").isNull() | (F.col("xm") == F.col("ym")) | alike("xm", "ym")).select(F.col("xk").alias("a"), F.col("yk").alias("b"))
-    edges = by_key.unionByName(by_id).unionByName(beside)
-    labels = components(p, edges)
-
-    for _ in range(most_rounds):
-        merged = cut(p.join(labels, "key"))
-        links = cut(rematch(merged))
+    p = settle_regions(cut(profiles(texts, table)))  # profiles are read several times
+
+    # first profiles: texts of the same parts
+    named = F.col("lead").isNotNull() & F.col("region").isNotNull()
+    kind = F.when(named & F.col("lead").contains("?"), "lost").when(named & F.col("nick"), "cut").when(named, "full").when(F.col("lead").isNotNull(), "open").when(F.col("initials").isNotNull(), "bare")
+    p = p.withColumn("kind", kind).withColumn("full", F.coalesce(F.col("kind") == "full", F.lit(False)))
+    same = F.when(F.col("kind") == "bare", hub("bare", "initials", "id")).when(F.col("kind") == "open", hub("open", "lead")).otherwise(F.xxhash64("kind", "region", "lead"))
+    p = p.withColumn("label", F.when(F.col("kind").isNull(), F.col("key")).otherwise(same))
+    own = F.lower(F.concat(F.substring("lead", 1, 1), F.substring("region", 1, 1), "orgs"))
+    p = cut(p.withColumn("initials", F.when(F.col("full"), own).otherwise(F.col("initials"))))
+    key = p.select("name", "key")
+    rowmates = pairs.filter("x <> y").join(key.toDF("x", "a"), "x").join(key.toDF("y", "b"), "y").select("a", "b")
+    rowmates = cut(rowmates.unionByName(rowmates.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()) if hint else None
+
+    while True:  # every round takes at least one profile away
+        m = cut(merged(p))
+        at = p.select("key", "label")
+        beside = cut(rowmates.join(at.toDF("a", "label"), "a").join(at.toDF("b", "other"), "b").filter("label <> other").select("label", "other").distinct()) if hint else None
+        links = cut(rematch(p, m, beside))
+        if links.isEmpty() and hint:
+            links = cut(settle(checked(m, beside.withColumn("kind", F.lit("hint"))).withColumn("hinted", F.lit(True))))
         if links.isEmpty():
             break
-        step = components(labels.select(F.col("label").alias("key")).distinct(), links).withColumnRenamed("label", "top")
-        labels = labels.join(step.withColumnRenamed("key", "label"), "label").select("key", F.col("top").alias("label"))
-        labels = cut(labels)
-    return p.join(labels, "key").select("name", F.col("label").alias("entity"))
-
-
-def rematch(p: DataFrame) -> DataFrame:
-    """(a, b): profiles that the merged spellings and initials now join."""
-    full = p.filter("main is not null")
-    # nicknames: a shortened lead that begins leads of exactly one profile of its region
-    short = p.filter("lead is not null and region is not null and nick").select("label", "region", F.col("lead").alias("cut")).distinct()
-    heads = full.select(F.col("label").alias("other"), "region", "lead").distinct()
-    heads = heads.withColumn("cut", F.explode(F.transform(F.sequence(F.lit(4), F.greatest(F.lit(4), F.length("lead") - 1)), lambda k: F.substring("lead", F.lit(1), k)))).drop("lead").distinct()
-    nick = one_other(short.join(heads, ["region", "cut"]))
-    # bare initials: those of the lead, region and organisation words of exactly one profile
-    first = F.lower(F.concat(F.substring("lead", 1, 1), F.substring("region", 1, 1), "orgs"))
-    known = full.filter("orgs is not null").select(F.col("label").alias("other"), first.alias("initials")).distinct()
-    bare = p.groupBy("label").agg(F.max("initials").alias("initials"), F.max(F.col("main").isNotNull()).alias("named")).filter("initials is not null and not named")
-    return nick.unionByName(one_other(bare.select("label", "initials").join(known, "initials"))).distinct()
-
-
-def one_other(found: DataFrame) -> DataFrame:
-    """Links of labels that meet exactly one other label."""
-    one = found.filter("label <> other").groupBy("label").agg(F.count_distinct("other").alias("c"), F.min("other").alias("other")).filter("c = 1")
-    return one.select(F.col("label").alias("a"), F.col("other").alias("b"))
+        p = cut(p.join(links, "label", "left").withColumn("label", F.coalesce("other", "label")).drop("other"))
+    return p.select("name", F.col("label").alias("entity"))
+
+
+def merged(p: DataFrame) -> DataFrame:
+    """One row per profile: the lead and region that most of its texts have, and the union of its ids; whole: lead and region are written out."""
+    most = lambda c: F.max_by(c, F.struct(F.col(c).isNotNull(), "full", "n", c)).alias(c)
+    return p.groupBy("label").agg(F.sum("n").alias("n"), F.max("full").alias("whole"), most("region"), most("lead"), F.collect_set("id").alias("ids"))
+
+
+def rematch(p: DataFrame, m: DataFrame, beside: DataFrame | None) -> DataFrame:
+    """(label, other): profiles to merge, blocked on all their spellings, ids and initials. An id decides before a spelling, a spelling
+    goes to the commonest profile, anything else must meet one profile only, or the one that stands beside it in some row."""
+    p = p.join(m.select("label", "whole"), "label").withColumn("lead", F.explode(F.array_distinct(F.array("lead", sound("lead")))))
+    full = p.filter("full")
+    spelt = full.select("label", "region", "lead").distinct()
+    no = F.lit(None).cast("string")
+    block = lambda side, df, k, *parts, lead=no: df.select("label", F.lit(side).alias("side"), F.lit(k).alias("kind"), hub(k, *parts).alias("block"), lead.alias("lead"))
+    heads = spelt.withColumn("k", F.explode(F.sequence(F.lit(4), F.greatest(F.lit(4), F.length("lead") - 1)))).withColumn("head", F.expr("substring(lead, 1, k)"))
+    part, word, size = p.filter("not whole"), F.col("lead"), F.length("lead")
+    blocks = [block("ab", p.filter("id is not null"), "id", "id"), block("ab", spelt.withColumn("v", F.explode(variants(word))), "spelling", "region", "v", lead=word)]
+    blocks += [block("a", part.filter("kind = 'lost'"), "lost", "region", size, lead=word), block("b", spelt, "lost", "region", size, lead=word)]
+    blocks += [block("a", part.filter("kind = 'cut'"), "cut", "region", "lead"), block("b", heads, "cut", "region", "head")]
+    blocks += [block("a", part.filter("kind = 'open'"), "open", "lead"), block("b", spelt, "open", "lead")]
+    blocks += [block("a", part.filter("initials is not null"), "initials", "initials"), block("b", full.filter("initials is not null"), "initials", "initials")]
+    blocks = cut(reduce(DataFrame.unionByName, blocks).distinct())
+    far = blocks.filter("side <> 'a'").select(F.col("label").alias("other"), "kind", "block", F.col("lead").alias("lead2"))
+    met = blocks.filter("side <> 'b'").join(far, ["kind", "block"]).filter("label <> other")
+    met = met.select("label", "other", "kind", "lead", "lead2").distinct()
+    fits = F.when(F.col("kind") == "spelling", edits("lead", "lead2") <= 1).when(F.col("kind") == "lost", F.rlike("lead2", F.concat(F.lit("^"), F.regexp_replace("lead", r"\?", "."), F.lit("$")))).otherwise(True)
+    cand = checked(m, met.filter(fits).select("label", "other", "kind").distinct()).filter("whole2")
+    if beside is None:
+        cand = cand.withColumn("hinted", F.lit(False))
+    else:
+        cand = cand.join(beside.withColumn("hinted", F.lit(True)), ["label", "other"], "left").fillna(False, ["hinted"])
+    return settle(cand)
+
+
+def checked(m: DataFrame, cand: DataFrame) -> DataFrame:
+    """Candidates (label, other, kind) from the lesser to the greater profile that region, lead and ids allow."""
+    far = m.select(F.col("label").alias("other"), *(F.col(c).alias(f"{c}2") for c in ("n", "whole", "region", "lead", "ids")))
+    c = cand.join(m, "label").join(far, "other").filter(F.struct("whole", "n", "label") < F.struct(F.col("whole2").alias("whole"), F.col("n2").alias("n"), F.col("other").alias("label")))
+    c = c.filter("(region is null or region2 is null or region = region2) and (size(ids) = 0 or size(ids2) = 0 or arrays_overlap(ids, ids2))")
+    return c.filter(alike("kind", "lead", "lead2"))
+
+
+def settle(cand: DataFrame) -> DataFrame:
+    """One target per profile, and only profiles that stay as targets; what is merged into one target agrees with each other."""
+    rank = F.when(F.col("kind") == "id", 0).when(F.col("kind") == "spelling", 1).otherwise(2)
+    target, order = F.struct("other", "hinted", "ids2", "whole2"), F.struct("n2", "other")
+    by = cand.withColumn("rank", rank).groupBy("label", "rank").agg(
+        F.first("n").alias("n"), F.first("ids").alias("ids"), F.count_distinct("other").alias("c"), F.max_by(target, order).alias("top"),
+        F.count_distinct(F.when(F.col("hinted"), F.col("other"))).alias("near_c"), F.max_by(target, F.when(F.col("hinted"), order)).alias("near"),
+    )
+    by = by.groupBy("label").agg(F.min_by(F.struct("n", "ids", "c", "top", "near_c", "near", "rank"), "rank").alias("b")).select("label", "b.*")
+    one = F.when((F.col("rank") == 1) | (F.col("c") == 1), F.col("top")).when(F.col("near_c") == 1, F.col("near"))
+    links = cut(by.select("label", "n", "ids", one.alias("t")).filter("t is not null").select("label", "n", "ids", "t.*"))
+    links = links.join(links.select(F.col("label").alias("other")), "other", "left_anti")
+    # several ids for a target that has none: the one that stands beside it, else none; a target without lead or region says
+    # nothing about what joins it, so one at a time
+    named = F.size("ids") > 0
+    per = links.groupBy("other").agg(
+        F.max_by("label", F.struct("n", "label")).alias("first"), F.count_distinct(F.when(named, F.array_sort("ids"))).alias("c"), F.min(F.when(named, F.array_sort("ids"))).alias("only"),
+        F.max_by("ids", F.when(named & F.col("hinted"), F.struct("n", "label"))).alias("near"),
+    )
+    per = per.select("other", "first", F.coalesce("near", F.when(F.col("c") == 1, F.col("only"))).alias("pick"))
+    agrees = ~named | (F.size("ids2") > 0) | F.coalesce(F.arrays_overlap("ids", "pick"), F.lit(False))
+    return links.join(per, "other").filter(agrees & (F.col("whole2") | (F.col("label") == F.col("first")))).select("label", "other")
 
 
 def found(resolved: DataFrame, salts: int = 8) -> DataFrame:

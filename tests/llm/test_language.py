@@ -102,6 +102,26 @@ def test_names(spark):
     assert names.resolve(empty).count() == 0
 
 
+def test_names_without_rows_in_common(spark):
+    a = ["Kosifipi Harbor Medical Group Plan", "Kosiphiphi Harbor Med Grp Pl", "Kosiphipi Harbor Medical Group Plan", "KOSIFIP\ufffd HARBOR MEDICAL GROUP PLAN", "Kosifi Harbor Care", "KHMGP-10022"]
+    b = ["Zuvaloreth Meridian Health Insurance Company", "ZZ Zuvaloreth Merid. Hlt Ins Co.", "zuvaloreth_mrdn_hlth._ins._company", "Zuvalo Meridian Choice", "ZMHIC 9001"]
+    c, d = ["Rovohuwe Western Assurance Society", "Rovohuwe Western Assurance Society (10009)"], ["Rimahuwe Western Assurance Society", "RWAS-10010"]
+    groups = [a, b, c, d, ["Sefilufi Island Health Plan", "Sefilufi Iland Health Plan"]]
+    rows = [(x, None) for g in groups for x in g] + [(g[0], None) for g in groups] * 5
+    got = {r.name: r.entity for r in names.resolve(spark.createDataFrame(rows, "raw_payer_name string, payer_name string")).collect()}
+    assert [len({got[x] for x in g}) for g in groups] == [1] * 5 and len(set(got.values())) == 5
+
+
+def test_names_of_one_row_are_a_hint(spark):
+    a, b, c = "Rovohuwe Western Assurance Society", "Rimahuwe Western Assurance Society", "Rovohuwe Capital Assurance Society"
+    rows = [(x, None) for x in (a, b, c)] * 3 + [("RWAS-10010", b), ("12", a), ("12", c), ("???", c)]
+    df = spark.createDataFrame(rows, "raw_payer_name string, payer_name string")
+    got = {r.name: r.entity for r in names.resolve(df).collect()}
+    assert len({got[x] for x in (a, b, c, "12")}) == 4 and got["RWAS-10010"] == got[b] and got["???"] == got[c]
+    alone = {r.name: r.entity for r in names.resolve(df, hint=False).collect()}
+    assert len(set(alone.values())) == 6
+
+
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(rnd.randint(0, 60), rnd.randint(0, 60)) for _ in range(45)]
