@@ -166,7 +166,7 @@ def settle_regions(p: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(key, label): the least key of each node's component. edges(a, b) may name hubs that are no nodes."""
+    """(key, label): the least key of each node's component. edges(a, b) may name hubs that are no nodes. Raises where labels still change after the rounds."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = cut(both)
     labels = cut(both.select(F.col("a").alias("key")).distinct().withColumn("label", F.col("key")))
@@ -179,6 +179,8 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFram
         if new.filter("old <> label").isEmpty():
             break
         labels = new.drop("old")
+    else:
+        raise ValueError(f"components: labels still change after {rounds} rounds")
     return nodes.select("key").join(labels, "key", "left").select("key", F.coalesce("label", "key").alias("label"))
 
 

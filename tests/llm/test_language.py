@@ -122,6 +122,13 @@ def test_names_of_one_row_are_a_hint(spark):
     assert len(set(alone.values())) == 6
 
 
+def test_components_are_whole_or_refused(spark):
+    nodes, chain = spark.range(40).toDF("key"), spark.createDataFrame([(i, i + 1) for i in range(39)], "a long, b long")
+    assert {r.label for r in names.components(nodes, chain).collect()} == {0}
+    with pytest.raises(ValueError, match="still change"):
+        names.components(nodes, chain, rounds=2)
+
+
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(rnd.randint(0, 60), rnd.randint(0, 60)) for _ in range(45)]
