@@ -292,8 +292,9 @@ def found(df: DataFrame, row_id: str, field: str, table_name: str) -> DataFrame:
     return out.select(F.lit(table_name).alias("table_name"), "row_id", "text", "restored")
 
 
-def _by_join(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """The same with a join on symbols, for tables too large to send. Symbols of a row are put back in their order."""
+def _by_join(rows: DataFrame, table: DataFrame, lost: bool = False) -> DataFrame:
+    """The same with a join on symbols, for tables too large to send. Symbols of a row are put back in their order. lost: texts with
+    lost bytes are given too, restored as far as they can be."""
 
     @F.pandas_udf("array<string>")
     def pieces(texts: pd.Series) -> pd.Series:
@@ -310,4 +311,4 @@ def _by_join(rows: DataFrame, table: DataFrame) -> DataFrame:
     bad = F.bool_or(F.col("letter").isNotNull())
     whole = parts.groupBy("row_id", "text").agg(bad.alias("garbled"), F.array_sort(F.collect_list(F.struct("k", F.coalesce("letter", "symbol").alias("p")))).alias("p"))
     text = F.array_join(F.transform("p", lambda x: x["p"]), "")
-    return whole.filter("garbled").select("row_id", "text", F.when(~text.contains(FFFD), text).alias("restored"))
+    return whole.filter("garbled").select("row_id", "text", (text if lost else F.when(~text.contains(FFFD), text)).alias("restored"))

@@ -136,15 +136,28 @@ PROFILE = "struct<lead:string,region:string,orgs:string,id:string,initials:strin
 
 
 def profiles(texts: DataFrame, table: dict[str, str]) -> DataFrame:
-    """texts(name, n) -> key, name, n and the profile's parts."""
+    """texts(name, n[, restored]) -> key, name, n and the profile's parts. restored: texts that a join has restored."""
 
     @F.pandas_udf(PROFILE)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         fix = encoding.Translator(table)
-        for names in batches:
-            yield pd.DataFrame([profile(fix(n)[0]) for n in names], columns=["lead", "region", "orgs", "id", "initials", "nick", "free"])
+        for names, joined in batches:
+            read = [fix(n)[0] if r is None else encoding.SUNK.sub(lambda m: m[0].upper(), r) for n, r in zip(names, joined)]
+            yield pd.DataFrame([profile(t) for t in read], columns=["lead", "region", "orgs", "id", "initials", "nick", "free"])
 
-    return texts.withColumn("p", run("name")).select(F.xxhash64("name").alias("key"), "name", "n", "p.*")
+    restored = F.col("restored") if "restored" in texts.columns else F.lit(None).cast("string")
+    return texts.withColumn("p", run("name", restored)).select(F.xxhash64("name").alias("key"), "name", "n", "p.*")
+
+
+def read(texts: DataFrame) -> DataFrame:
+    """Profiles of texts(name, n) with their encoding restored, by a map or, where the learnt table is too large to send, by a join."""
+    table = encoding.garbles(encoding.learn(texts, "name"))
+    few = table.limit(encoding.BROADCAST_SYMBOLS + 1).collect()
+    if len(few) <= encoding.BROADCAST_SYMBOLS:
+        return profiles(texts, {r.symbol: r.letter for r in few})
+    foreign = texts.filter(F.col("name").rlike(encoding.FOREIGN)).select(F.xxhash64("name").alias("row_id"), F.col("name").alias("text"))
+    fixed = encoding._by_join(foreign, table, lost=True).select(F.col("text").alias("name"), "restored")
+    return profiles(texts.join(fixed, "name", "left"), {})
 
 
 def settle_regions(p: DataFrame) -> DataFrame:
@@ -213,8 +226,7 @@ def resolve(rows: DataFrame, columns: tuple[str, str] = ("raw_payer_name", "paye
     pairs = cut(rows.groupBy(F.col(raw).alias("x"), F.col(norm).alias("y")).agg(F.count("*").alias("n")))
     texts = reduce(DataFrame.unionByName, [pairs.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("name")).agg(F.sum("n").alias("n")) for c in ("x", "y")])
     texts = texts.groupBy("name").agg(F.sum("n").alias("n"))
-    table = {r.symbol: r.letter for r in encoding.garbles(encoding.learn(texts, "name")).limit(encoding.BROADCAST_SYMBOLS).collect()}
-    p = settle_regions(cut(profiles(texts, table)))  # profiles are read several times
+    p = settle_regions(cut(read(texts)))  # profiles are read several times
 
     # first profiles: texts of the same parts
     named = F.col("lead").isNotNull() & F.col("region").isNotNull()

@@ -122,6 +122,15 @@ def test_names_of_one_row_are_a_hint(spark):
     assert len(set(alone.values())) == 6
 
 
+def test_names_with_a_garble_table_too_large_to_send(spark, monkeypatch):
+    sound = ["Batébuwa Island Health Plan", "Romásudi Valley Care Alliance", "Sefílunu Harbor Employees Trust"]
+    bad = [(garble(t, page), t) for t in sound for page in ("cp1252", "mac_roman")]
+    df = spark.createDataFrame([(x, None) for x in [*sound * 5, *(b for b, _ in bad)]], "raw_payer_name string, payer_name string")
+    monkeypatch.setattr(encoding, "BROADCAST_SYMBOLS", 1)
+    got = {r.name: r.entity for r in names.resolve(df).collect()}
+    assert all(got[b] == got[t] for b, t in bad) and len(set(got.values())) == len(sound)
+
+
 def test_components_are_whole_or_refused(spark):
     nodes, chain = spark.range(40).toDF("key"), spark.createDataFrame([(i, i + 1) for i in range(39)], "a long, b long")
     assert {r.label for r in names.components(nodes, chain).collect()} == {0}
