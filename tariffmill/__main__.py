@@ -32,10 +32,11 @@ def main(argv: list[str] | None = None) -> int:
     tables["quality"] = ingest.quality(parts, tables["rejected_codes"])
     for name, n in sorted(write_tables(tables, a.out, a.format).items()):
         print(f"{name}: {n}", file=sys.stderr)
-    failed = parts.filter((F.col("kind") == "file") & F.col("raw").isNotNull()).select("path", "raw").limit(1000).collect()
-    for r in failed:
+    failed = False
+    for r in parts.filter((F.col("kind") == "file") & F.col("raw").isNotNull()).select("path", "raw").toLocalIterator():
         print(f"{r.path}: {r.raw}", file=sys.stderr)
-    return int(bool(failed))
+        failed = True
+    return int(failed)
 
 
 if __name__ == "__main__":

@@ -35,11 +35,9 @@ NO_TYPE = ["TYPE", "MODIFIER", "MODIFIERS", "OBS", "DOT", "UN"]
 CONTROLLED = {
     "RC": r"\d{3,4}", "MS-DRG": r"\d{1,3}", "APR-DRG": r"\d{1,4}(-\d{1,2})?", "APC": r"(?:\d{4,5}|[Nn]\d{3,4})", "CMG": r"\d{4}(-[A-Z])?", "EAPG": r"\d{3,5}",
 }
-REVENUE_CODES = [int(x) for x in (
-    "250 255 258 270 271 272 275 276 278 300 301 302 305 306 309 310 311 312 320 323 333 335 341 342 343 350 351 352 360 361 370 390 402 403 404 410 412 "
-    "420 424 430 440 450 460 470 471 480 481 483 489 510 521 610 611 615 618 636 637 710 721 722 730 731 740 750 760 812 906 916 918 920 921 922 940 942 "
-    "949 987 998"
-).split()]
+REVENUE_CODES = [
+    250, 255, 258, 270, 271, 272, 275, 276, 278, 300, 301, 302, 305, 306, 309, 310, 311, 312, 320, 323, 333, 335, 341, 342, 343, 350, 351, 352, 360, 361, 370, 390, 402, 403, 404, 410, 412, 420, 424, 430, 440, 450, 460, 470, 471, 480, 481, 483, 489, 510, 521, 610, 611, 615, 618, 636, 637, 710, 721, 722, 730, 731, 740, 750, 760, 812, 906, 916, 918, 920, 921, 922, 940, 942, 949, 987, 998,
+]
 LETTER_MODIFIERS = ["TC", "JW", "JZ", "TB", "SL", "XE", "XP", "XS", "XU", "QW", "LT", "RT", "GY", "FY", "GO", "GN", "GP", "NU", "PO"]
 DIGIT_MODIFIERS = ["26", "54", "55", "56", "58", "78", "79", "24", "76", "77", "91", "59", "22", "25", "50", "52", "90", "95"]
 SHORT_WORDS = {"XR": "XRAY", "BIL": "BILATERAL", "BILAT": "BILATERAL", "W": "WITH", "WO": "WITHOUT", "BX": "BIOPSY"}
@@ -59,6 +57,23 @@ ATTACHED = {  # a prefix run into a code that is valid for it
 REMAINDER = {  # what may follow "TYPE " for the split to be believed; other types take anything
     "CDT": r"^[Dd]\d{4}$", "APR-DRG": r"^\d{3}\s*-\s*\d|^\d{3,4}$", "APC": r"^(?:\d{3,4}|[Nn]\d{3})$", "RC": r"^\d{1,4}$", "CMG": r"^\d{4}(-[A-Z])?$",
 }
+SALVAGE = [  # a sound code inside a malformed one and its type, in the order in which they are tried
+    (r"^A(\d{4}T)$", "HCPCS"),
+    (r"^A(\d{5})(?:\.\d+)?$", "CPT"),
+    (r"^([A-Z]\d{4})\.\d+$", "HCPCS"),
+    (r"(?<!\d)(D\d{4})(?!\d)", "CDT"),
+    (r"(?<!\d)([A-Z]\d{4})(?!\d)", "HCPCS"),
+    (r"(?<![A-Z\d])(\d{5})(?!\d)", "CPT"),
+    (r"(?<!\d)(\d{4}[A-Z])(?![A-Z\d])", "CPT"),
+]
+APR_WITH_SEVERITY = [  # forms of an APR-DRG with base and severity, in the order in which they are tried
+    r"^\s*(\d{3})\s*-\s*(\d)",
+    r"^\s*(\d{1,3})\.(\d)\s*$",
+    r"(?i)^\s*APR(\d{3})\s+SOI\s+(\d)\s*$",
+    r"^\s*(\d{3})(\d)\s*$",
+    r"^\s*(\d{1,2})-(\d)\s*$",
+]
+APR_WITHOUT = [r"^\s*(\d{1,2})\s*$", r"^\s*(\d{3})"]
 # ------------------------------------------------------------------
 
 CPT5, CPT_CAT, HCPCS2, CDT = r"^\d{5}$", r"^\d{4}[FTUftu]$", r"^[A-CE-Va-ce-v]\d{4}$", r"^[Dd]\d{4}$"
@@ -128,13 +143,9 @@ def split_composite(df: DataFrame, code: str = "code", kind: str = "code_type")
 
 def salvage(raw: Column) -> Column:
     """struct(code, code_type) of a valid code inside a malformed one; nulls if there is none."""
-    rules = [
-        (r"^A(\d{4}T)$", "HCPCS"), (r"^A(\d{5})(?:\.\d+)?$", "CPT"), (r"^([A-Z]\d{4})\.\d+$", "HCPCS"),
-        (r"(?<!\d)(D\d{4})(?!\d)", "CDT"), (r"(?<!\d)([A-Z]\d{4})(?!\d)", "HCPCS"), (r"(?<![A-Z\d])(\d{5})(?!\d)", "CPT"), (r"(?<!\d)(\d{4}[A-Z])(?![A-Z\d])", "CPT"),
-    ]
     first = F.regexp_extract(raw, r"(?<!\d)([A-Z]\d{4})(?!\d)", 1)
     code, kind = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for pattern, k in reversed(rules):
+    for pattern, k in reversed(SALVAGE):
         hit = F.nullif(F.regexp_extract(raw, pattern, 1), F.lit(""))
         if k == "CDT":
             hit = F.when(first.startswith("D"), first)  # the first embedded code decides, dental or not
@@ -143,10 +154,11 @@ def salvage(raw: Column) -> Column:
 
 
 def apr_drg(code: Column) -> Column:
-    """'001-1 Short Stay' -> '001-1'; '48.4' -> '048-4'; 'APR052 SOI 1' -> '052-1'; '0411' -> '041-1'."""
-    forms = [r"^\s*(\d{3})\s*-\s*(\d)", r"^\s*(\d{1,3})\.(\d)\s*$", r"(?i)^\s*APR(\d{3})\s+SOI\s+(\d)\s*$", r"^\s*(\d{1,2})-(\d)\s*$", r"^\s*(\d{3})(\d)\s*$"]
-    hits = [F.when(code.rlike(p), F.concat(F.lpad(F.regexp_extract(code, p, 1), 3, "0"), F.lit("-"), F.regexp_extract(code, p, 2))) for p in forms]
-    return F.coalesce(*hits, code)
+    """'001-1 Short Stay' -> '001-1'; '48.4' -> '048-4'; 'APR052 SOI 1' -> '052-1'; '0411' -> '041-1'; '48' -> '048'; '139 x' -> '139'."""
+    part = lambda p, k: F.regexp_extract(code, p, k)
+    hits = [F.when(code.rlike(p), F.concat(F.lpad(part(p, 1), 3, "0"), F.lit("-"), part(p, 2))) for p in APR_WITH_SEVERITY]
+    bare = [F.when(code.rlike(p), F.lpad(part(p, 1), 3, "0")) for p in APR_WITHOUT]
+    return F.coalesce(*hits, *bare, code)
 
 
 def normalize(df: DataFrame, code: str = "code", kind: str = "code_type") -> DataFrame:

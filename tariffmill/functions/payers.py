@@ -115,8 +115,15 @@ def resolve(names: DataFrame, column: str, dictionary: DataFrame | None = None)
 
 # Labels of plans by ordered patterns on the upper-case name (the first that matches wins), and what each label means.
 PLAN_SHORT = {
-    "Medicare Advantage": "MCR MCRPOS MCRSNP MGMCR PFFS DSNP SNP CSNP ISNP MMP MAPD", "Medi-Cal": "MCD", "Medi-Cal Managed Care": "MGMCD", "Workers Comp": "WC WCOMP",
-    "Medicaid": "CHIP SCHIP", "Commercial": "COM COMM IFP ASO COCM", "Marketplace": "QHP", "Government": "FEP FEHB GEHA CHAMPVA", "Behavioral Health": "COMMBH",
+    "Medicare Advantage": ["MCR", "MCRPOS", "MCRSNP", "MGMCR", "PFFS", "DSNP", "SNP", "CSNP", "ISNP", "MMP", "MAPD"],
+    "Medi-Cal": ["MCD"],
+    "Medi-Cal Managed Care": ["MGMCD"],
+    "Workers Comp": ["WC", "WCOMP"],
+    "Medicaid": ["CHIP", "SCHIP"],
+    "Commercial": ["COM", "COMM", "IFP", "ASO", "COCM"],
+    "Marketplace": ["QHP"],
+    "Government": ["FEP", "FEHB", "GEHA", "CHAMPVA"],
+    "Behavioral Health": ["COMMBH"],
 }
 RUN_TOGETHER = [  # parts of names written in one word
     (r"WC$", "Workers Comp"), (r"MGDMCAID|MGDMCAL|MCAID", "Medi-Cal Managed Care"), (r"MCAL", "Medi-Cal"), (r"HIX|EXCHANGE", "Marketplace"), (r"MEDICARE|MCARE", "Medicare Advantage"),
@@ -178,7 +185,7 @@ def plan_class(c: Column, payer: Column | None = None) -> Column:
     """
     name = unwrap(c)
     up = F.upper(name)
-    rules = [*((f"^(?:{w.replace(' ', '|')})$", label) for label, w in PLAN_SHORT.items()), *PLAN_RULES]
+    rules = [*((f"^(?:{'|'.join(w)})$", label) for label, w in PLAN_SHORT.items()), *PLAN_RULES]
     hits = F.filter(F.array(*(F.when(up.rlike(p), F.lit(label)) for p, label in rules)), lambda x: x.isNotNull())
     joined = F.filter(F.array(*(F.when(up.rlike(p), F.lit(label)) for p, label in RUN_TOGETHER)), lambda x: x.isNotNull())
     one_word = F.when(~up.contains(" ") & (F.length(up) > 6), F.get(joined, F.lit(0)))

@@ -21,12 +21,16 @@ METHODOLOGIES = {
 }
 NULL_RATES = ["n/a", "n/a.", "na", "#n/a", "null", "none", "nil", "-", "--", "—"]
 NEVER_EXPIRES = "9999-12-31"
-STATES = (
-    "Alabama AL, Alaska AK, Arizona AZ, Arkansas AR, California CA, Colorado CO, Connecticut CT, Delaware DE, District of Columbia DC, Florida FL, Georgia GA, Hawaii HI, Idaho ID, "
-    "Illinois IL, Indiana IN, Iowa IA, Kansas KS, Kentucky KY, Louisiana LA, Maine ME, Maryland MD, Massachusetts MA, Michigan MI, Minnesota MN, Mississippi MS, Missouri MO, "
-    "Montana MT, Nebraska NE, Nevada NV, New Hampshire NH, New Jersey NJ, New Mexico NM, New York NY, North Carolina NC, North Dakota ND, Ohio OH, Oklahoma OK, Oregon OR, "
-    "Pennsylvania PA, Rhode Island RI, South Carolina SC, South Dakota SD, Tennessee TN, Texas TX, Utah UT, Vermont VT, Virginia VA, Washington WA, West Virginia WV, Wisconsin WI, Wyoming WY"
-)
+STATES = {
+    "Alabama": "AL", "Alaska": "AK", "Arizona": "AZ", "Arkansas": "AR", "California": "CA", "Colorado": "CO", "Connecticut": "CT", "Delaware": "DE",
+    "District of Columbia": "DC", "Florida": "FL", "Georgia": "GA", "Hawaii": "HI", "Idaho": "ID", "Illinois": "IL", "Indiana": "IN", "Iowa": "IA",
+    "Kansas": "KS", "Kentucky": "KY", "Louisiana": "LA", "Maine": "ME", "Maryland": "MD", "Massachusetts": "MA", "Michigan": "MI", "Minnesota": "MN",
+    "Mississippi": "MS", "Missouri": "MO", "Montana": "MT", "Nebraska": "NE", "Nevada": "NV", "New Hampshire": "NH", "New Jersey": "NJ",
+    "New Mexico": "NM", "New York": "NY", "North Carolina": "NC", "North Dakota": "ND", "Ohio": "OH", "Oklahoma": "OK", "Oregon": "OR",
+    "Pennsylvania": "PA", "Rhode Island": "RI", "South Carolina": "SC", "South Dakota": "SD", "Tennessee": "TN", "Texas": "TX", "Utah": "UT",
+    "Vermont": "VT", "Virginia": "VA", "Washington": "WA", "West Virginia": "WV", "Wisconsin": "WI", "Wyoming": "WY", "Puerto Rico": "PR",
+    "Virgin Islands": "VI", "Guam": "GU", "American Samoa": "AS", "Northern Mariana Islands": "MP",
+}
 NPI_RANGE = (1_000_000_000, 9_999_999_999)
 # ------------------------------------------------------------------
 
@@ -188,7 +192,7 @@ def address_parts(c: Column) -> Column:
         (r"[,\s]+([A-Za-z]{2})[,\s]+(\d{5}(?:-\d{4})?)$", 1, 2), (r"[,\s]+([A-Za-z][A-Za-z ]+?)\s+(\d{5}(?:-\d{4})?)$", 1, 2),
         (r"\s+(\d{5}(?:-\d{4})?)\s+([A-Za-z]{2})$", 2, 1), (r"[,\s]+([A-Z]{2})$", 1, None),
     ]
-    names = F.create_map(*(F.lit(x) for one in STATES.split(", ") for k in (one[:-3].upper(), one[-2:]) for x in (k, one[-2:])))
+    names = F.create_map(*(F.lit(x) for name, short in STATES.items() for k in (name.upper(), short) for x in (k, short)))
     null = F.lit(None).cast("string")
     front = r"^([A-Za-z]{2})\s+(\d{5}(?:-\d{4})?)\s*\|\s*(.*)$"
     ways = [F.when(s.rlike(front), F.struct(F.regexp_extract(s, front, 1).alias("word"), F.regexp_extract(s, front, 2).alias("zip"), F.regexp_extract(s, front, 3).alias("rest")))]

@@ -21,8 +21,7 @@ def flat_items(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def all_tables(parts: DataFrame, dictionary: DataFrame | None = None, overrides: dict[str, str] | None = None, extra: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """Every table of every file. parts: file_id, kind, ord, cells, raw."""
-    parts = cut(parts)
+    """Every table of every file. parts: file_id, kind, ord, cells, raw, materialized by the caller (each table reads them)."""
     flat_heads, flat_rows = flat_items(parts)
     csv_heads = parts.filter("kind = 'header'").select("file_id", "cells")
     csv_rows = parts.filter("kind = 'row'").select("file_id", "ord", "cells")

@@ -153,7 +153,7 @@ def metadata(parts: DataFrame) -> DataFrame:
     text = lambda v: F.coalesce(F.array_join(F.try_variant_get(v, "$", "array<string>"), "|"), F.try_variant_get(v, "$", "string"))
     deep = lambda v, k: F.coalesce(F.try_variant_get(v, f"$.{k}", "string"), F.try_variant_get(v, f"$[0].{k}", "string"))
     c = F.col
-    short = F.create_map(*(F.lit(x) for one in values.STATES.split(", ") for x in (one[:-3].upper(), one[-2:])))
+    short = F.create_map(*(F.lit(x) for name, code in values.STATES.items() for x in (name.upper(), code)))
     state = lambda v: F.coalesce(F.try_element_at(short, F.coalesce(F.upper(F.trim(v)), F.lit(""))), F.when(F.length(F.trim(v)) == 2, F.upper(F.trim(v))))
     npis = F.coalesce(F.array_join(F.try_variant_get("r.type_2_npi", "$", "array<string>"), "|"), F.try_variant_get("r.type_2_npi", "$", "string"))
     return r.select(

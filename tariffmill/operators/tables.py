@@ -133,7 +133,7 @@ def parse(rows: DataFrame, plans: DataFrame, sections: bool = True) -> DataFrame
     swapped = F.map_concat(F.map_filter("data", lambda k, _: ~F.exists("swaps", lambda e: e["k"] == k)), F.map_from_entries("swaps"))
     d = d.withColumn("data", F.when(F.size("swaps") > 0, swapped).otherwise(text)).drop("swaps")
     if sections:
-        names = F.array(*map(F.lit, headers.SYNONYMS["description"].split()))
+        names = F.array(*map(F.lit, headers.SYNONYMS["description"]))
         redeclares = F.exists("cells", lambda c: F.array_contains(names, headers.normalize_header(c)))
         bare = F.lit(True)
         for f in PRICES:

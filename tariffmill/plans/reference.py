@@ -164,7 +164,7 @@ def null_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Q = "\"''“”‘’"
 NORM = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(trim(source_header), '^[{Q}]+|[{Q}]+$', '', 'g')), '[\s-]+', '_', 'g'), '[^\p{{L}}\p{{N}}_]', '', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g')"""
-SYN = ", ".join(f"('{w}', '{f}')" for f, ws in headers.SYNONYMS.items() for w in ws.split())
+SYN = ", ".join(f"('{w}', '{f}')" for f, ws in headers.SYNONYMS.items() for w in ws)
 
 
 @query(f"SELECT mapping_id, {NORM} AS normalized FROM header_mappings")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -30,20 +33,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by spark.checkpoint.dir; a private one only where none is set."""
+    """Use the shared folder named by spark.checkpoint.dir. Where none is set a local session gets a private one until it
+    ends; a cluster is refused, as its executors would each write to a disk of their own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tariffmill-checkpoint-"))
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="tariffmill-checkpoint-")
+        atexit.register(shutil.rmtree, named, True)
+    sc.setCheckpointDir(named)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df as a compressed table in the shared checkpoint folder, for what is read many times and is too wide to checkpoint."""
+    """df as a compressed table in the shared checkpoint folder, for what is read many times and is too wide to checkpoint. The
+    table is deleted when the session's file system closes."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -124,14 +124,17 @@ def chunks(path: str, packed: str | None, size: int = 1 << 18) -> Iterator[bytes
 
 
 def lines(text: Iterable[str]) -> Iterator[str]:
-    """Lines with their ends, from pieces of text."""
-    rest = ""
+    """Lines with their ends, from pieces of text. Only line feeds and carriage returns end a line; the other signs that
+    Unicode breaks lines at are content of a cell."""
+    held: list[str] = []
     for piece in text:
-        parts = (rest + piece).splitlines(keepends=True)
-        rest = parts.pop() if parts and not parts[-1].endswith("\n") else ""
-        yield from parts
-    if rest:
-        yield rest
+        held.append(piece)
+        if "\n" not in piece and "\r" not in piece:
+            continue
+        got = list(io.StringIO("".join(held), newline=""))
+        held = [] if got[-1].endswith("\n") else [got.pop()]  # a last carriage return may be half of a line end
+        yield from got
+    yield from io.StringIO("".join(held), newline="")
 
 
 # --- CSV ---------------------------------------------------------------------------------------------------------
@@ -217,24 +220,37 @@ def repaired(text: str) -> str:
     return re.sub(r",(\s*[\]}])", r"\1", "".join(out))
 
 
+SIGN = re.compile(r'["{}\[\],:]')
+QUOTED_SIGN = re.compile(r'["\\]')
+
+
 class Pull:
-    """A window over streamed JSON text: skips, peeks and cuts out whole values without holding the document."""
+    """A window over streamed JSON text: skips, peeks and cuts out whole values without holding the document.
+
+    The window grows by at least its own length, so that a value of any size is read in time in proportion to it.
+    """
 
     def __init__(self, text: Iterable[str]) -> None:
         self.text, self.buf, self.at, self.done = iter(text), "", 0, False
-        self.json = json.JSONDecoder(strict=False)
 
     def more(self) -> bool:
-        piece = next(self.text, None)
-        if piece is None:
-            self.done = True
+        kept = self.buf[self.at :]
+        got, size = [], 0
+        while size <= len(kept):
+            piece = next(self.text, None)
+            if piece is None:
+                self.done = True
+                break
+            got.append(piece)
+            size += len(piece)
+        if not size:
             return False
-        self.buf, self.at = self.buf[self.at :] + piece, 0
+        self.buf, self.at = kept + "".join(got), 0
         return True
 
     def peek(self) -> str:
         while True:
-            while self.at < len(self.buf) and (self.buf[self.at].isspace() or self.buf[self.at] == "﻿"):
+            while self.at < len(self.buf) and (self.buf[self.at].isspace() or self.buf[self.at] == "\ufeff"):
                 self.at += 1
             if self.at < len(self.buf):
                 return self.buf[self.at]
@@ -247,24 +263,29 @@ class Pull:
             return True
         return False
 
-    def value(self) -> str:
-        """The raw text of the next value; it must end before a comma, bracket or the end of the text."""
+    def value(self, keep: bool = True) -> str:
+        """The raw text of the next value; it must end before a comma, bracket or the end of the text. keep=False passes over
+        the value without holding it."""
         self.peek()
         depth, quoted, i = 0, False, self.at
         while True:
-            if i >= len(self.buf):
+            sign = (QUOTED_SIGN if quoted else SIGN).search(self.buf, i)
+            if sign is None or (quoted and sign[0] == "\\" and sign.end() >= len(self.buf)):
+                i = len(self.buf) if sign is None else sign.start()
+                if not keep:
+                    self.at = i
                 start = self.at
                 if not self.more():
+                    i = len(self.buf)
                     break
                 i -= start
                 continue
-            c = self.buf[i]
+            i, c = sign.start(), sign[0]
             if quoted:
-                if c == "\\":
-                    i += 1
-                elif c == '"':
-                    quoted = False
-            elif c == '"':
+                i += 1 + (c == "\\")
+                quoted = c != '"'
+                continue
+            if c == '"':
                 quoted = True
             elif c in "{[":
                 depth += 1
@@ -275,10 +296,10 @@ class Pull:
                 if not depth:
                     i += 1
                     break
-            elif c in ",:" and not depth:
+            elif not depth:
                 break
             i += 1
-        out, self.at = self.buf[self.at : i], i
+        out, self.at = self.buf[self.at : i] if keep else "", i
         return out.strip()
 
     def items(self) -> Iterator[str]:

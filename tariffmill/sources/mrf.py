@@ -10,7 +10,9 @@ One row per part of a file, in the file's order:
     meta       key, value               -
     header     the header's fields      -
     row        the fields of a row      -
-    root       -                        scalars and small values of the JSON root
+    root       -                        metadata and short values of the JSON root
+    long_root  key                      - (another value of the root that is too long for it)
+    bad_row, bad_item                   the entry that could not be read
     item, modifier, provider_reference, in_network, structure   -   the JSON text of one array entry
 
 A file that cannot be read gives its 'file' row with the error and does not stop the others. A file is one partition, as
@@ -23,7 +25,7 @@ import csv
 import glob
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -31,7 +33,13 @@ from . import decode
 from ..functions.headers import SYNONYMS
 
 SCHEMA = "path string, kind string, ord long, cells array<string>, raw string"
-KNOWN = {w: field for field, words in SYNONYMS.items() for w in words.split()}
+KNOWN = {w: field for field, words in SYNONYMS.items() for w in words}
+#: Values of the root that are kept at any length; of other keys only short ones are, and longer ones are reported by name.
+ROOT_KEYS = set(
+    "hospital_name last_updated_on version hospital_location location_name hospital_address type_2_npi license_information attestation attester_name "
+    "confirm_attestation ein cms_certification_number reporting_entity_name reporting_entity_type".split()
+)
+SHORT = 100_000
 ARRAYS = {"provider_references": "provider_reference", "in_network": "in_network", "reporting_structure": "structure", "modifier_information": "modifier"}
 
 
@@ -83,8 +91,8 @@ def parts(path: str) -> Iterator[tuple]:
         yield (path, "file", 0, None, f"{type(e).__name__}: {e}")
         return
     try:
-        text = decode.decoded(decode.chunks(path, packed))
-        for n, (part, cells, raw) in enumerate(csv_parts(text) if kind == "csv" else json_parts(text), 1):
+        text = lambda: decode.decoded(decode.chunks(path, packed))
+        for n, (part, cells, raw) in enumerate(csv_parts(text()) if kind == "csv" else json_parts(text), 1):
             yield (path, part, n, cells, raw)
     except Exception as e:  # noqa: BLE001
         yield (path, "file", 0, [kind, packed], f"{type(e).__name__}: {e}")
@@ -126,38 +134,58 @@ def csv_parts(text: Iterator[str]) -> Iterator[tuple]:
             first = False
 
 
-def json_parts(text: Iterator[str]) -> Iterator[tuple]:
-    pull = decode.Pull(text)
-    root: dict[str, str] = {}
+def json_parts(text: Callable[[], Iterator[str]]) -> Iterator[tuple]:
+    """Parts of a JSON document; text() opens it, again where the data array can only be told after a look at all keys."""
+    pull = decode.Pull(text())
     if pull.peek() == "[":
         for raw in pull.items():
             fixed = decode.clean(raw)
             value = json.loads(fixed) if fixed else None
             if isinstance(value, dict) and any(k in value for k in ("in_network", "provider_references", "reporting_structure")):
-                yield from json_parts(iter([fixed]))  # a document wrapped in a list
-            elif fixed:
-                yield "item", None, fixed
+                yield from json_parts(lambda: iter([fixed]))  # noqa: B023  a document wrapped in a list
+            else:
+                yield ("item", None, fixed) if fixed else ("bad_item", None, raw)
         return
+    root: dict[str, object] = {}
     data = None
     for key in pull.members():
-        if pull.peek() == "[" and (key in ARRAYS or key in decode.DATA_ARRAYS or (data is None and key not in decode.NOT_DATA and not _scalars(pull))):
+        if pull.peek() == "[" and key not in decode.NOT_DATA and (key in ARRAYS or not _scalars(pull)):
             if key not in ARRAYS:
-                if data is not None and key not in decode.DATA_ARRAYS:
-                    pull.value()
+                if data is None:
+                    data = key if key == decode.DATA_ARRAYS[0] else data_array(text) or key
+                if key != data:
+                    pull.value(keep=False)
                     continue
-                data = key
                 yield "root", None, json.dumps(root)  # what stands before the data array
             for raw in pull.items():
                 fixed = decode.clean(raw)
-                yield (ARRAYS.get(key, "item"), None, fixed) if fixed else ("bad_item", None, raw[:200])
+                yield (ARRAYS.get(key, "item"), None, fixed) if fixed else ("bad_item", None, raw)
+        elif key in ARRAYS:
+            for raw in pull.items():
+                fixed = decode.clean(raw)
+                yield (ARRAYS[key], None, fixed) if fixed else ("bad_item", None, raw)
         else:
-            fixed = decode.clean(pull.value())
-            if fixed and len(fixed) < 100_000:
+            raw = pull.value()
+            fixed = decode.clean(raw) if key in ROOT_KEYS or len(raw) < SHORT else None
+            if fixed:
                 root[key] = json.loads(fixed)
+            elif len(raw) >= SHORT:
+                yield "long_root", [key], None
     if data is None:
         yield "root", None, json.dumps(root)
 
 
+def data_array(text: Callable[[], Iterator[str]]) -> str | None:
+    """The best name of a data array among all keys of the root, wherever it stands; null without one of those names."""
+    pull = decode.Pull(text())
+    found = set()
+    for key in pull.members():
+        if pull.peek() == "[":
+            found.add(key)
+        pull.value(keep=False)
+    return next((k for k in decode.DATA_ARRAYS if k in found), None)
+
+
 def _scalars(pull: decode.Pull) -> bool:
     """The array that starts here holds plain values."""
     while len(pull.buf) - pull.at < 2 and pull.more():

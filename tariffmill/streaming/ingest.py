@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import ingest
 from ..sources.mrf import SCHEMA, MrfSource, parts
+from ..session import cut
 from ..sources.sinks import write_tables
 
 
@@ -20,7 +21,9 @@ LANDED = "path string, modificationTime timestamp, length long, content binary"
 
 
 def file_id(path: str):
-    return F.element_at(F.split(path, "/"), -1)
+    """The file's name with a hash of its whole path, so that files of one name in different folders stay apart."""
+    whole = F.regexp_replace(path, "^(?:file:)?/+", "/")
+    return F.concat(F.element_at(F.split(path, "/"), -1), F.lit("-"), F.lower(F.hex(F.xxhash64(whole))))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -54,7 +57,8 @@ def start(spark: SparkSession, landing: str, out: str, checkpoint: str, fmt: str
 
     def load(batch: DataFrame, _: int) -> None:
         names = batch.repartition("path")
-        write_tables(ingest.all_tables(parts_of(names), dictionary), out, fmt, by_file=True)
+        parts = cut(parts_of(names))
+        write_tables(ingest.all_tables(parts, dictionary), out, fmt, by_file=True, files=parts.select("file_id").distinct())
 
     return landed.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tariffmill.operators import ingest, nested, ordered, tic
-from tariffmill.sources import decode
+from tariffmill.sources import decode, mrf
 from tariffmill.sources.sinks import register_views, write_tables
 from tariffmill.streaming import ingest as stream
 
@@ -45,7 +45,8 @@ def landing(tmp_path):
 def test_tables(spark, landing, tmp_path):
     parts = stream.read_files(spark, f"{landing}/*")
     t = ingest.all_tables(parts)
-    rows = lambda n, *c: sorted(map(tuple, t[n].select(*c).collect()), key=str)
+    name = F.regexp_replace("file_id", "-[0-9a-f]+$", "").alias("file_id")
+    rows = lambda n, *c: sorted(map(tuple, t[n].select(*(name if x == "file_id" else x for x in c)).collect()), key=str)
     assert rows("charge_items", "file_id", "code", "code_type", "billing_class") == sorted([
         ("flat.zip", "80053", "CPT", ""), ("nested.json", "99213", "CPT", "facility"), ("nested.json", "99213", "CPT", "professional"), ("tall.csv", "70551", "CPT", ""), ("tall.csv", "A4", "LOCAL", ""),
         ("wide.csv.gz", "0301", "RC", "facility"), ("wide.csv.gz", "99213", "CPT", ""),
@@ -54,14 +55,14 @@ def test_tables(spark, landing, tmp_path):
         ("nested.json", "99213", "Aetna", "Commercial PPO", 100.0), ("nested.json", "99213", "Aetna", "Commercial PPO", 100.0), ("tall.csv", "70551", "Cigna", "Commercial HMO", 450.0), ("tall.csv", "A4", "Zed", "Other", None),
         ("wide.csv.gz", "0301", "Aetna", "Commercial PPO", 125.0), ("wide.csv.gz", "99213", "Aetna", "Commercial PPO", 125.0),
     ], key=str)
-    cash = {(r.file_id, r.code, r.gross_charge): r.discounted_cash_price for r in t["standard_charges"].collect()}
+    cash = {(r.file_id, r.code, r.gross_charge): r.discounted_cash_price for r in t["standard_charges"].withColumn("file_id", name).collect()}
     assert cash["nested.json", "99213", 200.0] == 140.0 and cash["wide.csv.gz", "99213", 200.0] == 90.0 and ("tall.csv", "70551", 1000.0) in cash
     assert rows("unmapped_cells", "file_id", "source_column", "value") == [("tall.csv", "odd", "x"), ("tall.csv", "odd", "y")]
     assert rows("rejected_codes", "file_id", "reason") == [("tall.csv", "numeric_code_type")]
     assert rows("file_metadata", "file_id", "hospital_name", "license_number", "license_state", "type_2_npi") == [("nested.json", "H", None, None, "1234567893"), ("wide.csv.gz", "Acme", "L1", "CA", None)]
     assert rows("tic_provider_groups", "group_id", "tin", "npis") == [("10", "123", "1234567893"), ("9", "123", "1234567893"), ("inline-1", "123", "1234567893")]
     assert rows("tic_rates", "billing_code", "negotiated_rate", "modifiers", "expiration_date", "provider_group_ids") == [("99213", 1.5, "25|59", "2026-01-05", "9|10|inline-1")]
-    q = {(r.file_id, r.counter) for r in ingest.quality(parts, t["rejected_codes"]).collect()}
+    q = {(r.file_id, r.counter) for r in ingest.quality(parts, t["rejected_codes"]).withColumn("file_id", name).collect()}
     assert {("page.csv", "file_error"), ("tall.csv", "rejected_codes"), ("tall.csv", "read")} <= q
     counts = write_tables(t, str(tmp_path / "out"), "parquet", by_file=True)
     again = write_tables(t, str(tmp_path / "out"), "parquet", by_file=True)
@@ -85,6 +86,62 @@ def test_stream_is_idempotent(spark, landing, tmp_path):
     assert spark.read.parquet(f"{out}/charge_items").count() == 4
 
 
+def test_reload_that_lost_rows(spark, landing, tmp_path):
+    out, one = str(tmp_path / "out"), landing / "tall.csv"
+    for f in landing.iterdir():
+        if f != one:
+            f.unlink()
+    (landing / "sub").mkdir()
+    (landing / "sub" / "tall.csv").write_text(TALL + "CT,70450,CPT,both,A,,1,2,z\n")  # another file of the same name
+
+    def load(path):
+        parts = stream.read_files(spark, str(path))
+        return write_tables(ingest.all_tables(parts), out, by_file=True, files=parts.select("file_id").distinct())
+
+    load(one)
+    assert load(landing / "sub" / "tall.csv")["charge_items"] == 1
+    assert spark.read.parquet(f"{out}/charge_items").count() == 3 and spark.read.parquet(f"{out}/unmapped_cells").count() == 3
+    one.write_text(TALL + "MRI,70551,CPT,both,,,1,,\n")
+    assert "unmapped_cells" not in load(one)
+    assert spark.read.parquet(f"{out}/charge_items").count() == 2 and spark.read.parquet(f"{out}/unmapped_cells").count() == 1
+
+
+def test_line_ends():
+    text = "a\x85b\u2028c\x0b\x0cd,1\r\ne\rf\n\ng"
+    want = ["a\x85b\u2028c\x0b\x0cd,1\r\n", "e\r", "f\n", "\n", "g"]
+    for size in range(1, len(text) + 1):
+        assert list(decode.lines(text[i : i + size] for i in range(0, len(text), size))) == want
+    assert list(decode.lines([])) == [] and list(decode.lines(["x\r"])) == ["x\r"]
+    got = [tuple(c) for k, c, _ in mrf.csv_parts(iter(["description,code,type,setting\nknee\x85mri,73721,CPT,both\n"])) if k == "row"]
+    assert got == [("knee\x85mri", "73721", "CPT", "both")]
+
+
+def test_json_root(monkeypatch):
+    def parts(doc, size=7):
+        text = doc if isinstance(doc, str) else json.dumps(doc)
+        return [(k, c, r) for k, c, r in mrf.json_parts(lambda: (text[i : i + size] for i in range(0, len(text), size)))]
+
+    long = ["y" * 50_000] * 3
+    got = parts({"hospital_address": long, "blob": {"x": "z" * 150_000}, "note": "n", "data": [{"a": 1}]}, 1 << 16)
+    assert json.loads(got[1][2]) == {"hospital_address": long, "note": "n"} and got[0] == ("long_root", ["blob"], None) and got[2] == ("item", None, '{"a": 1}')
+    for keys in (["other", "items", "data"], ["data", "other"], ["items", "standard_charge_information"]):
+        best = next(k for k in decode.DATA_ARRAYS if k in keys)
+        assert [json.loads(r)["from"] for k, _, r in parts({k: [{"from": k}] * 2 for k in keys}) if k == "item"] == [best] * 2
+    assert [k for k, *_ in parts('[{"a":1}, {nope, {"b":2}]')] == ["item", "bad_item"]
+    assert [k for k, *_ in parts('{"a": [1, 2]}')] == ["root"]
+
+
+def test_values_of_any_size():
+    big = {"s": 'q"\\' * 20_000, "l": [[{"x": [1, "]}"]}]] * 2000}
+    text = json.dumps({"skip": big, "keep": big, "last": 1})
+    for size in (3, 1000, 1 << 20):
+        pull, seen = decode.Pull(text[i : i + size] for i in range(0, len(text), size)), {}
+        for key in pull.members():
+            raw = pull.value(keep=key != "skip")
+            seen[key] = json.loads(raw) if raw else None
+        assert seen == {"skip": None, "keep": big, "last": 1}
+
+
 def test_command_line(landing, tmp_path, spark, monkeypatch):
     from tariffmill.__main__ import main
 

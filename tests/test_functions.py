@@ -40,6 +40,7 @@ CASES = [
     ("1234567890", "NDC", "01234567890", "NDC"), ("12345-678-9", "NDC", "12345067809", "NDC"), ("A123", "NDC", "A123", "LOCAL"), ("XJ0591X", "CPT", "J0591", "HCPCS"), ("AD9999", "CPT", "D9999", "CDT"),
     ("001-1 Short Stay", "APR-DRG", "001-1", "APR-DRG"), ("1622", "MS-DRG", "1622", "LOCAL"), ("99232", "RC", "99232", "CPT"), ("SUP-12", "CPT", "SUP-12", "CDM"), ("12345678", "CPT", "12345678", "CDM"),
     ("250", "HCPCS", "0250", "RC"), ("TEST 1", None, "TEST 1", "LOCAL"), (None, "cpt4", None, "CPT"), ("", None, "", None), (None, None, None, None), ("DRG100", None, "100", "MS-DRG"), ("12345-6789-01", "NDCHCPCS", "12345678901", "NDC"),
+    ("48", "APR-DRG", "048", "APR-DRG"), ("5", "APR-DRG", "005", "APR-DRG"), ("139 Unspecified", "APR-DRG", "139", "APR-DRG"), ("48-3", "APR-DRG", "048-3", "APR-DRG"), ("48.4", "APR-DRG", "048-4", "APR-DRG"),
     ("é99213", "CPT", "99213", "CPT"), ("123", None, "123", None), ("99213", "TYPE", "99213", "CPT"),
 ]
 
@@ -100,10 +101,10 @@ def test_nulls(spark, bad):
 
 
 def test_addresses_and_file_names(spark):
-    got = column(spark, V.address_parts, ["170 Alameda, Redwood City, CA 94062", "1001 A AVE, SAN FRANCISCO, CALIFORNIA 94110-3518", "4601 DALE RD MODESTO 95356 CA", "MS 38827 | 351 Peoples Dr, Pontotoc", "123 Main St", "", None])
+    got = column(spark, V.address_parts, ["170 Alameda, Redwood City, CA 94062", "1001 A AVE, SAN FRANCISCO, CALIFORNIA 94110-3518", "4601 DALE RD MODESTO 95356 CA", "MS 38827 | 351 Peoples Dr, Pontotoc", "123 Main St", "9 Calle Uno, San Juan, Puerto Rico 00901", "", None])
     assert [g and tuple(g) for g in got] == [
         ("170 Alameda", "Redwood City", "CA", "94062"), ("1001 A AVE", "SAN FRANCISCO", "CA", "94110-3518"), ("4601 DALE RD MODESTO", None, "CA", "95356"),
-        ("351 Peoples Dr", "Pontotoc", "MS", "38827"), ("123 Main St", None, None, None), None, None,
+        ("351 Peoples Dr", "Pontotoc", "MS", "38827"), ("123 Main St", None, None, None), ("9 Calle Uno", "San Juan", "PR", "00901"), None, None,
     ]
     got = column(spark, V.file_ids, ["68-0396600-1801821376_John_standardcharges.zip", "subset_946174066_x.json.gz", "plain.csv", None])
     assert [g and tuple(g) for g in got] == [("680396600", "1801821376"), ("946174066", None), (None, None), (None, None)]
