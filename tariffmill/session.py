@@ -18,6 +18,7 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "5000",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",  # else every Column call looks up the caller's stack
 }
 
 
