@@ -9,7 +9,7 @@ passage is judged by itself, so passages in another order are found as well.
 
 A run of LEAST words with so few altered ones holds an unaltered run of at least SEED words, so the seeds lose no case.
 The items are sent to the tasks up to BROADCAST_ITEMS of them (their number is fixed, and it is checked); more are joined
-with the documents on seeds. Documents are mapped where they are read, whole.
+with the documents on seeds, under the same admission. Documents are mapped where they are read, whole.
 
 Defined results: null or empty texts hold nothing; an item without words is never found; repeated items are reported each.
 """
@@ -40,43 +40,60 @@ BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑]\s*\n[>\s]*(?=[^\W\d_])")
 WORD = re.compile(r"[^\W_]+")
 
 
+#: Every ASCII sign that is no letter or digit parts words, but for the apostrophe, which is dropped.
+APART = {i: " " for i in range(128) if not chr(i).isalnum()} | {ord("'"): None}
+
+
 def words(text: str | None) -> list[str]:
-    text = BROKEN.sub("", HIDDEN.sub("", text or ""))
+    text = text or ""
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        text = HIDDEN.sub("", text)
+    if "-\n" in text or "- " in text or not text.isascii():
+        text = BROKEN.sub("", text)
+    if text.isascii():
+        return text.lower().translate(APART).split()
+    text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
     return WORD.findall(text.lower().replace("'", ""))
 
 
 @cache
 def _powers(n: int) -> np.ndarray:
     out = np.ones(n, dtype=np.uint64)
-    for k in range(1, n):
-        out[k] = out[k - 1] * BASE
+    with np.errstate(over="ignore"):
+        for k in range(1, n):
+            out[k] = out[k - 1] * BASE
     return out
 
 
+class Known(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
 class Hashes:
     """Word hashes, kept within a bound; windows() gives the polynomial hash of every run of n words."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Known()
 
     def codes(self, ws: list[str]) -> np.ndarray:
         if len(self.known) > 500_000:
             self.known.clear()
-        known = self.known
-        for w in ws:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter((known[w] for w in ws), dtype=np.uint64, count=len(ws))
+        return np.fromiter(map(self.known.__getitem__, ws), dtype=np.uint64, count=len(ws))
 
     @staticmethod
     def windows(codes: np.ndarray, n: int) -> np.ndarray:
         if len(codes) < n:
             return np.empty(0, dtype=np.uint64)
-        view = np.lib.stride_tricks.sliding_window_view(codes, n)
+        powers, size = _powers(n), len(codes) - n + 1
         with np.errstate(over="ignore"):
-            return (view * _powers(n)).sum(axis=1, dtype=np.uint64)
+            if n > 16:
+                return (np.lib.stride_tricks.sliding_window_view(codes, n) * powers).sum(axis=1, dtype=np.uint64)
+            out = codes[:size] * powers[0]
+            for k in range(1, n):
+                out += codes[k : k + size] * powers[k]
+            return out
 
 
 def tile(doc: np.ndarray, item: np.ndarray, least: int = TILE) -> list[tuple[int, int, int]]:
@@ -154,7 +171,7 @@ def _on_diagonal(doc: np.ndarray, item: np.ndarray, shift: int) -> bool:
 def leaked(doc: np.ndarray, item: np.ndarray) -> bool:
     if not len(item):
         return False
-    tiles = tile(doc, item)
+    tiles = tile(doc, item, min(TILE, len(item)))
     if len(item) < LEAST:
         return any(k == len(item) for _, _, k in tiles)
     for i0, j0, k0 in tiles:
@@ -246,7 +263,7 @@ def search(documents: DataFrame, items: DataFrame) -> DataFrame:
     test = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).filter("item is not null")
     few = test.limit(BROADCAST_ITEMS + 1).collect()
     if len(few) > BROADCAST_ITEMS:
-        return _by_join(docs, test)
+        return _by_join(spread(docs), test)
     fixed = tuple((r.item_id, r.item) for r in few)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -258,23 +275,44 @@ def search(documents: DataFrame, items: DataFrame) -> DataFrame:
     return spread(docs).mapInPandas(run, FOUND)
 
 
-def _seeds(df: DataFrame, key: str, text: str) -> DataFrame:
-    @F.pandas_udf("array<long>")
-    def cut(texts: pd.Series) -> pd.Series:
-        h = Hashes()
-        return texts.map(lambda t: np.unique(h.windows(h.codes(words(t)), SEED)).astype(np.int64).tolist())
+SEEDS = "struct<n:int,seeds:array<struct<len:int,seed:long,at:int>>>"
+
+
+def _seeds(df: DataFrame, key: str, text: str, lengths: tuple[int, ...] | None) -> DataFrame:
+    """(key, n, len, seed, at): the hashes of all runs of words of those lengths with their places; n: words of the text. Without lengths
+    a text has runs of SEED words, or itself if it is shorter."""
+
+    @F.pandas_udf(SEEDS)
+    def cut(texts: pd.Series) -> pd.DataFrame:
+        h, rows = Hashes(), []
+        for t in texts:
+            codes = h.codes(words(t))
+            every = lengths if lengths is not None else (min(SEED, len(codes)),) if len(codes) else ()
+            rows.append((len(codes), [(k, int(x), i) for k in every for i, x in enumerate(h.windows(codes, k).astype(np.int64).tolist())]))
+        return pd.DataFrame(rows, columns=["n", "seeds"])
 
-    return df.select(key, F.explode(cut(text)).alias("seed"))
+    return df.withColumn("_s", cut(text)).select(key, F.col("_s.n").alias("n"), F.inline("_s.seeds"))
 
 
 def _by_join(docs: DataFrame, test: DataFrame) -> DataFrame:
-    """Candidates by a join on seeds; documents and items meet their texts again by id. Items under SEED words go by the map."""
-    cand = _seeds(docs, "doc_id", "text").join(_seeds(test, "item_id", "item"), "seed").select("doc_id", "item_id").distinct()
+    """The same where the items are too many to send: documents meet items on seeds, and pairs with enough seeds near one diagonal
+    (as Index.candidates counts them) meet their texts again by id. Items under SEED words are sought as a whole, by seeds of
+    their own length; the lengths that occur are at most SEED."""
+    sought = _seeds(test, "item_id", "item", None)
+    lengths = tuple(sorted(r.len for r in sought.select("len").distinct().collect()))  # at most SEED
+    there = _seeds(docs, "doc_id", "text", lengths).drop("n")
+    met = there.withColumnRenamed("at", "i").join(sought.withColumnRenamed("at", "j"), ["len", "seed"])
+    met = met.withColumn("band", F.floor((F.col("i") - F.col("j")) / BAND))
+    bands = met.groupBy("doc_id", "item_id", "n", "band").agg(F.count("*").alias("k"))
+    # seeds near one diagonal fall into one band or two neighbours
+    both = bands.select("doc_id", "item_id", "n", F.explode(F.array("band", F.col("band") - 1)).alias("band"), "k").groupBy("doc_id", "item_id", "n", "band").agg(F.sum("k").alias("k"))
+    least = F.when(F.col("n") >= LEAST, FEWEST).otherwise(F.col("n") - F.least("n", F.lit(SEED)) + 1)
+    cand = both.filter(F.col("k") >= least).select("doc_id", "item_id").distinct()
     pairs = cand.join(docs, "doc_id").join(test, "item_id")
 
     @F.pandas_udf("boolean")
     def judge(a: pd.Series, b: pd.Series) -> pd.Series:
         h = Hashes()
-        return pd.Series([leaked(h.codes(words(x)), h.codes(words(y))) for x, y in zip(a, b)])
+        return pd.Series([leaked(h.codes(words(x)), h.codes(words(y))) for x, y in zip(a, b)], dtype=bool)
 
     return pairs.filter(judge("text", "item")).select("doc_id", "item_id")

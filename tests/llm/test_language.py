@@ -223,11 +223,21 @@ def test_leaks(spark):
 
 def test_leaks_by_join_agree(spark, monkeypatch):
     w = ITEM.split()
-    df = spark.createDataFrame([(1, " ".join(w[3:40])), (2, " ".join(w[3:12])), (3, None)], "doc_id long, text string")
-    items = spark.createDataFrame([(1, ITEM), (2, " ".join(w[::-1]))], "item_id long, text string")
+    altered = " ".join("y" if i in (8, 16) else x for i, x in enumerate(w[:24]))
+    docs = [(1, " ".join(w[3:40])), (2, " ".join(w[3:12])), (3, None), (4, "alpha beta gamma delta"), (5, ""), (6, altered), (7, f"x {w[9]} y"), (8, " ".join(w[50:]) + " q " + " ".join(w[:30]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(1, ITEM), (2, " ".join(w[::-1])), (3, "Beta gamma"), (4, "beta, gamma delta"), (5, None), (6, "!"), (7, w[9]), (8, "beta delta"), (9, "alpha beta gamma delta epsilon")], "item_id long, text string")
     want = {tuple(r) for r in contamination.search(df, items).collect()}
     monkeypatch.setattr(contamination, "BROADCAST_ITEMS", 0)
-    assert {tuple(r) for r in contamination.search(df, items).collect()} == want == {(1, 1)}
+    assert {tuple(r) for r in contamination.search(df, items).collect()} == want
+    assert want == {(1, 1), (6, 1), (8, 1), (4, 3), (4, 4), (1, 7), (2, 7), (6, 7), (7, 7), (8, 7)}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab'-. \n_\u00e9\u00ad\u0308Z9", max_size=40))
+def test_words_of_ascii_text_take_the_short_way(text):
+    plain = "".join(c for c in contamination.unicodedata.normalize("NFKD", contamination.BROKEN.sub("", contamination.HIDDEN.sub("", text))) if not contamination.unicodedata.combining(c))
+    assert contamination.words(text) == contamination.WORD.findall(plain.lower().replace("'", ""))
 
 
 @settings(max_examples=100, deadline=None)
