@@ -15,8 +15,10 @@ sample of labelled documents (LABELS). Sentences get the subject of the highest
 document the subjects of a third of its sentences or more. Headings and page furniture do not count: lines without closing
 punctuation, and lines that over the corpus stand nearly always alone as first or last line.
 
-What is collected is bounded: words by their least share of sentences, furniture lines by theirs, vote patterns by the
-number of functions. Statistics cover all documents; texts are read whole.
+Texts are split once. Words that stand in a least share of the sentences get a number, sentences become arrays of numbers, and
+every later pass is arithmetic on these arrays. What is collected is bounded: words by their least share of sentences,
+furniture lines by theirs, sources by theirs of the documents, vote patterns by PATTERNS (more are counted where they are).
+Statistics cover all documents; texts are read whole.
 
 Defined results: null or empty texts, and texts of furniture only, have no subject; repeated labels count once.
 """
@@ -26,13 +28,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread, stored
+from ..session import cut, spread, stored
 
 # Seed words of each subject, English and Spanish, and of sentences on none of them.
 SEEDS = {
@@ -58,71 +62,82 @@ SEED_BONUS = 3.0
 ANNEAL = (0.3, 0.3, 0.5, 1.0, 3.0, 10.0)
 #: A sentence treats a subject if its posterior is the highest; a document if so do one in THIRD of its sentences.
 THIRD = 3
+#: Sources that hold less than such a share of the documents have no vote; most vote patterns brought to the driver; most subjects.
+SOURCE_SHARE, PATTERNS, MOST_SUBJECTS = 1e-4, 200_000, 1_000
+#: Words looked at together in a pass.
+SLICE = 500_000
 #: A line is furniture if it stands as first or last line in such a share of the documents and so often of all its places.
 EDGE_SHARE, EDGE_ONLY = 1e-3, 0.8
 
 ADDRESS = re.compile(r"(?:https?://|www\.|[\w.-]+@)\S+")
-SENTENCE = re.compile(r"(?<=[.?!])(?<!\bno\.)(?<!\bNo\.)[\"”’)]*\s+(?=\S)")
+END = re.compile(r"[.?!][\"”’)]*\s+(?=\S)")
+NUMBER_WORD = re.compile(r"\b[nN]o\.\Z")
 WORD = re.compile(r"[^\W\d_]{2,}")
 #: Words for voting: short ones are mostly function words and tell the language, not the subject.
 LONG = re.compile(r"[^\W\d_]{4,}")
-TERMINAL = re.compile(r"[.?!][\"”’)]*$")
+DIGITS = re.compile(r"\d+")
+CLOSERS, TERMINAL = '"”’)', (".", "?", "!")
 
 
 def line_key(line: str) -> str:
-    return re.sub(r"\d+", "9", line.strip().lower())
+    return DIGITS.sub("9", line.strip().lower())
 
 
 def lines_of(text: str) -> list[str]:
-    return [x.strip() for x in text.splitlines() if x.strip()]
+    return [x for x in map(str.strip, text.splitlines()) if x]
+
+
+def split_sentences(text: str) -> list[str]:
+    """Cut behind closing punctuation, not behind 'no.' as in 'No. 5'."""
+    out, at = [], 0
+    for m in END.finditer(text):
+        stop = m.start() + 1
+        if text[stop - 2 : stop] in ("o.",) and NUMBER_WORD.search(text, max(at, stop - 4), stop):
+            continue
+        out.append(text[at:stop])
+        at = m.end()
+    out.append(text[at:])
+    return out
 
 
 def sentences(text: str, furniture: frozenset[str] = frozenset()) -> tuple[list[str], str]:
     """(sentences, heading): lines of furniture and lines without closing punctuation are left out; the first of them is the heading."""
     out, heading, held = [], "", ""
     for line in lines_of(text):
-        if line_key(line) in furniture:
+        if furniture and line_key(line) in furniture:
             heading = heading or line
             continue
-        if not TERMINAL.search(line):
-            if len(WORD.findall(line)) < 8 and not held:
+        if not line.rstrip(CLOSERS).endswith(TERMINAL):
+            if not held and len(WORD.findall(line)) < 8:
                 heading = heading or line
                 continue
             held += " " + line  # a sentence broken over lines
             continue
-        out += [s for s in SENTENCE.split((held + " " + line).strip()) if WORD.search(s)]
+        out += [s for s in split_sentences((held + " " + line).strip() if held else line) if WORD.search(s)]
         held = ""
     if held:
-        out += [s for s in SENTENCE.split(held.strip()) if len(WORD.findall(s)) >= 8]
+        out += [s for s in split_sentences(held.strip()) if len(WORD.findall(s)) >= 8]
     return out, heading
 
 
 @lru_cache(maxsize=200_000)
 def words(sentence: str) -> tuple[str, ...]:
     s = sentence.lower()
-    for o in OPENERS:
-        if s.startswith(o):
-            s = s[len(o) :]
-            break
+    if s.startswith(OPENERS):
+        s = s[len(next(o for o in OPENERS if s.startswith(o))) :]
     return tuple(dict.fromkeys(LONG.findall(s)))
 
 
-class Lexicon:
-    """Word log likelihoods per subject; classify() gives log posteriors."""
+class Model:
+    """Log shares of the subjects and log likelihoods per word number (zeros for words that say nothing)."""
 
-    def __init__(self, subjects: list[str], counts: dict[str, list[float]], totals: list[float]) -> None:
-        self.subjects = subjects
-        n = np.array(totals) + 1.0
+    def __init__(self, counts: np.ndarray, totals: np.ndarray, least: float) -> None:
+        n = totals + 1.0
         self.prior = np.log(n / n.sum())
-        self.weight = {w: np.log((np.array(c) + 0.1) / (n + 2.0)) for w, c in counts.items()}
+        w = np.log((counts + 0.1) / (n + 2.0))
         # what a word unknown to a subject says is kept from deciding alone
-        self.weight = {w: np.maximum(v, v.max() - 6.0) for w, v in self.weight.items()}
-
-    def classify(self, ws: tuple[str, ...]) -> np.ndarray:
-        found = [v for v in map(self.weight.get, ws) if v is not None]
-        s = self.prior + sum(found) if found else self.prior
-        top = s.max()
-        return s - (top + np.log(np.exp(s - top).sum()))
+        w = np.maximum(w, w.max(axis=1, keepdims=True) - 6.0)
+        self.rows = np.where(counts.sum(axis=1, keepdims=True) >= least, w, 0.0)
 
 
 def seed_table(definitions: dict[str, str]) -> tuple[list[str], dict[str, set[int]]]:
@@ -144,28 +159,10 @@ def seed_vote(ws: tuple[str, ...], seeds: dict[str, set[int]], n: int) -> int:
     return hits.index(best) if best and hits.count(best) == 1 else -1
 
 
-class Words:
-    """Numbers of words within a task, with their weights in a model."""
-
-    def __init__(self, n: int, model: Lexicon | None) -> None:
-        self.n, self.model, self.ids = n, model, {}
-        self.rows = np.zeros((1024, n))
-
-    def number(self, w: str) -> int:
-        k = self.ids.get(w)
-        if k is None:
-            k = self.ids[w] = len(self.ids)
-            if k >= len(self.rows):
-                self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-            v = self.model.weight.get(w) if self.model else None
-            if v is not None:
-                self.rows[k] = v
-        return k
-
-
 def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of consecutive groups of rows; groups may be empty."""
-    total = np.vstack([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0)])
+    total = np.zeros((len(values) + 1, values.shape[1]))
+    np.cumsum(values, axis=0, out=total[1:])
     ends = np.cumsum(sizes)
     return total[ends] - total[ends - sizes]
 
@@ -175,220 +172,341 @@ def softmax(logs: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def posteriors(model: Lexicon | None, words_of: Words, flat: np.ndarray, lengths: np.ndarray, seeded: np.ndarray, per_doc: np.ndarray, hints: list[list[int] | None], heat: float) -> np.ndarray:
-    """Subject shares of all sentences of a batch while learning (flat: word numbers, lengths: words per sentence, seeded: seed
-    votes, per_doc: sentences per document). The document's own mixture is the prior of its sentences, so that a sentence
-    without known words goes where its neighbours are; labels of the document weigh in. Before any model only sentences
-    with seed words count."""
-    n = words_of.n
-    has = seeded >= 0
-    one = np.zeros((len(lengths), n))
-    one[np.flatnonzero(has), seeded[has]] = 1.0
-    doc_of = np.repeat(np.arange(len(per_doc)), per_doc)
-    if model is None:
-        odd = np.array([h is not None and k >= 0 and k < n - 1 and k not in h for h, k in zip((hints[d] for d in doc_of), seeded)], dtype=bool)
-        one[odd] *= 0.3
-        return one
-    logs = sums(words_of.rows[flat], lengths) * (heat / np.maximum(lengths, 1))[:, None] + SEED_BONUS * one
-    extra = np.full((len(per_doc), n), 0.1)
-    for d, h in enumerate(hints):
-        if h:
-            extra[d, h] += 2.0
-    mix = np.tile(np.exp(model.prior), (len(per_doc), 1))
-    for _ in range(2):
-        post = softmax(logs + np.log(mix)[doc_of])
-        mix = sums(post, per_doc) + extra
-        mix /= mix.sum(axis=1, keepdims=True)
-    return post
+TEXTS = "doc_id long, source string, body string, sizes array<int>, seeds array<int>, linked array<int>, section int"
 
 
-PREPARED = "doc_id long, source string, n int, body string, heading string, links string"
+def prepare(docs: DataFrame, furniture: frozenset[str], seeds: dict[str, set[int]], n: int) -> DataFrame:
+    """Documents as words, with the words of each sentence (sizes) and the votes that need the text, written once."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        votes: dict[tuple[str, ...], int] = {}
 
-def prepare(docs: DataFrame, furniture: frozenset[str]) -> DataFrame:
-    """Documents as lines of words, one line per sentence, written once and read by every pass below."""
+        def vote(ws: tuple[str, ...]) -> int:
+            known = votes.get(ws)
+            if known is None:
+                if len(votes) > 200_000:
+                    votes.clear()
+                known = votes[ws] = seed_vote(ws, seeds, n)
+            return known
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for doc, text, source in zip(pdf.doc_id, pdf.text, pdf.source):
                 body, head = sentences(text, furniture)
-                links = [" ".join(LONG.findall(" ".join(ADDRESS.findall(s)).lower())) if "@" in s or "/" in s or "www" in s else "" for s in body]
-                rows.append((doc, source, len(body), "\n".join(" ".join(words(s)) for s in body), " ".join(words(head)), "\n".join(links) if any(links) else ""))
-            yield pd.DataFrame(rows, columns=["doc_id", "source", "n", "body", "heading", "links"])
+                said = [words(s) for s in body]
+                links = [seed_vote(tuple(LONG.findall(" ".join(ADDRESS.findall(s)).lower())), seeds, n) if "@" in s or "/" in s or "www" in s else -1 for s in body]
+                section = seed_vote(words(head), seeds, n) if head else -1
+                rows.append((doc, source, " ".join(w for ws in said for w in ws), [len(ws) for ws in said], [vote(ws) for ws in said], links, section))
+            yield pd.DataFrame(rows, columns=["doc_id", "source", "body", "sizes", "seeds", "linked", "section"])
+
+    return stored(docs.mapInPandas(run, TEXTS))
+
+
+def vocabulary(texts: DataFrame, least: float) -> list[str]:
+    """The words that stand in enough sentences (a word counts once in each); at most (words per sentence) / LEAST_SHARE."""
+    each = texts.select(F.explode(F.split("body", " ")).alias("w")).filter("w <> ''")
+    return sorted(r.w for r in each.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("w").collect())
+
+
+NUMBERED = "doc_id long, source string, ids array<int>, known array<int>, sizes array<int>, seeds array<int>, linked array<int>, section int"
 
-    return stored(docs.mapInPandas(run, PREPARED))
 
+def numbered(texts: DataFrame, vocab: list[str]) -> DataFrame:
+    """Texts with word numbers in place of words; known: how many words of each sentence have one."""
 
-def lines(n: int, body: str) -> list[str]:
-    return body.split("\n") if n else []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {w: k for k, w in enumerate(vocab)}
+        for b in batches:
+            col = {name: b.column(k) for k, name in enumerate(b.schema.names)}
+            ids, known = [], []
+            for body, sizes in zip(col["body"].to_pylist(), col["sizes"].to_pylist()):
+                all_ = np.fromiter(map(at.get, body.split(" ") if body else (), repeat(-1)), dtype=np.int32)
+                ids.append(all_[all_ >= 0])
+                known.append(sums((all_ >= 0)[:, None].astype(float), np.array(sizes, dtype=np.int64))[:, 0].astype(np.int32))
+            made = {"ids": pa.array(ids, type=pa.list_(pa.int32())), "known": pa.array(known, type=pa.list_(pa.int32()))}
+            yield pa.RecordBatch.from_arrays([made.get(c, col.get(c)) for c in NAMES], names=NAMES)
 
+    return stored(texts.mapInArrow(run, NUMBERED))
 
-def of_line(line: str) -> tuple[str, ...]:
-    return tuple(line.split(" ")) if line else ()
 
+NAMES = [c.split(" ")[0] for c in NUMBERED.split(", ")]
 
-STAT = "word string, k int, n double"
 
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, length per row) of a list column."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
 
-def learn_words(docs: DataFrame, subjects: list[str], seeds: dict[str, set[int]], labels: dict[int, list[int]], total: int) -> Lexicon:
-    """EM of word likelihoods over all sentences. Counts are summed per task, then by word; rare words drop out."""
-    n = len(subjects)
-    lex: Lexicon | None = None
+
+class Part:
+    """Some documents of a batch as arrays over words, sentences and documents."""
+
+    def __init__(self, b: pa.RecordBatch) -> None:
+        col = {name: b.column(k) for k, name in enumerate(b.schema.names)}
+        self.docs, self.sources = col["doc_id"].to_numpy(zero_copy_only=False), col["source"]
+        self.ids, _ = flat(col["ids"])
+        self.known, self.per_doc = flat(col["known"])
+        self.sizes, self.seeds, self.linked = (flat(col[c])[0] for c in ("sizes", "seeds", "linked"))
+        self.section = col["section"].to_numpy(zero_copy_only=False)
+        self.doc_of = np.repeat(np.arange(len(self.per_doc)), self.per_doc)
+
+    def said(self, model: Model) -> np.ndarray:
+        """Log likelihoods of the sentences."""
+        return sums(model.rows[self.ids], self.known)
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
+    """Batches in slices of about SLICE words, so that a pass holds little at a time however long the documents are."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        size = np.cumsum(flat(b.column(b.schema.get_field_index("ids")))[1])
+        at = 0
+        while at < b.num_rows:
+            done = size[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(size, done + SLICE, side="right")))
+            yield Part(b.slice(at, to - at))
+            at = to
+
+
+def posteriors(model: Model | None, p: Part, n: int, hints: list[list[int] | None], heat: float) -> np.ndarray:
+    """Subject shares of all sentences of a part while learning. The document's own mixture is the prior of its sentences, so that
+    a sentence without known words goes where its neighbours are; labels of the document weigh in. Before any model only
+    sentences with seed words count."""
+    one = np.zeros((len(p.known), n))
+    has = p.seeds >= 0
+    one[np.flatnonzero(has), p.seeds[has]] = 1.0
+    labelled = [d for d, h in enumerate(hints) if h]
+    if model is None:
+        for d in labelled:
+            for i in np.flatnonzero(p.doc_of == d):
+                if 0 <= p.seeds[i] < n - 1 and p.seeds[i] not in hints[d]:
+                    one[i] *= 0.3
+        return one
+    logs = p.said(model) * (heat / np.maximum(p.sizes, 1))[:, None] + SEED_BONUS * one
+    extra = np.full((len(p.per_doc), n), 0.1)
+    for d in labelled:
+        extra[d, hints[d]] += 2.0
+    mix = np.tile(np.exp(model.prior), (len(p.per_doc), 1))
+    for _ in range(2):
+        post = softmax(logs + np.log(mix)[p.doc_of])
+        mix = sums(post, p.per_doc) + extra
+        mix /= mix.sum(axis=1, keepdims=True)
+    return post
+
+
+STAT = "word int, k int, n double"
+
+
+def learn_words(docs: DataFrame, vocab: list[str], n: int, labels: dict[int, list[int]], least: float) -> Model:
+    """EM of word likelihoods over all sentences. Counts are summed per task, then by word; a round passes over numbers only."""
+    size = len(vocab)
+    model: Model | None = None
     for heat in (0.0, *ANNEAL):
-        model = lex
-
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            book = Words(n, model)
-            acc, everything = np.zeros((1024, n)), np.zeros(n)
-            memo: dict[str, tuple[list[int], int]] = {}
-            for pdf in batches:
-                flat, lengths, seeded, per_doc = [], [], [], []
-                for count_, body in zip(pdf.n, pdf.body):
-                    per_doc.append(count_)
-                    for line in lines(count_, body):
-                        known = memo.get(line)
-                        if known is None:
-                            ws = of_line(line)
-                            known = ([book.number(w) for w in ws], seed_vote(ws, seeds, n))
-                            if len(memo) < 300_000:
-                                memo[line] = known
-                        flat += known[0]
-                        lengths.append(len(known[0]))
-                        seeded.append(known[1])
-                if not lengths:
-                    continue
-                size, flat_ = np.array(lengths), np.array(flat, dtype=np.int64)
-                post = posteriors(model, book, flat_, size, np.array(seeded), np.array(per_doc), [labels.get(d) for d in pdf.doc_id], heat)
-                each = np.repeat(post, size, axis=0)
-                if len(acc) < len(book.rows):
-                    acc = np.vstack([acc, np.zeros((len(book.rows) - len(acc), n))])
+        now = model
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            acc, everything = np.zeros(size * n), np.zeros(n)
+            for p in parts(batches):
+                post = posteriors(now, p, n, [labels.get(d) for d in p.docs.tolist()], heat)
+                sentence = np.repeat(np.arange(len(p.known)), p.known)
                 for k in range(n):
-                    acc[: len(book.ids), k] += np.bincount(flat_, weights=each[:, k], minlength=len(book.ids))
+                    acc[k * size : (k + 1) * size] += np.bincount(p.ids, weights=post[sentence, k], minlength=size) if size else 0.0
                 everything += post.sum(axis=0)
-                if len(book.ids) > 200_000:
-                    yield emit(book, acc)
-                    book, acc, memo = Words(n, model), np.zeros((1024, n)), {}
-            yield emit(book, acc)
-            yield pd.DataFrame([("", k, float(v)) for k, v in enumerate(everything)], columns=["word", "k", "n"])
+            at = np.flatnonzero(acc > 1e-3)
+            word, k, c = np.concatenate([at % max(size, 1), np.full(n, -1)]), np.concatenate([at // max(size, 1), np.arange(n)]), np.concatenate([acc[at], everything])
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(c)], names=["word", "k", "n"])
+
+        counts, totals = np.zeros((size, n)), np.zeros(n)
+        for r in docs.mapInArrow(count, STAT).groupBy("word", "k").agg(F.sum("n").alias("n")).collect():  # words of the vocabulary x subjects
+            if r.word < 0:
+                totals[r.k] = r.n
+            else:
+                counts[r.word, r.k] = r.n
+        model = Model(counts, totals, least)
+    assert model is not None
+    return model
 
-        rows = docs.mapInPandas(count, STAT).groupBy("word", "k").agg(F.sum("n").alias("n"))
-        counts: dict[str, list[float]] = {}
-        keep = rows.groupBy("word").agg(F.sum("n").alias("all")).filter((F.col("all") >= max(2.0, LEAST_SHARE * total)) | (F.col("word") == "")).select("word")
-        for r in rows.join(keep, "word").collect():  # at most (words per sentence) / LEAST_SHARE words
-            counts.setdefault(r.word, [0.0] * n)[r.k] += r.n
-        lex = Lexicon(subjects, {w: c for w, c in counts.items() if w}, counts.get("", [1.0] * n))
-    assert lex is not None
-    return lex
 
+FUNCTIONS = ("seeds", "lexicon", "section", "address", "source", "context")
 
-def emit(book: Words, acc: np.ndarray) -> pd.DataFrame:
-    names = list(book.ids)
-    w, k = np.nonzero(acc[: len(names)] > 1e-3)
-    return pd.DataFrame({"word": pd.Series([names[i] for i in w], dtype=object), "k": k.astype("int32"), "n": acc[w, k]})
 
+def lexicon_votes(p: Part, model: Model) -> np.ndarray:
+    logs = model.prior + p.said(model)
+    top = logs.max(axis=1, keepdims=True)
+    sure = (top - (top + np.log(np.exp(logs - top).sum(axis=1, keepdims=True))))[:, 0] > np.log(0.6)
+    return np.where(sure, logs.argmax(axis=1), -1)
 
-FUNCTIONS = ("seeds", "lexicon", "section", "address", "source", "context")
 
+def vote_codes(p: Part, model: Model, by_source: dict[str, int], n: int) -> np.ndarray:
+    """The votes of all functions on each sentence as one number, in base n + 1. context: the votes of the sentences beside it, if
+    they are one."""
+    lex = lexicon_votes(p, model)
+    starts = np.cumsum(p.per_doc) - p.per_doc
+    first, last = np.zeros(len(lex), dtype=bool), np.zeros(len(lex), dtype=bool)
+    first[starts[p.per_doc > 0]] = True
+    last[(starts + p.per_doc - 1)[p.per_doc > 0]] = True
+    left, right = np.roll(lex, 1), np.roll(lex, -1)
+    context = np.where(first, np.where(last, -1, right), np.where(last | (left == right), left, -1))
+    source = np.array([by_source.get(s, -1) for s in p.sources.to_pylist()], dtype=np.int64)
+    code = np.zeros(len(lex), dtype=np.int64)
+    for v in (p.seeds, lex, p.section[p.doc_of], p.linked, source[p.doc_of], context):
+        code = code * (n + 1) + (v + 1)
+    return code
 
-class Voter:
-    """All labelling functions but context see one sentence; context sees the lexicon's votes around it."""
-
-    def __init__(self, lex: Lexicon, seeds: dict[str, set[int]], by_source: dict[str, int]) -> None:
-        self.lex, self.seeds, self.by_source = lex, seeds, by_source
-        self.n = len(lex.subjects)
-        self.seen: dict[str, tuple[int, int]] = {}
-
-    def own(self, line: str) -> tuple[int, int]:
-        """(seeds, lexicon) votes of a sentence; those seen before in this task keep theirs."""
-        known = self.seen.get(line)
-        if known is None:
-            ws = of_line(line)
-            p = self.lex.classify(ws)
-            k = int(p.argmax())
-            known = (seed_vote(ws, self.seeds, self.n), k if p[k] > np.log(0.6) else -1)
-            if len(self.seen) < 500_000:
-                self.seen[line] = known
-        return known
-
-    def votes(self, n: int, body: str, heading: str, links: str, source: str | None) -> list[tuple[int, ...]]:
-        own = [self.own(x) for x in lines(n, body)]
-        section = seed_vote(of_line(heading), self.seeds, self.n) if heading else -1
-        linked = [seed_vote(of_line(x), self.seeds, self.n) for x in links.split("\n")] if links else [-1] * n
-        src = self.by_source.get(source or "", -1)
-        out = []
-        for i, (seed, lexical) in enumerate(own):
-            around = {own[j][1] for j in (i - 1, i + 1) if 0 <= j < n}
-            out.append((seed, lexical, section, linked[i], src, around.pop() if len(around) == 1 else -1))
-        return out
-
-
-def learn_accuracies(patterns: dict[tuple[int, ...], float], n: int, rounds: int = 30) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(class shares, per function the chance of each vote given the class; the last column is abstaining) by EM over patterns."""
-    keys = list(patterns)
-    weight = np.array([patterns[k] for k in keys], dtype=float)
-    votes = np.array(keys) % (n + 1)  # -1 becomes n, abstain
-    m = votes.shape[1]
+
+def votes_of(codes: np.ndarray, n: int) -> np.ndarray:
+    out = np.empty((len(codes), len(FUNCTIONS)), dtype=np.int64)
+    rest = codes.copy()
+    for j in reversed(range(len(FUNCTIONS))):
+        out[:, j] = rest % (n + 1) - 1
+        rest //= n + 1
+    return out
+
+
+def posterior_of(votes: np.ndarray, prior: np.ndarray, conf: list[np.ndarray]) -> np.ndarray:
+    """Class posteriors of rows of votes; -1 abstains."""
+    logp = np.log(prior) + sum(np.log(conf[j][:, votes[:, j]]).T for j in range(votes.shape[1]))
+    return np.exp(logp - np.logaddexp.reduce(logp, axis=1)[:, None])
+
+
+def posterior(vote: tuple[int, ...], prior: np.ndarray, conf: list[np.ndarray]) -> np.ndarray:
+    return posterior_of(np.array([vote]), prior, conf)[0]
+
+
+def expected(votes: np.ndarray, weight: np.ndarray, prior: np.ndarray, conf: list[np.ndarray]) -> np.ndarray:
+    """E step: the expected count of (function, class, vote), a vote of -1 in the last place; one row more holds the classes."""
+    n = len(prior)
+    post = posterior_of(votes, prior, conf) * weight[:, None]
+    out = np.zeros((len(conf) + 1, n, n + 1))
+    for j in range(len(conf)):
+        np.add.at(out[j].T, votes[:, j], post)
+    out[-1, :, 0] = post.sum(axis=0)
+    return out
+
+
+def learn_accuracies(patterns: dict[tuple[int, ...], float] | DataFrame, n: int, rounds: int = 30) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(class shares, per function the chance of each vote given the class; the last column is abstaining) by EM over patterns, a dict or a
+    DataFrame(code, n) of more patterns than the driver should hold, over which each E step is one job."""
     prior = np.full(n, 1.0 / n)
     start = [0.8, 0.95, 0.3, 0.6, 0.2, 0.4]
     conf = []
-    for j in range(m):
-        a = start[j]
+    for a in start:
         c = np.full((n, n + 1), (1 - a) * 0.5 / max(n - 1, 1))
         c[:, n] = 0.5
         c[np.arange(n), np.arange(n)] = a * 0.5
         conf.append(c / c.sum(axis=1, keepdims=True))
+    if isinstance(patterns, dict):
+        votes, weight = np.array(list(patterns)), np.array(list(patterns.values()), dtype=float)
     for _ in range(rounds):
-        logp = np.log(prior)[None, :] + sum(np.log(conf[j][:, votes[:, j]]).T for j in range(m))
-        post = np.exp(logp - np.logaddexp.reduce(logp, axis=1)[:, None]) * weight[:, None]
-        prior = (post.sum(axis=0) + 1.0) / (weight.sum() + n)
-        for j in range(m):
-            c = np.full((n, n + 1), 0.01)
-            np.add.at(c.T, votes[:, j], post)
+        if isinstance(patterns, dict):
+            counts = expected(votes, weight, prior, conf)
+        else:
+            counts = expected_of_table(patterns, prior, conf)
+        classes = counts[-1, :, 0]
+        prior = (classes + 1.0) / (classes.sum() + n)
+        for j in range(len(conf)):
+            c = counts[j] + 0.01
             c[np.arange(n), np.arange(n)] += 2.0  # functions are better than chance
             conf[j] = c / c.sum(axis=1, keepdims=True)
     return prior, conf
 
 
-def posterior(vote: tuple[int, ...], prior: np.ndarray, conf: list[np.ndarray]) -> np.ndarray:
+def expected_of_table(patterns: DataFrame, prior: np.ndarray, conf: list[np.ndarray]) -> np.ndarray:
     n = len(prior)
-    logp = np.log(prior) + sum(np.log(conf[j][:, v % (n + 1)]) for j, v in enumerate(vote))
-    return np.exp(logp - np.logaddexp.reduce(logp))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc = np.zeros((len(conf) + 1, n, n + 1))
+        for pdf in batches:
+            acc += expected(votes_of(pdf.code.to_numpy(), n), pdf.n.to_numpy(dtype=float), prior, conf)
+        yield pd.DataFrame({"at": np.arange(acc.size), "v": acc.ravel()})
+
+    out = np.zeros((len(conf) + 1) * n * (n + 1))
+    for r in patterns.mapInPandas(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+        out[r["at"]] = r.v
+    return out.reshape(len(conf) + 1, n, n + 1)
 
 
 def furniture_of(docs: DataFrame, total: int) -> frozenset[str]:
-    """Lines that stand alone at the top or foot of documents. Bounded: each has its least share of all documents."""
+    """Lines that stand alone at the top or foot of documents: first the lines that often are first or last, of which there are at most
+    2 / EDGE_SHARE, then all places of these. No other line leaves its task."""
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc: dict[str, list[int]] = {}
+        acc: dict[str, int] = {}
+        held = 0
         for pdf in batches:
             for text in pdf.text:
-                keys = [line_key(x) for x in lines_of(text)]
-                for i, k in enumerate(keys):
-                    if len(k) <= 200:
-                        row = acc.setdefault(k, [0, 0])
-                        row[0] += i in (0, len(keys) - 1)
-                        row[1] += 1
-            if len(acc) > 200_000:
-                yield pd.DataFrame([(k, *v) for k, v in acc.items()], columns=["line", "edge", "n"])
-                acc = {}
-        yield pd.DataFrame([(k, *v) for k, v in acc.items()], columns=["line", "edge", "n"])
-
-    seen = docs.mapInPandas(edges, "line string, edge long, n long").groupBy("line").agg(F.sum("edge").alias("edge"), F.sum("n").alias("n"))
-    often = seen.filter((F.col("edge") >= max(3.0, EDGE_SHARE * total)) & (F.col("edge") >= EDGE_ONLY * F.col("n")))
-    return frozenset(r.line for r in often.select("line").collect())
-
-
-PATTERN = "votes array<int>, n long"
+                lines = lines_of(text)
+                for k in dict.fromkeys((0, len(lines) - 1)) if lines else ():
+                    key = line_key(lines[k])
+                    if key not in acc:
+                        held += len(key)
+                    acc[key] = acc.get(key, 0) + 1
+            if held > 50_000_000:
+                yield pd.DataFrame(list(acc.items()), columns=["line", "edge"])
+                acc, held = {}, 0
+        yield pd.DataFrame(list(acc.items()), columns=["line", "edge"])
+
+    seen = docs.mapInPandas(edges, "line string, edge long").groupBy("line").agg(F.sum("edge").alias("edge"))
+    edge = {r.line: r.edge for r in seen.filter(F.col("edge") >= max(3.0, EDGE_SHARE * total)).collect()}
+    if not edge:
+        return frozenset()
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc: dict[str, int] = {}
+        for pdf in batches:
+            for text in pdf.text:
+                for line in lines_of(text):
+                    key = line_key(line)
+                    if key in edge:
+                        acc[key] = acc.get(key, 0) + 1
+        yield pd.DataFrame(list(acc.items()), columns=["line", "n"])
+
+    every = docs.mapInPandas(places, "line string, n long").groupBy("line").agg(F.sum("n").alias("n")).collect()
+    return frozenset(r.line for r in every if edge[r.line] >= EDGE_ONLY * r.n)
+
+
+def source_votes(docs: DataFrame, model: Model, n: int, total: int) -> dict[str, int]:
+    """The subject that a source has at least twice as much of as all sources together, for sources that hold a least share of the
+    documents (at most 1 / SOURCE_SHARE)."""
+    large = [r.source for r in docs.filter("source is not null").groupBy("source").agg(F.count("*").alias("n")).filter(F.col("n") >= SOURCE_SHARE * total).select("source").collect()]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {s: i for i, s in enumerate(large)}
+        acc = np.zeros((len(large) + 1, n + 1))
+        for p in parts(batches):
+            row = np.array([at.get(s, len(large)) for s in p.sources.to_pylist()], dtype=np.int64)
+            acc += np.bincount(row[p.doc_of] * (n + 1) + lexicon_votes(p, model) + 1, minlength=acc.size).reshape(acc.shape)
+        i, k = np.nonzero(acc)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(k), pa.array(acc[i, k])], names=["i", "k", "n"])
+
+    shares = np.zeros((len(large) + 1, n))
+    for r in docs.mapInArrow(count, "i long, k long, n double").groupBy("i", "k").agg(F.sum("n").alias("n")).collect():
+        if r.k:
+            shares[r.i, r.k - 1] = r.n
+    base = shares.sum(axis=0) + 1.0
+    base /= base.sum()
+    out = {}
+    for s, v in zip(large, shares):
+        lift = (v / max(v.sum(), 1.0)) / base
+        k = int(lift[: n - 1].argmax()) if n > 1 else -1
+        if s and k >= 0 and lift[k] >= 2.0:
+            out[s] = k
+    return out
+
+
 SHARES = "doc_id long, subject string, share double, sentences int"
 
 
 def classify(documents: DataFrame, subjects: DataFrame, labels: DataFrame, source: str = "source") -> DataFrame:
-    """(doc_id, subject, share, sentences) of the subjects that each document treats."""
+    """(doc_id, subject, share, sentences) of the subjects that each document treats. Raises for more than MOST_SUBJECTS subjects."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(source).alias("source")).filter("text is not null")
     docs = spread(docs)
     total = max(docs.count(), 1)
-    names, seeds = seed_table({r.subject: r.definition or "" for r in subjects.limit(1000).collect() if r.subject})
+    wanted = subjects.filter("subject is not null").limit(MOST_SUBJECTS + 1).collect()
+    if len(wanted) > MOST_SUBJECTS:
+        raise ValueError(f"more than {MOST_SUBJECTS} subjects")
+    names, seeds = seed_table({r.subject: r.definition or "" for r in wanted if r.subject})
     n = len(names)
     at = {s: k for k, s in enumerate(names)}
     sample = labels.filter("subject is not null").select("doc_id", "subject").distinct().orderBy(F.xxhash64("doc_id"), "subject").limit(LABELS)
@@ -396,62 +514,37 @@ def classify(documents: DataFrame, subjects: DataFrame, labels: DataFrame, sourc
     for r in sample.collect():
         if r.subject in at:
             hints.setdefault(r.doc_id, []).append(at[r.subject])
-    furniture = furniture_of(docs, total)
-    docs = prepare(docs, furniture)
-    lex = learn_words(docs, names, seeds, hints, total * 10)
-
-    # the source function: the subject that a source has at least twice as much of as all sources together
-    voter = Voter(lex, seeds, {})
-
-    def source_votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc: dict[tuple[str, int], int] = {}
-        for pdf in batches:
-            for count, body, s in zip(pdf.n, pdf.body, pdf.source):
-                for line in lines(count, body):
-                    key = (s or "", voter.own(line)[1])
-                    acc[key] = acc.get(key, 0) + 1
-        yield pd.DataFrame([(s, k, c) for (s, k), c in acc.items()], columns=["source", "k", "n"])
-
-    shares: dict[str, np.ndarray] = {}
-    counted = docs.mapInPandas(source_votes, "source string, k int, n long").groupBy("source", "k").agg(F.sum("n").alias("n"))
-    frequent = counted.filter((F.col("n") >= 1e-4 * total) & (F.col("k") >= 0))  # bounds the number of sources that come to the driver
-    for r in frequent.collect():
-        shares.setdefault(r.source, np.zeros(n))[r.k] += r.n
-    everything = sum(shares.values(), np.ones(n))
-    base = everything / everything.sum()
-    by_source = {}
-    for s, v in shares.items():
-        lift = (v / max(v.sum(), 1.0)) / base
-        k = int(lift[: n - 1].argmax()) if n > 1 else -1
-        if s and k >= 0 and lift[k] >= 2.0:
-            by_source[s] = k
-
-    voter = Voter(lex, seeds, by_source)
-
-    def patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc: dict[tuple[int, ...], int] = {}
-        for pdf in batches:
-            for doc in zip(pdf.n, pdf.body, pdf.heading, pdf.links, pdf.source):
-                for v in voter.votes(*doc):
-                    acc[v] = acc.get(v, 0) + 1
-        yield pd.DataFrame([(list(v), c) for v, c in acc.items()], columns=["votes", "n"])
-
-    seen = docs.mapInPandas(patterns, PATTERN).groupBy("votes").agg(F.sum("n").alias("n"))
-    counts = {tuple(r.votes): float(r.n) for r in seen.collect()}  # vote patterns: at most (subjects + 2) ** functions
-    prior, conf = learn_accuracies(counts or {(-1,) * len(FUNCTIONS): 1.0}, n)
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[tuple[int, ...], int] = {}
-        for pdf in batches:
-            rows = []
-            for doc, *parts in zip(pdf.doc_id, pdf.n, pdf.body, pdf.heading, pdf.links, pdf.source):
-                votes = voter.votes(*parts)
-                got = [0] * n
-                for v in votes:
-                    if v not in known:
-                        known[v] = int(posterior(v, prior, conf).argmax())
-                    got[known[v]] += 1
-                rows += [(doc, names[k], c / len(votes), len(votes)) for k, c in enumerate(got[: n - 1]) if c and THIRD * c >= len(votes)]
-            yield pd.DataFrame(rows, columns=["doc_id", "subject", "share", "sentences"])
-
-    return docs.mapInPandas(judge, SHARES)
+    texts = prepare(docs, furniture_of(docs, total), seeds, n)
+    least = max(2.0, LEAST_SHARE * total * 10)
+    vocab = vocabulary(texts, least)
+    docs = numbered(texts, vocab)
+    model = learn_words(docs, vocab, n, hints, least)
+    by_source = source_votes(docs, model, n, total)
+
+    def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        acc: dict[int, int] = {}
+        for p in parts(batches):
+            for code, c in zip(*(x.tolist() for x in np.unique(vote_codes(p, model, by_source, n), return_counts=True))):
+                acc[code] = acc.get(code, 0) + c
+        yield pa.RecordBatch.from_arrays([pa.array(list(acc), type=pa.int64()), pa.array(list(acc.values()), type=pa.int64())], names=["code", "n"])
+
+    seen = cut(docs.mapInArrow(patterns, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
+    few = seen.limit(PATTERNS + 1).collect()
+    if len(few) > PATTERNS:
+        prior, conf = learn_accuracies(seen, n)
+    else:
+        votes = votes_of(np.array([r.code for r in few], dtype=np.int64), n)
+        prior, conf = learn_accuracies({tuple(v): float(r.n) for v, r in zip(votes.tolist(), few)} or {(-1,) * len(FUNCTIONS): 1.0}, n)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in parts(batches):
+            if not len(p.known):
+                continue
+            codes, back = np.unique(vote_codes(p, model, by_source, n), return_inverse=True)
+            best = posterior_of(votes_of(codes, n), prior, conf).argmax(axis=1)[back]
+            got = np.bincount(p.doc_of * n + best, minlength=len(p.per_doc) * n).reshape(-1, n)[:, : n - 1]
+            d, k = np.nonzero((got > 0) & (THIRD * got >= p.per_doc[:, None]))
+            cols = [pa.array(p.docs[d]), pa.array([names[i] for i in k], type=pa.string()), pa.array(got[d, k] / p.per_doc[d]), pa.array(p.per_doc[d].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "subject", "share", "sentences"])
+
+    return docs.mapInArrow(judge, SHARES)

@@ -317,6 +317,23 @@ def test_subjects_against_labels(spark, data):
     assert np.mean([t in have for t in map(tuple, labels[["doc_id", "subject"]].values)]) > 0.85  # a few labels are wrong
 
 
+def test_patterns_beyond_the_driver_and_too_many_subjects(spark, data, monkeypatch):
+    tables = [spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "subjects", "subject_labels")]
+    want = {tuple(r)[:2] for r in subjects.classify(*tables).collect()}
+    monkeypatch.setattr(subjects, "PATTERNS", 1)
+    monkeypatch.setattr(subjects, "SLICE", 50)
+    assert {tuple(r)[:2] for r in subjects.classify(*tables).collect()} == want and want
+    monkeypatch.setattr(subjects, "MOST_SUBJECTS", 2)
+    with pytest.raises(ValueError, match="subjects"):
+        subjects.classify(*tables)
+
+
+def test_long_lines_are_furniture_too(spark):
+    foot = "Terms " + "of use and other words " * 20
+    docs = spark.createDataFrame([(i, f"One line {i} is here.\n{foot}{i}") for i in range(9)] + [(9, "")], "doc_id long, text string")
+    assert subjects.furniture_of(docs, 10) == {subjects.line_key(foot + "7"), "one line 9 is here."}
+
+
 def test_subjects_edges(spark):
     docs = spark.createDataFrame([(1, None, None, "x"), (2, "", "s", "x"), (3, "Share this page", "s", "x"), (4, "The court fined the insurer. The judge issued a ruling.", None, "x"), (5, "The court fined. " * 5000, "s", "x")], "doc_id long, text string, source string, subject string")
     subj = spark.createDataFrame([("law", "courts and statutes"), ("insurance", "plans"), (None, None)], "subject string, definition string")
