@@ -9,6 +9,10 @@ others the edits state the reason:
     column_count   it edits delimiters only
     invalid_value  it is free, but a typed cell has no valid value
 
+Cells that a loader has stored are parsed the same way, as lines of one column in which a quote has no meaning (code, code_type)
+or may only stand around the whole (values). Typed cells are then aligned with the columns of a line: a cell that has no
+value of its own column but one of another costs the delimiters between the two.
+
 Rows that are plainly free (no opening quote, right number of cells, valid cells) are recognised by JVM
 expressions; only the rest reach Python. Nothing here shuffles but the delimiter lookup.
 
@@ -45,11 +49,13 @@ DELIMITERS = (",", "|", "\t", ";")
 # ------------------------------------------------------------------
 
 START, BARE, QUOTED, AFTER = range(4)
+#: What a double quote may be: part of a CSV line, one pair around a whole value, nothing.
+CSV, PAIR, NONE = range(3)
 
 
-def min_cost_parse(line: str, delimiter: str, columns: int) -> tuple[list[str], list[str]]:
+def min_cost_parse(line: str, delimiter: str, columns: int, quotes: int = CSV) -> tuple[list[str], list[str]]:
     """(cells, edits) of the cheapest reading of line as so many columns."""
-    free = _free(line, delimiter)
+    free = _free(line, delimiter, quotes)
     if free is not None and len(free) == columns:
         return free, []
     quote_cost = len(line) + columns + 2  # above all delimiter edits together
@@ -72,28 +78,27 @@ def min_cost_parse(line: str, delimiter: str, columns: int) -> tuple[list[str],
                     go(here, (k, QUOTED), c, "t")
                     if k < last:
                         go(here, (k + 1, START), c + quote_cost, "close+cell")
-                else:
+                elif quotes == CSV or q != AFTER:
                     if k < last:
                         go(here, (k + 1, START), c, "cell")
-                    go(here, (k, START), c + 1, "delete delimiter")  # what follows still opens a cell: a quote there stays a quote
-                    if q == START:
+                    # in a line what follows still opens a cell: a quote there stays a quote
+                    go(here, (k, START if quotes == CSV else BARE), c + 1, "delete delimiter")
+                    if q == START and quotes == CSV:
                         go(here, (k, QUOTED), c + quote_cost, "open+t")
             elif ch == '"':
-                if q == START:
+                if q == START and quotes != NONE:
                     go(here, (k, QUOTED), c, "open")
-                    go(here, (k, START), c + quote_cost, "delete quote")
-                elif q == BARE:
+                if q == BARE and quotes == CSV:
                     go(here, (k, BARE), c, "t")
                 elif q == QUOTED:
                     go(here, (k, AFTER), c, "close")
-                    go(here, (k, QUOTED), c + quote_cost, "delete quote")
-                else:
+                elif q == AFTER and quotes == CSV:
                     go(here, (k, QUOTED), c, "escape")
-                    go(here, (k, AFTER), c + quote_cost, "delete quote")
+                go(here, here, c + quote_cost, "delete quote")
             else:
                 if q in (START, BARE):
                     go(here, (k, BARE), c, "t")
-                    if q == START:
+                    if q == START and quotes == CSV:
                         go(here, (k, QUOTED), c + quote_cost, "open+t")
                     if q == BARE and k < last:
                         go(here, (k + 1, BARE), c + 1, "insert delimiter+t")
@@ -136,8 +141,12 @@ def min_cost_parse(line: str, delimiter: str, columns: int) -> tuple[list[str],
     return cells, edits
 
 
-def _free(line: str, delimiter: str) -> list[str] | None:
+def _free(line: str, delimiter: str, quotes: int = CSV) -> list[str] | None:
     """The reading without edits, whatever its number of cells; None if the quoting is broken."""
+    if quotes != CSV:
+        if quotes == PAIR and len(line) > 1 and line[0] == line[-1] == '"' and '"' not in line[1:-1]:
+            return [line[1:-1]]
+        return None if '"' in line else line.split(delimiter)
     cells, cell, q = [], [], START
     for ch in line:
         if q == QUOTED:
@@ -187,48 +196,60 @@ def _line(line: str | None, delimiter: str | None, columns: int) -> tuple[str |
     return why, edits, cells
 
 
-def _fewest(cell: str, delimiters: tuple[str, ...]) -> list[str]:
-    """Edits that make one cell of a text under the delimiter that needs most of them (quotes count above all)."""
-    tried = [min_cost_parse(cell, d, 1)[1] for d in delimiters]
-    return max(tried, key=lambda e: (any(x.endswith("quote") for x in e), len(e)))
+def _whole(cell: str, quotes: int) -> tuple[str, list[str]]:
+    """(text, edits) of a stored cell read as one column, under the delimiter that needs most edits (quotes count above all)."""
+    tried = [min_cost_parse(cell, d, 1, quotes) for d in DELIMITERS]
+    cells, edits = max(tried, key=lambda t: (reason_of(t[1]) == "quoting", len(t[1])))
+    return cells[0], edits
 
 
-def _code_pair(code: str | None, kind: str | None) -> tuple[str | None, list[str], list[str]]:
-    """code and code_type as two typed columns of a line; content of another column is a moved delimiter."""
-    cells = [code or "", kind or ""]
-    if sound_code(code, kind):
-        return None, [], cells
-    if '"' in cells[0] + cells[1]:
-        edits = [e for c in cells if '"' in c for e in (_fewest(c, DELIMITERS) or ["delete quote"])]
-        return "quoting", edits if any(e.endswith("quote") for e in edits) else [*edits, "delete quote"], cells
-    edits = [e for c in cells for e in _fewest(c, DELIMITERS)]
-    if not edits and shifted(code, kind):
-        edits = ["insert delimiter"]
-    return (reason_of(edits) or "invalid_value"), edits, cells
+#: Columns of a line that typed cells are aligned with, in their order.
+COLUMNS = ("code", "code_type", "description", "setting", "price")
+
+
+def belongs(column: str, text: str) -> bool:
+    """text is content that only this column would hold. Short free words and bare numbers may be local codes and tell nothing."""
+    if column == "code":
+        return bool(re.search("[0-9]", text) and re.fullmatch(ANY_CODE, text))
+    if column == "code_type":
+        return text in CODE_SHAPES and CODE_SHAPES[text] != CODE_SHAPES["LOCAL"]
+    if column == "description":
+        return bool(re.fullmatch(r"[A-Za-z'./-]+(?: +[A-Za-z0-9'./-]+)+", text) and re.search("[A-Za-z]{3}", text))
+    return text.lower() in SETTINGS if column == "setting" else bool(re.fullmatch(PRICE, text))
 
 
-def shifted(code: str | None, kind: str | None) -> bool:
-    """One of the two holds what belongs in another column (a price, setting, type, code or description)."""
-    code, kind = (code or "").strip(), (kind or "").strip()
-    if kind and kind not in CODE_SHAPES:
-        if kind.lower() in SETTINGS or re.fullmatch(PRICE, kind) or (re.search("[0-9]", kind) and re.fullmatch(ANY_CODE, kind)):
-            return True
-    return code in ("CPT", "HCPCS", "CDT", "RC", "NDC", "MS-DRG") or code.lower() in SETTINGS or bool(re.fullmatch(r"[A-Za-z'./-]+(?: +[A-Za-z0-9'./-]+){1,}", code) and re.search("[A-Za-z]{3}", code))
+def aligned(cells: list[str], others: list[tuple[str, ...]], valid: list[bool]) -> list[str]:
+    """Edits of the cheapest alignment of the first cells of a line with its columns. A valid cell stays for nothing; another moves to
+    a column whose content it is (of others) at one delimiter a column, else stays as an invalid value, which costs more."""
+    edits: list[str] = []
+    for i, cell in enumerate(cells):
+        text = cell.strip()
+        moves = [] if valid[i] or not text else [COLUMNS.index(c) - i for c in others[i] if belongs(c, text)]
+        step = min(moves, key=abs, default=0)
+        edits += ["insert delimiter" if step > 0 else "delete delimiter"] * abs(step)
+    return edits
+
+
+def _code_pair(code: str | None, kind: str | None) -> tuple[str | None, list[str], list[str]]:
+    """code and code_type as the first two typed columns of a line."""
+    read = [_whole(c or "", NONE) for c in (code, kind)]
+    cells, edits = [c for c, _ in read], [e for _, es in read for e in es]
+    if not edits:
+        if sound_code(code, kind):
+            return None, [], cells
+        known = not cells[1].strip() or cells[1].strip() in CODE_SHAPES
+        edits = aligned(cells, [("code_type", "setting", "description"), ("code", "setting", "price", "description")], [False, known])
+    return (reason_of(edits) or "invalid_value"), edits, cells
 
 
 def _cell(column: str | None, value: str | None) -> tuple[str | None, list[str], list[str]]:
     """One value of a named column; the separators of a line are delimiters, a comma or semicolon with a blank is text."""
     if value is None:
         return None, [], [""]
-    paired = len(value) > 1 and value[0] == value[-1] == '"' and '"' not in value[1:-1]
-    body = value[1:-1] if paired else value
-    if '"' in body:
-        edits = _fewest(value, (",",))
-        return "quoting", edits if reason_of(edits) == "quoting" else ["delete quote"], [value]
-    if not paired:
-        edits = _fewest(re.sub(r"[,;](?=\s)", " ", body), DELIMITERS)
-        if edits:
-            return "column_count", edits, [value]
+    _, edits = _whole(re.sub(r"[,;](?=\s)", " ", value), PAIR)
+    if edits:
+        return reason_of(edits), edits, [value]
+    body = _free(value, "\0", PAIR)[0]
     return (None if sound_value(column, body.strip()) else "invalid_value"), [], [body]
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import csv
+from itertools import combinations
 
 import pytest
 from hypothesis import given, settings
@@ -87,3 +88,34 @@ def test_jvm_and_python_agree(spark):
     assert {k: v for k, v in only.items() if v} == {k: v for k, v in want.items() if v}
     assert B.judge_lines(df.limit(0)).count() == 0
     assert B.sound(B.judge_lines(df)).count() == sum(v is None for v in want.values())
+
+
+@pytest.mark.parametrize(("code", "kind", "why", "edits"), [
+    ("99213", "CPT", None, []), ('"99213"', "CPT", "quoting", ["delete quote"] * 2), ("99213,CPT", None, "column_count", ["delete delimiter"]), ('9"9213', "CPT", "quoting", ["delete quote"]),
+    ("CPT", "99213", "column_count", ["insert delimiter", "delete delimiter"]), ("knee mri", "CPT", "column_count", ["insert delimiter"] * 2), ("99213", "outpatient", "column_count", ["insert delimiter"] * 2),
+    ("99213", "12.50", "column_count", ["insert delimiter"] * 3), ("9921", "CPT", "invalid_value", []), ("", "CPT", "invalid_value", []), (None, None, None, []), ("99213", "ODD", "invalid_value", []),
+])
+def test_code_pairs_by_edits(code, kind, why, edits):
+    assert B._code_pair(code, kind)[:2] == (why, edits)
+
+
+@pytest.mark.parametrize(("value", "why"), [('"a, b"', None), ('"a|b"', None), ("a|b", "column_count"), ('a"b', "quoting"), ('"a""b"', "quoting"), ('a,"b"', "quoting"), ('"a",b', "quoting"), ('"', "quoting"), ('""', None), ("a, b", None), (None, None), ("", None)])
+def test_values_by_edits(value, why):
+    got, edits, _ = B._cell("dept_name", value)
+    assert got == why == B.reason_of(edits)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet='a1", ', max_size=8), st.sampled_from([B.PAIR, B.NONE]))
+def test_stored_cells_at_least_cost(text, quotes):
+    """Brute force: the fewest signs to drop, quotes first, so that what is left is one column."""
+    def sound(t):
+        return not ("," in t and not (quotes == B.PAIR and len(t) > 1 and t[0] == t[-1] == '"')) and ('"' not in t or (quotes == B.PAIR and len(t) > 1 and t[0] == t[-1] == '"' and '"' not in t[1:-1]))
+
+    edits = B.min_cost_parse(text, ",", 1, quotes)[1]
+    marks = [i for i, c in enumerate(text) if c in '",']
+    drops = [drop for r in range(len(marks) + 1) for drop in combinations(marks, r)]
+    left = lambda drop: "".join(c for i, c in enumerate(text) if i not in drop)
+    ways = [[text[i] for i in d] for d in drops if sound(left(d))] + [[*(text[i] for i in d), "+"] for d in drops if quotes == B.PAIR and sound(left(d) + '"')]  # or a quote at the end
+    cost = lambda e: sum(100 if x != "," else 1 for x in e)
+    assert cost(["," if e == "delete delimiter" else '"' for e in edits]) == min(map(cost, ways))
