@@ -83,6 +83,17 @@ def line_key(line: str) -> str:
     return DIGITS.sub("9", line.strip().lower())
 
 
+@lru_cache(maxsize=16)
+def heads_of(keys: frozenset[str]) -> frozenset[str]:
+    return frozenset(k[:3] for k in keys)
+
+
+def is_among(line: str, keys: frozenset[str], heads: frozenset[str]) -> bool:
+    """line_key(line) is one of the keys; lines that start with three other ASCII letters are told without the key."""
+    h = line[:3]
+    return (h.lower() in heads or not (h.isascii() and h.isalpha())) and line_key(line) in keys
+
+
 def lines_of(text: str) -> list[str]:
     return [x for x in map(str.strip, text.splitlines()) if x]
 
@@ -102,9 +113,9 @@ def split_sentences(text: str) -> list[str]:
 
 def sentences(text: str, furniture: frozenset[str] = frozenset()) -> tuple[list[str], str]:
     """(sentences, heading): lines of furniture and lines without closing punctuation are left out; the first of them is the heading."""
-    out, heading, held = [], "", ""
+    out, heading, held, heads = [], "", "", heads_of(furniture)
     for line in lines_of(text):
-        if furniture and line_key(line) in furniture:
+        if furniture and is_among(line, furniture, heads):
             heading = heading or line
             continue
         if not line.rstrip(CLOSERS).endswith(TERMINAL):
@@ -151,12 +162,12 @@ def seed_table(definitions: dict[str, str]) -> tuple[list[str], dict[str, set[in
 
 def seed_vote(ws: tuple[str, ...], seeds: dict[str, set[int]], n: int) -> int:
     """The subject with most seed words, -1 without any or in a tie."""
-    hits = [0] * n
-    for w in ws:
-        for k in seeds.get(w, ()):
-            hits[k] += 1
-    best = max(hits)
-    return hits.index(best) if best and hits.count(best) == 1 else -1
+    hits = [k for w in ws for k in seeds.get(w, ())]
+    if not hits:
+        return -1
+    count = [hits.count(k) for k in range(n)]
+    best = max(count)
+    return count.index(best) if count.count(best) == 1 else -1
 
 
 def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -328,7 +339,9 @@ def learn_words(docs: DataFrame, vocab: list[str], n: int, labels: dict[int, lis
     return model
 
 
-FUNCTIONS = ("seeds", "lexicon", "section", "address", "source", "context")
+FUNCTIONS = ("seeds", "lexicon", "section", "address", "context", "source")
+#: Place of the lexicon's vote from the end of a code without the source's.
+LEXICON_AT = 3
 
 
 def lexicon_votes(p: Part, model: Model) -> np.ndarray:
@@ -338,9 +351,9 @@ def lexicon_votes(p: Part, model: Model) -> np.ndarray:
     return np.where(sure, logs.argmax(axis=1), -1)
 
 
-def vote_codes(p: Part, model: Model, by_source: dict[str, int], n: int) -> np.ndarray:
-    """The votes of all functions on each sentence as one number, in base n + 1. context: the votes of the sentences beside it, if
-    they are one."""
+def vote_codes(p: Part, model: Model, n: int) -> np.ndarray:
+    """The votes of all functions but the source's on each sentence as one number, in base n + 1. context: the votes of the sentences
+    beside it, if they are one."""
     lex = lexicon_votes(p, model)
     starts = np.cumsum(p.per_doc) - p.per_doc
     first, last = np.zeros(len(lex), dtype=bool), np.zeros(len(lex), dtype=bool)
@@ -348,9 +361,8 @@ def vote_codes(p: Part, model: Model, by_source: dict[str, int], n: int) -> np.n
     last[(starts + p.per_doc - 1)[p.per_doc > 0]] = True
     left, right = np.roll(lex, 1), np.roll(lex, -1)
     context = np.where(first, np.where(last, -1, right), np.where(last | (left == right), left, -1))
-    source = np.array([by_source.get(s, -1) for s in p.sources.to_pylist()], dtype=np.int64)
     code = np.zeros(len(lex), dtype=np.int64)
-    for v in (p.seeds, lex, p.section[p.doc_of], p.linked, source[p.doc_of], context):
+    for v in (p.seeds, lex, p.section[p.doc_of], p.linked, context):
         code = code * (n + 1) + (v + 1)
     return code
 
@@ -389,7 +401,7 @@ def learn_accuracies(patterns: dict[tuple[int, ...], float] | DataFrame, n: int,
     """(class shares, per function the chance of each vote given the class; the last column is abstaining) by EM over patterns, a dict or a
     DataFrame(code, n) of more patterns than the driver should hold, over which each E step is one job."""
     prior = np.full(n, 1.0 / n)
-    start = [0.8, 0.95, 0.3, 0.6, 0.2, 0.4]
+    start = [0.8, 0.95, 0.3, 0.6, 0.4, 0.2]
     conf = []
     for a in start:
         c = np.full((n, n + 1), (1 - a) * 0.5 / max(n - 1, 1))
@@ -451,14 +463,16 @@ def furniture_of(docs: DataFrame, total: int) -> frozenset[str]:
     edge = {r.line: r.edge for r in seen.filter(F.col("edge") >= max(3.0, EDGE_SHARE * total)).collect()}
     if not edge:
         return frozenset()
+    known = frozenset(edge)
+    heads = heads_of(known)
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[str, int] = {}
         for pdf in batches:
             for text in pdf.text:
                 for line in lines_of(text):
-                    key = line_key(line)
-                    if key in edge:
+                    if is_among(line, known, heads):
+                        key = line_key(line)
                         acc[key] = acc.get(key, 0) + 1
         yield pd.DataFrame(list(acc.items()), columns=["line", "n"])
 
@@ -466,32 +480,38 @@ def furniture_of(docs: DataFrame, total: int) -> frozenset[str]:
     return frozenset(r.line for r in every if edge[r.line] >= EDGE_ONLY * r.n)
 
 
-def source_votes(docs: DataFrame, model: Model, n: int, total: int) -> dict[str, int]:
-    """The subject that a source has at least twice as much of as all sources together, for sources that hold a least share of the
-    documents (at most 1 / SOURCE_SHARE)."""
-    large = [r.source for r in docs.filter("source is not null").groupBy("source").agg(F.count("*").alias("n")).filter(F.col("n") >= SOURCE_SHARE * total).select("source").collect()]
+def patterns_by_source(docs: DataFrame, model: Model, n: int, large: list[str]) -> DataFrame:
+    """(source, code, n): how often the functions but the source's vote in each way, by source (numbers; -1 for all that are not large)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {s: i for i, s in enumerate(large)}
-        acc = np.zeros((len(large) + 1, n + 1))
+        acc: dict[tuple[int, int], int] = {}
         for p in parts(batches):
-            row = np.array([at.get(s, len(large)) for s in p.sources.to_pylist()], dtype=np.int64)
-            acc += np.bincount(row[p.doc_of] * (n + 1) + lexicon_votes(p, model) + 1, minlength=acc.size).reshape(acc.shape)
-        i, k = np.nonzero(acc)
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(k), pa.array(acc[i, k])], names=["i", "k", "n"])
+            codes = vote_codes(p, model, n)
+            source = np.array([at.get(s, -1) for s in p.sources.to_pylist()], dtype=np.int64)[p.doc_of]
+            for s in np.unique(source).tolist():
+                for code, c in zip(*(x.tolist() for x in np.unique(codes[source == s], return_counts=True))):
+                    acc[s, code] = acc.get((s, code), 0) + c
+        cols = [pa.array([s for s, _ in acc], type=pa.int64()), pa.array([c for _, c in acc], type=pa.int64()), pa.array(list(acc.values()), type=pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["source", "code", "n"])
+
+    return docs.mapInArrow(count, "source long, code long, n long").groupBy("source", "code").agg(F.sum("n").alias("n"))
 
+
+def source_votes(patterns: DataFrame, n: int, large: list[str]) -> dict[int, int]:
+    """The subject that a source has at least twice as much of as all sources together, by the lexicon's votes."""
     shares = np.zeros((len(large) + 1, n))
-    for r in docs.mapInArrow(count, "i long, k long, n double").groupBy("i", "k").agg(F.sum("n").alias("n")).collect():
-        if r.k:
-            shares[r.i, r.k - 1] = r.n
+    vote = F.expr(f"cast((code div {(n + 1) ** LEXICON_AT}) % {n + 1} - 1 as int)")
+    for r in patterns.groupBy("source", vote.alias("k")).agg(F.sum("n").alias("n")).filter("k >= 0").collect():
+        shares[r.source, r.k] = r.n  # source -1 is the last row
     base = shares.sum(axis=0) + 1.0
     base /= base.sum()
     out = {}
-    for s, v in zip(large, shares):
+    for i, v in enumerate(shares[:-1]):
         lift = (v / max(v.sum(), 1.0)) / base
         k = int(lift[: n - 1].argmax()) if n > 1 else -1
-        if s and k >= 0 and lift[k] >= 2.0:
-            out[s] = k
+        if k >= 0 and lift[k] >= 2.0:
+            out[i] = k
     return out
 
 
@@ -519,16 +539,15 @@ def classify(documents: DataFrame, subjects: DataFrame, labels: DataFrame, sourc
     vocab = vocabulary(texts, least)
     docs = numbered(texts, vocab)
     model = learn_words(docs, vocab, n, hints, least)
-    by_source = source_votes(docs, model, n, total)
-
-    def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        acc: dict[int, int] = {}
-        for p in parts(batches):
-            for code, c in zip(*(x.tolist() for x in np.unique(vote_codes(p, model, by_source, n), return_counts=True))):
-                acc[code] = acc.get(code, 0) + c
-        yield pa.RecordBatch.from_arrays([pa.array(list(acc), type=pa.int64()), pa.array(list(acc.values()), type=pa.int64())], names=["code", "n"])
-
-    seen = cut(docs.mapInArrow(patterns, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
+    # at most 1 / SOURCE_SHARE sources
+    counted = docs.filter("source <> ''").groupBy("source").agg(F.count("*").alias("n")).filter(F.col("n") >= SOURCE_SHARE * total)
+    large = sorted(r.source for r in counted.select("source").collect())
+    by = cut(patterns_by_source(docs, model, n, large))
+    votes_by = source_votes(by, n, large)
+    by_source = {large[i]: k for i, k in votes_by.items()}
+    votes = docs.sparkSession.createDataFrame(list(votes_by.items()), "source long, vote long")
+    seen = by.join(F.broadcast(votes), "source", "left").groupBy((F.col("code") * (n + 1) + F.coalesce("vote", F.lit(-1)) + 1).alias("code"))
+    seen = cut(seen.agg(F.sum("n").alias("n")))
     few = seen.limit(PATTERNS + 1).collect()
     if len(few) > PATTERNS:
         prior, conf = learn_accuracies(seen, n)
@@ -540,7 +559,8 @@ def classify(documents: DataFrame, subjects: DataFrame, labels: DataFrame, sourc
         for p in parts(batches):
             if not len(p.known):
                 continue
-            codes, back = np.unique(vote_codes(p, model, by_source, n), return_inverse=True)
+            source = np.array([by_source.get(s, -1) for s in p.sources.to_pylist()], dtype=np.int64)
+            codes, back = np.unique(vote_codes(p, model, n) * (n + 1) + source[p.doc_of] + 1, return_inverse=True)
             best = posterior_of(votes_of(codes, n), prior, conf).argmax(axis=1)[back]
             got = np.bincount(p.doc_of * n + best, minlength=len(p.per_doc) * n).reshape(-1, n)[:, : n - 1]
             d, k = np.nonzero((got > 0) & (THIRD * got >= p.per_doc[:, None]))
