@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import stored as cut
 from . import encoding
 from .address import edits, variants
 from .canonical import distance
@@ -207,11 +207,16 @@ def sound(word: str) -> Column:
 
 
 def alike(kind: str, a: str, b: str) -> Column:
-    """Leads that may be spellings of each other, as written or as spoken: within two edits, or one cut short."""
+    """Leads that may be spellings of each other, as written or as spoken: within two edits, or the shorter one, of four letters at
+    least, within one edit of the beginning of the other."""
+
+    def cut_short(p: str, q: str) -> bool:
+        p, q = sorted((p, q), key=len)
+        return len(p) > 3 and any(distance(p, q[: len(p) + d]) <= 1 for d in (0, 1, -1))
 
     def near(k: str, x: str | None, y: str | None) -> bool:
         said = [(x, y), (x.replace("ph", "f").replace("ck", "k"), y.replace("ph", "f").replace("ck", "k"))] if x and y and k != "lost" else []
-        return not said or any(p.startswith(q[:5]) or q.startswith(p[:5]) or distance(p, q) <= 2 for p, q in said)
+        return not said or any(distance(p, q) <= 2 or cut_short(p, q) for p, q in said)
 
     @F.pandas_udf("boolean")
     def run(k: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:

@@ -365,3 +365,9 @@ def test_nothing_else_imports_this_package():
 
     root = pathlib.Path(subjects.__file__).parents[1]
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and re.search(r"\bllm\b", p.read_text())]
+
+
+def test_leads_that_share_a_beginning_only_are_not_alike(spark):
+    rows = [("x", "batebuwa", "batebu"), ("x", "batebuwa", "batebzz"), ("x", "batebuwa", "batebonu"), ("x", "kosiphi", "kosifi"), ("lost", "bat?", "zzz"), ("x", None, "a"), ("x", "abc", "abcdefgh")]
+    df = spark.createDataFrame(rows, "k string, a string, b string")
+    assert [r.x for r in df.select(names.alike("k", "a", "b").alias("x")).collect()] == [True, False, False, True, True, True, False]
