@@ -64,8 +64,8 @@ ANNEAL = (0.3, 0.3, 0.5, 1.0, 3.0, 10.0)
 THIRD = 3
 #: Sources that hold less than such a share of the documents have no vote; most vote patterns brought to the driver; most subjects.
 SOURCE_SHARE, PATTERNS, MOST_SUBJECTS = 1e-4, 200_000, 1_000
-#: Words looked at together in a pass.
-SLICE = 500_000
+#: Words looked at together in a pass; their arrays fit the processor's cache.
+SLICE = 40_000
 #: A line is furniture if it stands as first or last line in such a share of the documents and so often of all its places.
 EDGE_SHARE, EDGE_ONLY = 1e-3, 0.8
 
@@ -320,9 +320,8 @@ def learn_words(docs: DataFrame, vocab: list[str], n: int, labels: dict[int, lis
             acc, everything = np.zeros(size * n), np.zeros(n)
             for p in parts(batches):
                 post = posteriors(now, p, n, [labels.get(d) for d in p.docs.tolist()], heat)
-                sentence = np.repeat(np.arange(len(p.known)), p.known)
-                for k in range(n):
-                    acc[k * size : (k + 1) * size] += np.bincount(p.ids, weights=post[sentence, k], minlength=size) if size else 0.0
+                for k, share in enumerate(np.ascontiguousarray(post.T) if size else ()):
+                    acc[k * size : (k + 1) * size] += np.bincount(p.ids, weights=np.repeat(share, p.known), minlength=size)
                 everything += post.sum(axis=0)
             at = np.flatnonzero(acc > 1e-3)
             word, k, c = np.concatenate([at % max(size, 1), np.full(n, -1)]), np.concatenate([at // max(size, 1), np.arange(n)]), np.concatenate([acc[at], everything])
