@@ -1,16 +1,19 @@
 """Schema drift between the files of a series (problem 4).
 
 Every file's columns are profiled (normalized name, type, canonical field, place) and matched with those of the series'
-previous file as a bipartite problem, cheapest evidence first:
+previous file. Columns of equal normalized name are the same column, by an equi-join on (file, name). All others go to a bipartite
+matching, file by file: the best assignment over weighted edges between the columns that one side lacks. What the edges weigh
+is learnt from all files:
 
-1. equal normalized names: an equi-join on (file, name);
-2. equal canonical fields, as learnt from every file in which the mapper recognised the name: an equi-join on (file, field);
-3. what is left (names the mapper never knew): a sketch of each unknown name (how often it stands beside each canonical
-   field in one file, its types, its place) and the likeness of its words to the field's known spellings give an edge
-   weight per (unknown column, field), and the best assignment over the edges of one file is taken.
+* a name that the mapper recognized in any file stands for that field; names of one field weigh most, places decide between
+  several of them;
+* a name that it never recognized gets a sketch: how often it comes or goes where a column of each field goes or comes, how rarely
+  it stands beside that field in a file (a file holds a field once), how its types agree with the field's, and how its words
+  look like, or abbreviate, the words of the field's recognized names, a word counting less the more fields use it;
+* two names that were never recognized weigh by the field that their sketches suggest, else by their words;
+* payer columns weigh by their folded headers: equal ones, or ones that differ in one part by two edits at most.
 
-Columns of one file are never paired all with all: steps 1 and 2 are joins on values; step 3 takes only unmapped names
-against the fields left over in that file (payer columns, which make wide files wide, never reach it).
+Pairs are formed of the unmatched columns of one file only. An assignment is solved per connected part of a file's edges.
 
 Defined results: a file without previous file reports nothing; repeated mapping rows count once; a null normalized name
 is derived from the header; a null type is no change; a hospital's file loaded twice is one file.
@@ -20,42 +23,17 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
-
-# The canonical fields, with words that people use for each beside its own name.
-FIELD_WORDS = {
-    "description": "description desc text txt item procedure service line name",
-    "code": "code cd cde primary procedure billing charge proc",
-    "code_type": "code type system sys vocabulary vocab nm name kind",
-    "modifiers": "modifiers modifier mods mod mdfr list codes all",
-    "setting": "setting settng care patient class ip op ind indicator place svc service",
-    "billing_class": "billing bill class cls fee of",
-    "drug_unit_of_measurement": "drug unit units qty rx measurement meas quantity",
-    "drug_type_of_measurement": "drug type typ rx uom measurement unit",
-    "gross_charge": "gross grs full list charge chg price total amt amount usd",
-    "discounted_cash_price": "discounted disc cash csh self pay price amt amount",
-    "min_negotiated_rate": "minimum min low lowest negotiated nego rate deid",
-    "max_negotiated_rate": "maximum max high highest negotiated nego rate deid",
-    "additional_generic_notes": "additional generic general notes note remarks comments cmts",
-    "claim_count": "claim claims clm count cnt n seen number",
-}
-# Words that by themselves tell a field from the others.
-TELLING = {
-    "min_negotiated_rate": {"min", "minimum", "low", "lowest"}, "max_negotiated_rate": {"max", "maximum", "high", "highest"},
-    "gross_charge": {"gross", "grs", "full", "list", "total"}, "discounted_cash_price": {"cash", "csh", "disc", "discounted", "self"},
-    "modifiers": {"modifiers", "modifier", "mods", "mod", "mdfr"}, "code_type": {"vocab", "vocabulary", "sys", "system"},
-    "description": {"description", "desc", "txt", "text", "dscrptn"}, "setting": {"setting", "settng", "ip", "op"},
-    "drug_type_of_measurement": {"uom"}, "claim_count": {"claim", "claims", "clm", "count", "cnt"}, "additional_generic_notes": {"notes", "note", "cmts", "comments", "remarks"},
-}
-NUMERIC = {"gross_charge", "discounted_cash_price", "min_negotiated_rate", "max_negotiated_rate", "drug_unit_of_measurement", "claim_count"}
-# ------------------------------------------------------------------
-
-#: Least weight of an edge in step 3, and how often (of its files) an unknown name may stand beside a field it is taken for.
+from ..session import stored as cut
+
+#: Least weight of an edge, and how often (of its files) an unknown name may stand beside a field it is taken for.
 LEAST_WEIGHT, MOST_TOGETHER = 0.5, 0.1
+#: Weights of a sketch's parts: words, coming and going, standing apart, types; and of places between equal edges.
+WORDS, CHANGES, APART, TYPES, PLACE = 0.35, 0.3, 0.2, 0.15, 0.05
 
 EDGE = "file_id long, old_id string, new_id string, weight double"
 
@@ -74,19 +52,17 @@ def short_for(a: str, b: str) -> bool:
     return all(ch in rest for ch in a)
 
 
-def word_likeness(name: str, field: str) -> float:
-    """0..1: the share of the name's words that the field's words explain; a telling word of another field costs."""
+def word_likeness(name: str, known: dict[str, int]) -> float:
+    """0..1: how far the name's words are words of a field, or abbreviate them. known: the field's words with the number of fields
+    that use each."""
     own = words(name)
-    if not own:
-        return 0.0
-    known = FIELD_WORDS.get(field, field.replace("_", " ")).split() + field.split("_")
-    hit = sum(1.0 if w in known else 0.8 if any(short_for(w, k) for k in known) else 0.0 for w in own) / len(own)
-    mine = TELLING.get(field, set())
-    if any(w in mine or (len(w) > 2 and any(short_for(w, t) for t in mine)) for w in own):
-        hit += 0.4
-    elif any(w in t for f, t in TELLING.items() if f != field for w in own):
-        hit -= 0.4
-    return min(max(hit, 0.0), 1.0)
+    best = [max(((1.0 if w == k else 0.8 if short_for(w, k) else 0.0) / n**0.5 for k, n in known.items()), default=0.0) for w in own]
+    return sum(best) / max(len(own), 1)
+
+
+def name_likeness(a: str, b: str) -> float:
+    x, y = words(a), words(b)
+    return sum(any(short_for(w, k) or short_for(k, w) for k in y) for w in x) / max(len(x), len(y), 1)
 
 
 def assign(weight: list[list[float]]) -> list[tuple[int, int]]:
@@ -126,12 +102,24 @@ def assign(weight: list[list[float]]) -> list[tuple[int, int]]:
 
 
 def match_file(edges: pd.DataFrame) -> pd.DataFrame:
-    """The best assignment over the weighted edges of one file."""
-    old, new = sorted(edges.old_id.unique()), sorted(edges.new_id.unique())
-    at = {(o, n): w for o, n, w in zip(edges.old_id, edges.new_id, edges.weight)}
-    grid = [[at.get((o, n), 0.0) for n in new] for o in old]
-    pairs = [(old[i], new[j], grid[i][j]) for i, j in assign(grid)]
-    return pd.DataFrame([(int(edges.file_id.iloc[0]), *p) for p in pairs], columns=["file_id", "old_id", "new_id", "weight"])
+    """The best assignment over the weighted edges of one file, connected part by connected part."""
+    root: dict[tuple[str, str], tuple[str, str]] = {}
+
+    def find(x: tuple[str, str]) -> tuple[str, str]:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for o, n in zip(edges.old_id, edges.new_id):
+        root[find(("o", o))] = find(("n", n))
+    out = []
+    for _, part in edges.groupby(np.array(["\0".join(find(("o", o))) for o in edges.old_id], dtype=object), sort=True):
+        old, new = sorted(part.old_id.unique()), sorted(part.new_id.unique())
+        at = {(o, n): w for o, n, w in zip(part.old_id, part.new_id, part.weight)}
+        grid = [[at.get((o, n), 0.0) for n in new] for o in old]
+        out += [(int(edges.file_id.iloc[0]), old[i], new[j], grid[i][j]) for i, j in assign(grid)]
+    return pd.DataFrame(out, columns=["file_id", "old_id", "new_id", "weight"])
 
 
 def previous_files(files: DataFrame, span: int = 1000) -> DataFrame:
@@ -169,33 +157,14 @@ def changes(mappings: DataFrame, files: DataFrame) -> DataFrame:
     n, o = new.select("file_id", "name", F.struct(*keep[1:]).alias("n")), old.select("file_id", "name", F.struct(*keep[1:]).alias("o"))
     both = cut(n.join(o, ["file_id", "name"], "full").select("file_id", "n", "o"))
 
-    # 2. equal canonical fields among what is left; several columns of one field pair up in the order of their places
-    def ranked(side: str) -> DataFrame:
-        rest = both.filter(F.col("o" if side == "n" else "n").isNull()).select("file_id", side, F.col(f"{side}.field").alias("field"))
-        w = Window.partitionBy("file_id", "field").orderBy(f"{side}.ord", f"{side}.name")
-        return rest.withColumn("k", F.when(F.col("field").isNotNull(), F.row_number().over(w)).otherwise(-F.xxhash64(f"{side}.name")))
-
-    fields = ranked("n").join(ranked("o"), ["file_id", "field", "k"], "full").select("file_id", "n", "o")
-    fields = cut(fields)
-
-    # 3. unknown names against the fields left over
-    together = beside(cols)
-    lone_n = fields.filter("o is null and not n.wide").select("file_id", "n")
-    lone_o = fields.filter("n is null and not o.wide").select("file_id", "o")
-    edges = lone_n.join(lone_o, "file_id").filter("n.field is null or o.field is null")  # bounded by the unmapped columns of one file
-    unknown, field = F.coalesce(F.when(F.col("n.field").isNull(), F.col("n.name")), F.col("o.name")), F.coalesce("o.field", "n.field")
-    edges = edges.withColumns({"unknown": unknown, "known": field}).join(together, ["unknown", "known"], "left")
-    edges = edges.filter(F.col("known").isNull() | (F.coalesce("share", F.lit(0.0)) <= MOST_TOGETHER))
-    edges = edges.withColumn("weight", edge_weight()("unknown", "known", "n.name", "o.name", "n.value_type", "o.value_type", "n.ord", "o.ord"))
-    edges = edges.filter(F.col("weight") >= LEAST_WEIGHT)
-    pairs = edges.select("file_id", F.col("o.name").alias("old_id"), F.col("n.name").alias("new_id"), "weight").groupBy("file_id").applyInPandas(match_file, EDGE)
-    pairs = cut(pairs)
-    renamed = pairs.join(lone_n.withColumn("new_id", F.col("n.name")), ["file_id", "new_id"]).join(lone_o.withColumn("old_id", F.col("o.name")), ["file_id", "old_id"])
-    taken_n = pairs.select(F.col("file_id").alias("f"), F.col("new_id").alias("x"))
-    taken_o = pairs.select(F.col("file_id").alias("f"), F.col("old_id").alias("y"))
-    found = fields.join(taken_n, (F.col("file_id") == F.col("f")) & (F.col("n.name") == F.col("x")) & F.col("o").isNull(), "left_anti")
-    found = found.join(taken_o, (F.col("file_id") == F.col("f")) & (F.col("o.name") == F.col("y")) & F.col("n").isNull(), "left_anti")
-    matched = found.unionByName(renamed.select("file_id", "n", "o")).unionByName(both.filter("n is not null and o is not null"))
+    lone_n = both.filter("o is null").select("file_id", "n")
+    lone_o = both.filter("n is null").select("file_id", "o")
+    edges = field_edges(cols, lone_n.filter("not n.wide"), lone_o.filter("not o.wide")).unionByName(payer_edges(lone_n.filter("n.wide"), lone_o.filter("o.wide")))
+    pairs = cut(edges.groupBy("file_id").applyInPandas(match_file, EDGE))
+    pairs = pairs.select("file_id", "old_id", "new_id")
+    left_n = lone_n.withColumn("new_id", F.col("n.name")).join(pairs, ["file_id", "new_id"], "left").select("file_id", "n", "old_id")
+    left_o = lone_o.withColumn("old_id", F.col("o.name"))
+    matched = left_n.join(left_o, ["file_id", "old_id"], "full").select("file_id", "n", "o").unionByName(both.filter("n is not null and o is not null"))
 
     def change(when, kind: str, old: bool, new: bool):
         side = lambda c, there: (F.coalesce(F.col(f"{c}.source_header"), F.lit("")) if there else F.lit("")).alias({"o": "old_header", "n": "new_header"}[c])
@@ -210,32 +179,81 @@ def changes(mappings: DataFrame, files: DataFrame) -> DataFrame:
     return matched.select("file_id", F.inline(rows))
 
 
-def beside(cols: DataFrame) -> DataFrame:
-    """Sketch of each unknown name: the share of its files in which each canonical field stands beside it."""
-    unknown = cols.filter("field is null and not wide").select("file_id", F.col("name").alias("unknown"))
-    fields = cols.filter("field is not null and not wide").select("file_id", F.col("field").alias("known"))  # a few dozen fields per file
-    n = unknown.groupBy("unknown").agg(F.count("*").alias("n"))
-    pairs = unknown.join(fields, "file_id").groupBy("unknown", "known").agg(F.count("*").alias("m"))
-    return pairs.join(n, "unknown").select("unknown", "known", (F.col("m") / F.col("n")).alias("share"))
+def field_edges(cols: DataFrame, lone_n: DataFrame, lone_o: DataFrame) -> DataFrame:
+    """Weighted edges between unmatched columns that are no payers'."""
+    nf, of = F.col("n.field"), F.col("o.field")
+    unknown = F.when(nf.isNull() & of.isNotNull(), F.col("n.name")).when(of.isNull() & nf.isNotNull(), F.col("o.name"))
+    pairs = lone_n.join(lone_o, "file_id").filter("n.field is null or o.field is null or n.field = o.field")
+    pairs = cut(pairs.withColumns({"unknown": unknown, "known": F.when(unknown.isNotNull(), F.coalesce(nf, of))}))
+    lone = lone_n.select("file_id", F.col("n.name").alias("unknown"), F.col("n.field").alias("f")).unionByName(lone_o.select("file_id", F.col("o.name").alias("unknown"), F.col("o.field").alias("f")))
+    sketch = cut(sketches(cols, pairs, lone.filter("f is null")))
+    guess = sketch.filter(F.col("score") >= LEAST_WEIGHT).groupBy("unknown").agg(F.max_by("known", F.struct("score", "known")).alias("guess"))
+    side = lambda c: guess.select(F.col("unknown").alias(f"{c}_name"), F.col("guess").alias(f"{c}_guess"))
+    e = pairs.join(sketch, ["unknown", "known"], "left").withColumns({"n_name": F.when(nf.isNull() & of.isNull(), F.col("n.name")), "o_name": F.when(nf.isNull() & of.isNull(), F.col("o.name"))})
+    e = e.join(side("n"), "n_name", "left").join(side("o"), "o_name", "left")
+    place = PLACE / (1 + F.coalesce(F.abs(F.col("n.ord") - F.col("o.ord")), F.lit(0)))
+    weight = F.when(nf == of, F.lit(1.0)).when(F.col("known").isNotNull(), F.col("score")).when(F.col("n_guess") == F.col("o_guess"), F.lit(0.8))
+    alike = F.when(F.col("n_guess").isNull() | F.col("o_guess").isNull(), like_udf("n_name", "o_name"))
+    e = e.withColumn("weight", F.coalesce(weight, F.when(alike > 0.6, alike * 0.9)))
+    return e.filter(F.col("weight") >= LEAST_WEIGHT).select("file_id", F.col("o.name").alias("old_id"), F.col("n.name").alias("new_id"), (F.col("weight") + place).alias("weight"))
+
+
+def payer_edges(lone_n: DataFrame, lone_o: DataFrame) -> DataFrame:
+    """Weighted edges between unmatched payer columns: of equal folded headers, or that differ in one part by two edits at most and
+    share its first or last three signs (the block)."""
+
+    def blocks(df: DataFrame, c: str) -> DataFrame:
+        parts = F.split(F.col(f"{c}.field"), r"\|")
+        holes = F.flatten(F.transform(parts, lambda p, i: F.array(*(
+            F.struct(F.concat_ws("|", F.lit(side), i.cast("string"), end, F.concat_ws("|", F.transform(parts, lambda q, j: F.when(i == j, "").otherwise(q)))).alias("block"), p.alias("part"))
+            for side, end in (("first", F.substring(p, 1, 3)), ("last", F.substring(p, -3, 3)))))))
+        same = F.array(F.struct(F.concat(F.lit("same|"), F.col(f"{c}.field")).alias("block"), F.lit("").alias("part")))
+        return df.select("file_id", F.col(f"{c}.name").alias(f"{c}_id"), F.col(f"{c}.ord").alias(f"{c}_ord"), F.inline(F.concat(same, holes))).withColumnRenamed("part", f"{c}_part")
+
+    e = blocks(lone_n, "n").join(blocks(lone_o, "o"), ["file_id", "block"])
+    e = e.withColumn("far", F.levenshtein("n_part", "o_part")).filter("far <= 2")
+    place = PLACE / (1 + F.coalesce(F.abs(F.col("n_ord") - F.col("o_ord")), F.lit(0)))
+    e = e.withColumn("weight", F.when(F.col("block").startswith("same|"), 1.0).otherwise(0.8 - 0.1 * F.col("far")) + place)
+    return e.groupBy("file_id", F.col("o_id").alias("old_id"), F.col("n_id").alias("new_id")).agg(F.max("weight").alias("weight"))
+
+
+def sketches(cols: DataFrame, pairs: DataFrame, lone: DataFrame) -> DataFrame:
+    """(unknown, known, score): what every name that was never recognized says for each field that ever went or came with it."""
+    told = cols.filter("field is not null and not wide")
+    went = lone.groupBy("unknown").agg(F.count_distinct("file_id").alias("changes"))
+    both = pairs.filter("known is not null").groupBy("unknown", "known").agg(F.count_distinct("file_id").alias("c"))
+    one = cols.join(went.select(F.col("unknown").alias("name")), "name", "left_semi").select("file_id", F.col("name").alias("unknown"), F.col("value_type").alias("t"))
+    fields = told.select("file_id", F.col("field").alias("known")).distinct()  # a few dozen per file
+    stands = one.groupBy("unknown").agg(F.count_distinct("file_id").alias("files"))
+    together = one.join(fields, "file_id").groupBy("unknown", "known").agg(F.count_distinct("file_id").alias("m"))
+    types = lambda df, key: df.filter("t is not null").groupBy(key, F.when(F.col("t") == "bigint", "double").otherwise(F.col("t")).alias("t")).agg(F.count("*").alias("n")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias(f"{key}_types"))
+    spelt = told.select("field", F.explode(F.array_distinct(F.concat(F.split("name", "[^a-z]+"), F.split("field", "[^a-z]+")))).alias("w")).filter("w <> ''").distinct()
+    shared = spelt.groupBy("w").agg(F.count("*").alias("uses"))
+    spelling = spelt.join(shared, "w").groupBy(F.col("field").alias("known")).agg(F.map_from_entries(F.collect_list(F.struct("w", "uses"))).alias("words"))
+    x = both.join(went, "unknown").join(stands, "unknown").join(together, ["unknown", "known"], "left").filter(F.coalesce(F.col("m") / F.col("files"), F.lit(0.0)) <= MOST_TOGETHER)
+    x = x.join(types(one, "unknown"), "unknown", "left").join(types(told.select(F.col("field").alias("known"), F.col("value_type").alias("t")), "known"), "known", "left").join(spelling, "known", "left")
+    total = lambda c: F.aggregate(F.map_values(c), F.lit(0).cast("long"), lambda a, b: a + b)
+    u, k = F.col("unknown_types"), F.col("known_types")
+    agree = F.aggregate(F.map_keys(u), F.lit(0.0), lambda a, t: a + F.least(u[t] / total(u), F.coalesce(k[t] / total(k), F.lit(0.0))))
+    apart = (1 - F.coalesce(F.col("m") / F.col("files"), F.lit(0.0))) * F.col("files") / (F.col("files") + 1)
+    score = WORDS * words_udf("unknown", "words") + CHANGES * (F.col("c") + 0.3) / (F.col("changes") + 1) + APART * apart + TYPES * F.coalesce(agree, F.lit(0.5))
+    return x.select("unknown", "known", score.alias("score"))
+
+
+def words_udf(name: str, known: str):
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([word_likeness(x, dict(y) if y is not None else {}) for x, y in zip(a, b)], dtype="float64")
+
+    return run(name, known)
 
 
-def edge_weight():
+def like_udf(a: str, b: str):
     @F.pandas_udf("double")
-    def weigh(unknown: pd.Series, known: pd.Series, new: pd.Series, old: pd.Series, nt: pd.Series, ot: pd.Series, no: pd.Series, oo: pd.Series) -> pd.Series:
-        out = []
-        for u, f, a, b, t, s, i, j in zip(unknown, known, new, old, nt, ot, no, oo):
-            if f is None or f != f:  # neither name was ever known: only clear likeness of the names counts
-                x, y = words(a), words(b)
-                like = sum(any(short_for(w, k) or short_for(k, w) for k in y) for w in x) / max(len(x), len(y), 1)
-                out.append(like * 0.9 if like > 0.6 else 0.0)
-                continue
-            like = word_likeness(u, f)
-            near = 1.0 / (1 + abs((i or 0) - (j or 0)))
-            same = 0.5 if t is None or s is None or t != t or s != s else float(t == s or {t, s} <= {"double", "bigint"})
-            out.append(0.0 if like < 0.35 else 0.7 * like + 0.15 * same + 0.15 * near)
-        return pd.Series(out, dtype="float64")
-
-    return weigh
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else name_likeness(p, q) for p, q in zip(x, y)], dtype="float64")
+
+    return run(a, b)
 
 
 def unified(mappings: DataFrame) -> DataFrame:

@@ -54,3 +54,33 @@ def test_unified(spark):
     rows = mapping([(1, 1, "a", "gross", "gross_charge", "double"), (2, 1, "b", "grs", "gross_charge", "bigint"), (2, 2, "c", "odd", None, None)])
     got = {r.column_name: (r.value_type, r.names) for r in D.unified(spark.createDataFrame(rows, MAP)).collect()}
     assert got == {"gross_charge": ("double", 2), "odd": ("string", 1)}
+
+
+def test_payer_columns_and_parts(spark):
+    h = "Standard Charge|Aetna{}|Gold Plan{}|negotiated_dollar"
+    rows = mapping([
+        (1, 1, h.format("", ""), "a1", "wide_payer:negotiated_rate", "double"), (1, 2, "standard_charge|Cigna|PPO|methodology", "a2", "wide_payer:methodology", "string"), (1, 3, "standard_charge|Zed|PPO|methodology", "a3", "wide_payer:methodology", "string"),
+        (2, 1, h.format("h", ""), "b1", "wide_payer:negotiated_rate", "double"), (2, 2, "standard_charge|CIGNA|P.P.O.|methodology", "b2", "wide_payer:methodology", "string"), (2, 3, "standard_charge|Other|PPO|methodology", "b3", None, "string"),
+    ])
+    got = {tuple(r)[1:] for r in D.changes(spark.createDataFrame(rows, MAP), spark.createDataFrame([(1, 9, 1), (2, 9, 2)], FILES)).collect()}
+    assert got == {
+        ("renamed", rows[0][3], rows[3][3]), ("renamed", rows[1][3], rows[4][3]), ("removed", rows[2][3], ""), ("added", "", rows[5][3]),
+    }
+
+
+def test_match_file_by_parts():
+    import pandas as pd
+
+    edges = pd.DataFrame([(1, "a", "x", 0.9), (1, "a", "y", 0.8), (1, "b", "x", 0.8), (1, "c", "z", 0.5)], columns=["file_id", "old_id", "new_id", "weight"])
+    assert {tuple(r)[1:3] for r in D.match_file(edges).itertuples(index=False)} == {("a", "y"), ("b", "x"), ("c", "z")}
+
+
+def test_sketches_learn_a_field_without_words(spark):
+    """low_x is never recognized; it comes where minimum goes, and stands beside everything else."""
+    rows, files = [], []
+    for f in range(40):
+        low = f % 2
+        files.append((f, f // 2, f % 2))
+        rows += [(f, 1, "min" if not low else "low", "minimum" if not low else "low_x", "min_negotiated_rate" if not low else None, "double"), (f, 2, "max", "maximum", "max_negotiated_rate", "double"), (f, 3, "note", "dept" if f % 3 else "dept_b", None, "string")]
+    got = {(r.old_header, r.new_header) for r in D.changes(spark.createDataFrame(mapping(rows), MAP), spark.createDataFrame(files, FILES)).collect() if r.change == "renamed"}
+    assert ("min", "low") in got
