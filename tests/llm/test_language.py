@@ -53,6 +53,18 @@ def test_assign(spark, monkeypatch):
     assert canonical.assign(df.limit(0), "id", ["plan"], ref).count() == 0
 
 
+def test_readings_need_no_list_of_short_forms(spark):
+    ref = [(1, "plan", "Commercial PPO"), (2, "plan", "Commercial HMO"), (3, "plan", "Medicaid Fee for Service"), (4, "plan", "Behavioral Health Carve Out"), (5, "plan", "Workers Compensation"), (6, "plan", "Catastrophic Only"), (7, "cat", "Specialty Carve Out"), (8, "cat", "Commercial")]
+    lists = canonical.Lists(ref, {})
+    said = {"comml ppo": 1, "PPO - Comm": 1, "Commercial preferred provider org": 1, "Mcaid FFS": 3, "BH Carve-Out": 4, "wkrs comp": 5, "WC": 5, "CAT ONLY plan": 6, "Comercial HMO": 2, "Tier Q-14": 0, "": 0, "col shift": 0}
+    assert {v: lists.nearest("plan", v)[0] for v in said} == said
+    assert lists.nearest("cat", "Specialty CO")[0] == 7 and lists.nearest("cat", "Private Commercial")[0] == 8 and lists.nearest("cat", "col shift")[0] == 0 and lists.nearest("none", "x") == (0, -1)
+    assert canonical.Lists(ref, {"medicaid fee for service": ["straight medicaid"]}).nearest("plan", "Straight Medicaid")[0] == 3
+    rows = spark.createDataFrame([(i, "Comml PPO") for i in range(5)] + [(9, "Coml PP"), (10, "Comkl PPO")], "id long, plan string")
+    df = spark.createDataFrame(ref, "entry_id long, field_name string, canonical_value string")
+    assert {r.row_id: r.entry_id for r in canonical.assign(rows, "id", ["plan"], df, trade={}).collect()}[10] == 1  # a typo of a learnt form
+
+
 # --- problem 3 -------------------------------------------------------------------------------------------------------
 
 
