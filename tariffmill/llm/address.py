@@ -7,10 +7,12 @@ Addresses are parsed into region, locality, street, number and unit, and linked
 2. street: a rare spelling within one edit of a name that is known elsewhere takes that name; within a locality and house
    number spellings within one edit join the commonest one;
 3. direction and street type: a missing one inherits the only candidate of its street; several candidates leave it open;
-4. number: part of every key, never inherited. Units do not tell locations apart and are dropped.
+4. number: part of every key, never inherited;
+5. unit: a missing one inherits the only unit of its location (with_units). Units do not tell locations apart.
 
-Records that name no locality inherit the one locality in which their number and street occur; with several candidates the
-ambiguity stays explicit (level 'open': such a record is linked only to records of the same candidates).
+Records that name no locality inherit the one locality in which their number and street occur. Whatever level has several
+candidates stays open: the record keeps them all in `candidates` (level:value) and is linked only to records that are open between
+the same ones.
 
 Likeness is found by equi-joins on deletion variants (two words within one edit share a variant), on distinct names only;
 no pairs within a group are formed but those of the result. Dictionaries are of localities and streets, not of records.
@@ -29,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import stored as cut
 from .canonical import distance
 
 # Postal abbreviations.
@@ -173,7 +175,7 @@ def join_spellings(names: DataFrame, keys: list[str], word: str) -> DataFrame:
 
 
 def locate(records: DataFrame, row_id: str = "meta_id") -> DataFrame:
-    """(row_id, level, location) of every record with an address. location: the folded key of the place."""
+    """(row_id, level, location, unit, candidates) of every record with an address. location: the folded key of the place."""
     rows = records.filter("trim(hospital_address) <> ''").select(F.col(row_id).cast("long").alias("row_id"), "hospital_address", "hospital_location")
     rows = cut(rows.withColumn("p", parse_udf("hospital_address", "hospital_location")).select("row_id", F.lower(F.trim("hospital_address")).alias("text"), "p.*"))
 
@@ -210,10 +212,13 @@ def locate(records: DataFrame, row_id: str = "meta_id") -> DataFrame:
     b = rows.filter("locality is not null and number is not null").groupBy("number", "street", F.coalesce("dir", F.lit("")).alias("d"), "locality").count()
     bv = b.withColumn("v", F.explode(variants(F.col("street")))).select("number", "d", "v", "locality", F.col("street").alias("other"))
     near = lost.withColumn("v", F.explode(variants(F.col("street")))).join(bv, ["number", "d", "v"]).filter(edits("street", "other") <= 1)
-    heirs = near.groupBy("number", "street", "d").agg(F.count_distinct("locality").alias("c"), F.min("locality").alias("heir")).filter("c = 1").drop("c")
+    heirs = near.groupBy("number", "street", "d").agg(F.array_sort(F.collect_set("locality")).alias("heirs"))
     rows = rows.withColumn("d", F.coalesce("dir", F.lit(""))).join(heirs, ["number", "street", "d"], "left").drop("d")
-    rows = rows.withColumn("level", F.when(F.col("locality").isNotNull(), "located").when(F.col("heir").isNotNull(), "inherited").otherwise("open"))
-    rows = rows.withColumn("locality", F.coalesce("locality", "heir", F.lit("?")))
+    rows = rows.withColumn("heirs", F.when(F.col("locality").isNull(), F.col("heirs")))
+    rows = rows.withColumn("level", F.when(F.col("locality").isNotNull(), "located").when(F.size("heirs") == 1, "inherited").otherwise("open"))
+    rows = rows.withColumn("candidates", F.when(F.size("heirs") > 1, F.transform("heirs", lambda x: F.concat(F.lit("locality:"), x))).otherwise(F.array().cast("array<string>")))
+    unsure = F.concat(F.lit("?"), F.when(F.size("heirs") > 1, F.hex(F.xxhash64("heirs"))).otherwise(""))
+    rows = rows.withColumn("locality", F.coalesce("locality", F.when(F.size("heirs") == 1, F.get("heirs", F.lit(0))), unsure)).drop("heirs")
 
     # 2. streets: a rare spelling of a name known elsewhere takes that name, then spellings join within a locality and number
     named = rows.filter("street is not null").groupBy("street").agg(F.count("*").alias("n"))
@@ -226,12 +231,26 @@ def locate(records: DataFrame, row_id: str = "meta_id") -> DataFrame:
 
     # 3. direction, then type: inherited where there is one candidate
     for part, keys in (("dir", ["locality", "number", "street"]), ("kind", ["locality", "number", "street", "dir"])):
-        only = rows.filter(f"{part} is not null").groupBy(*keys).agg(F.count_distinct(part).alias("c"), F.min(part).alias("one")).filter("c = 1").drop("c")
-        only = only.select(*[F.col(k).alias(f"k_{k}") for k in keys], "one")
+        only = rows.filter(f"{part} is not null").groupBy(*keys).agg(F.array_sort(F.collect_set(part)).alias("ones"))
+        only = only.select(*[F.col(k).alias(f"k_{k}") for k in keys], "ones")
         same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys]
-        rows = rows.join(only, same, "left").withColumn(part, F.coalesce(part, "one")).drop("one", *[f"k_{k}" for k in keys])
+        rows = rows.join(only, same, "left").withColumn("ones", F.when(F.col(part).isNull(), F.col("ones")))
+        several = F.when(F.size("ones") > 1, F.transform("ones", lambda x: F.concat(F.lit(f"{part}:"), x))).otherwise(F.array().cast("array<string>"))  # noqa: B023
+        rows = rows.withColumn("candidates", F.concat("candidates", several)).withColumn(part, F.coalesce(part, F.when(F.size("ones") == 1, F.get("ones", F.lit(0)))))
+        rows = rows.drop("ones", *[f"k_{k}" for k in keys])
     whole = F.concat_ws("/", "locality", "number", F.coalesce("dir", F.lit("")), "street", F.coalesce("kind", F.lit("")))
-    return rows.select("row_id", "level", F.when(F.col("number").isNotNull() & F.col("street").isNotNull(), whole).otherwise(F.concat(F.lit("text:"), "text")).alias("location"))
+    location = F.when(F.col("number").isNotNull() & F.col("street").isNotNull(), whole).otherwise(F.concat(F.lit("text:"), "text"))
+    return rows.select("row_id", "level", location.alias("location"), "unit", "candidates")
+
+
+def with_units(located: DataFrame) -> DataFrame:
+    """located with the unit level: a missing unit inherits the only one of its location, several become candidates. links: the other
+    records of the location."""
+    one = located.groupBy("location").agg(F.array_sort(F.collect_set("unit")).alias("units"), (F.count("*") - 1).alias("links"))
+    x = located.join(one, "location").withColumn("units", F.when(F.col("unit").isNull(), F.col("units")))
+    several = F.when(F.size("units") > 1, F.transform("units", lambda u: F.concat(F.lit("unit:"), u))).otherwise(F.array().cast("array<string>"))
+    unit = F.coalesce("unit", F.when(F.size("units") == 1, F.get("units", F.lit(0))))
+    return x.select("row_id", "level", "location", unit.alias("unit"), F.concat("candidates", several).alias("candidates"), "links")
 
 
 def pairs(located: DataFrame, salts: int = 8) -> DataFrame:

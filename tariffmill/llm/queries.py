@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
 from . import address, canonical, contamination, encoding, mixing, names, subjects
@@ -25,21 +26,26 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The location of every record: one row per record with the id of its class."""
-    return address.locate(table(spark, sf_dir, "file_metadata"))
+    """The location of every record: one row per record with the id of its class, its unit, open candidates and number of links."""
+    return address.with_units(address.locate(table(spark, sf_dir, "file_metadata")))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return address.pairs(p7_locations(spark, sf_dir))
+    return address.pairs(address.locate(table(spark, sf_dir, "file_metadata")))
 
 
 def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every distinct text with the id of its payer."""
+    """Every distinct text with the id of its payer and the number of other texts that name it."""
+    resolved = entities(spark, sf_dir)
+    return resolved.join(resolved.groupBy("entity").agg((F.count("*") - 1).alias("links")), "entity").select("name", "entity", "links")
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.resolve(table(spark, sf_dir, "payer_rates").select("raw_payer_name", "payer_name"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names.found(p1_entities(spark, sf_dir))
+    return names.found(entities(spark, sf_dir))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

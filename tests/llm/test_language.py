@@ -192,6 +192,16 @@ def test_addresses(spark):
     assert address.locate(df.limit(0)).count() == 0
 
 
+def test_open_candidates_and_units(spark):
+    rows = [(1, "5 Oak St, Alto, OR 97001", None), (2, "5 Oak St Ste 3, Belmo, NV 89001", None), (3, "5 Oak St", None), (4, "5 Oak Street", None), (5, "5 Oak St Ste 9, Belmo, NV 89001", None), (6, "5 Oak St, Belmo, NV 89001", None),
+            (7, "8 N Elm Ave, Alto, OR 97001", None), (8, "8 S Elm Ave, Alto, OR 97001", None), (9, "8 Elm Ave, Alto, OR 97001", None), (10, "7 Fir Rd Apt 2, Alto, OR 97001", None), (11, "7 Fir Rd, Alto, OR 97001", None), (12, "1 Lone Way", None)]
+    got = {r.row_id: r for r in address.with_units(address.locate(spark.createDataFrame(rows, "meta_id long, hospital_address string, hospital_location string"))).collect()}
+    assert got[3].level == "open" and got[3].candidates == ["locality:alto|or", "locality:belmo|nv"] and got[3].location == got[4].location != got[12].location
+    assert got[2].location == got[5].location == got[6].location != got[1].location and got[6].candidates == ["unit:3", "unit:9"] and got[6].links == 2
+    assert got[9].candidates == ["dir:n", "dir:s"] and len({got[k].location for k in (7, 8, 9)}) == 3
+    assert got[11].unit == "2" and got[10].location == got[11].location and got[12].candidates == []
+
+
 # --- problem 8 -------------------------------------------------------------------------------------------------------
 
 ITEM = " ".join(f"w{i}" for i in range(60))
