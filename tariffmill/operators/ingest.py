@@ -63,5 +63,8 @@ def quality(parts: DataFrame, rejected: DataFrame) -> DataFrame:
     """(file_id, counter, key, n): what was read, skipped and refused, file by file."""
     read = parts.groupBy("file_id", F.when(F.col("kind").isin("row", "item", "in_network", "structure"), "read").when(F.col("kind").startswith("bad_"), "skipped").alias("counter"), F.col("kind").alias("key")).agg(F.count("*").alias("n")).filter("counter is not null")
     bad = rejected.groupBy("file_id", F.lit("rejected_codes").alias("counter"), F.col("reason").alias("key")).agg(F.count("*").alias("n"))
+    skipped = tic.faults(parts.filter("kind = 'in_network'")).select("file_id", F.lit("skipped_prices").alias("counter"), F.col("fault").alias("key"), "n")
+    long = parts.filter("kind = 'long_root'").groupBy("file_id", F.lit("skipped").alias("counter"), F.col("cells")[0].alias("key")).agg(F.count("*").alias("n"))
+    read = read.unionByName(skipped).unionByName(long)
     errors = parts.filter("kind = 'file' and raw is not null").select("file_id", F.lit("file_error").alias("counter"), F.col("raw").alias("key"), F.lit(1).cast("long").alias("n"))
     return read.unionByName(bad).unionByName(errors)

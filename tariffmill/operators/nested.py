@@ -59,30 +59,61 @@ def is_nested(raw: Column) -> Column:
     return raw.contains('"standard_charges"') | raw.contains('"code_information"')
 
 
+def charge_parts(s: Column, n: Column) -> Column:
+    """One charge with the three parts of its group's key and its prices as numbers."""
+    listed = F.coalesce(*(F.try_variant_get(s[k], "$", "array<string>") for k in CHARGE_KEYS["modifiers"]))
+    joined = F.array_join(F.filter(F.transform(listed, lambda m: F.trim(m)), lambda m: m != ""), ",")
+    mods = F.coalesce(joined, F.trim(first_of(s, CHARGE_KEYS["modifiers"])))
+    known = F.lower(F.trim(s["billing_class"]))
+    price = lambda k: safe_float(first_of(s, CHARGE_KEYS[k]))
+    return F.struct(
+        n.alias("n"),
+        F.when(known.isin("facility", "professional", "both"), known).otherwise("").alias("billing_class"),
+        F.lower(F.trim(F.coalesce(s["setting"], F.lit("")))).alias("setting"),
+        F.nullif(mods, F.lit("")).alias("modifiers"),
+        price("gross_charge").alias("g"), price("discounted_cash").alias("c"), price("minimum").alias("lo"), price("maximum").alias("hi"),
+        s["additional_generic_notes"].alias("notes"), s["payers_information"].alias("p"),
+    )
+
+
+def merged_charge(e: Column) -> Column:
+    """The charges of one group (e.mine, in their order) as one row."""
+    there = lambda f: F.filter(F.transform(e["mine"], lambda q: q[f]), lambda v: v.isNotNull())
+    return F.struct(
+        e["key"]["billing_class"].alias("billing_class"), e["key"]["setting"].alias("setting"), e["key"]["modifiers"].alias("modifiers"), F.get(e["mine"], F.lit(0))["n"].alias("n"),
+        first_nonzero(there("g")).alias("gross_charge"), first_nonzero(there("c")).alias("discounted_cash_price"),
+        first_nonzero(there("lo")).alias("min_negotiated_rate"), first_nonzero(there("hi")).alias("max_negotiated_rate"),
+        F.get(there("notes"), F.lit(0)).alias("additional_generic_notes"), F.flatten(there("p")).alias("payers"),
+    )
+
+
 def flatten(items: DataFrame, raw: str = "raw") -> DataFrame:
     """items(file_id, ord, raw) -> one row per (billing class, setting, modifiers) of each item.
 
     Of several charges of one group each price is the first that is there and not 0; payers are put together. A class of
     'both' gives a facility and a professional row. An item with codes but no charges gives one row without prices.
+    A group never leaves its item, so the merge is done inside the item's row and nothing is shuffled.
     """
     x = items.withColumn("i", F.from_json(raw, ITEM)).filter("i is not null")
     known = F.filter("i.code_information", lambda c: F.coalesce(c["code"], F.lit("")) != "")
-    best = F.array_sort(F.transform(known, lambda c, k: F.struct(
-        F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for kv in PRIORITY.items() for v in kv)), F.coalesce(F.upper(c["type"]), F.lit(""))), F.lit(10)).alias("rank"), k.alias("k"), c["code"].alias("code"), c["type"].alias("type"))))
+    order = F.create_map(*(F.lit(v) for kv in PRIORITY.items() for v in kv))
+    rank = lambda c: F.coalesce(F.try_element_at(order, F.coalesce(F.upper(c["type"]), F.lit(""))), F.lit(10))
+    best = F.array_sort(F.transform(known, lambda c, k: F.struct(rank(c).alias("rank"), k.alias("k"), c["code"].alias("code"), c["type"].alias("type"))))
     x = x.withColumn("best", F.get(best, F.lit(0)))
-    x = x.select("file_id", "ord", F.col("best.code").alias("code"), F.col("best.type").alias("code_type"), F.col("i.description").alias("description"), F.col("i.drug_information.unit").alias("drug_unit_of_measurement"), F.col("i.drug_information.type").alias("drug_type_of_measurement"), F.posexplode_outer("i.standard_charges").alias("n", "s"))
-    x = x.filter("s is not null or code is not null")
-    listed = F.coalesce(*(F.try_variant_get(F.col(f"s.{k}"), "$", "array<string>") for k in CHARGE_KEYS["modifiers"]))
-    mods = F.coalesce(F.array_join(F.filter(F.transform(listed, lambda m: F.trim(m)), lambda m: m != ""), ","), F.trim(first_of(F.col("s"), CHARGE_KEYS["modifiers"])))
-    known_class = F.lower(F.trim("s.billing_class"))
-    x = x.withColumns({"billing_class": F.when(known_class.isin("facility", "professional", "both"), known_class).otherwise(""), "setting": F.lower(F.trim(F.coalesce("s.setting", F.lit("")))), "modifiers": F.nullif(mods, F.lit(""))})
-    keep = ["file_id", "ord", "code", "code_type", "description", "drug_unit_of_measurement", "drug_type_of_measurement", "billing_class", "setting", "modifiers"]
-    part = F.struct("n", *(safe_float(first_of(F.col("s"), CHARGE_KEYS[k])).alias(a) for k, a in (("gross_charge", "g"), ("discounted_cash", "c"), ("minimum", "lo"), ("maximum", "hi"))), F.col("s.additional_generic_notes").alias("notes"), F.col("s.payers_information").alias("p"))
-    g = x.withColumn("part", part).groupBy(*keep).agg(F.min("n").alias("n"), F.array_sort(F.collect_list("part"), lambda a, b: a["n"] - b["n"]).alias("parts"))
-    pick = lambda f: first_nonzero(F.filter(F.transform("parts", lambda q: q[f]), lambda v: v.isNotNull()))
-    g = g.select(*keep, "n", pick("g").alias("gross_charge"), pick("c").alias("discounted_cash_price"), pick("lo").alias("min_negotiated_rate"), pick("hi").alias("max_negotiated_rate"), F.get(F.filter(F.transform("parts", lambda q: q["notes"]), lambda v: v.isNotNull()), F.lit(0)).alias("additional_generic_notes"), F.flatten(F.filter(F.transform("parts", lambda q: q["p"]), lambda v: v.isNotNull())).alias("payers"))
+    whole = F.when(F.size("i.standard_charges") > 0, F.col("i.standard_charges"))
+    x = x.select(
+        "file_id", "ord", F.col("best.code").alias("code"), F.col("best.type").alias("code_type"), F.col("i.description").alias("description"),
+        F.col("i.drug_information.unit").alias("drug_unit_of_measurement"), F.col("i.drug_information.type").alias("drug_type_of_measurement"), whole.alias("s"),
+    )
+    x = x.filter("s is not null or code is not null").withColumn("s", F.coalesce("s", F.array(F.lit(None).cast(CHARGE))))
+    x = x.withColumn("parts", F.transform("s", charge_parts)).drop("s")
+    keys = F.array_distinct(F.transform("parts", lambda q: F.struct(q["billing_class"].alias("billing_class"), q["setting"].alias("setting"), q["modifiers"].alias("modifiers"))))
+    same = lambda q, k: (q["billing_class"] == k["billing_class"]) & (q["setting"] == k["setting"]) & q["modifiers"].eqNullSafe(k["modifiers"])
+    groups = F.transform(keys, lambda k: F.struct(k.alias("key"), F.filter("parts", lambda q: same(q, k)).alias("mine")))
+    x = x.withColumn("groups", groups).select("*", F.inline(F.transform("groups", merged_charge))).drop("groups", "parts")
+    x = x.withColumn("n", F.when(F.col("n") >= 0, F.col("n")))
     both = F.when(F.col("billing_class") == "both", F.array(F.lit("facility"), F.lit("professional"))).otherwise(F.array("billing_class"))
-    return g.select("*", F.posexplode(both).alias("twin", "_bc")).withColumn("billing_class", F.col("_bc")).drop("_bc")
+    return x.select("*", F.posexplode(both).alias("twin", "_bc")).withColumn("billing_class", F.col("_bc")).drop("_bc")
 
 
 def tables(parts: DataFrame, dictionary: DataFrame | None = None) -> dict[str, DataFrame]:

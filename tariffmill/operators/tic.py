@@ -35,6 +35,25 @@ def valid(g: str) -> Column:
     return F.col(f"{g}.tin").isNotNull() & F.col(f"{g}.npis").isNotNull()
 
 
+def file_metadata(roots: DataFrame, refs: DataFrame) -> DataFrame:
+    """What an in-network file says about itself: four values of its root and the network name of its first reference."""
+    value = lambda k: F.get_json_object("raw", f"$.{k}").alias(k)
+    fields = ["reporting_entity_name", "reporting_entity_type", "last_updated_on", "version"]
+    root = roots.groupBy("file_id").agg(F.min_by("raw", "ord").alias("raw")).select("file_id", *map(value, fields))
+    first = refs.groupBy("file_id").agg(F.min_by("raw", "ord").alias("raw")).select("file_id", F.get_json_object("raw", "$.network_name[0]").alias("network_name"))
+    both = root.join(first, "file_id", "full")
+    return both.filter(F.coalesce(*fields, "network_name").isNotNull()).select("file_id", *fields, "network_name")
+
+
+def faults(items: DataFrame) -> DataFrame:
+    """(file_id, fault, n): the prices that are skipped, by what is wrong with them, and items without a code."""
+    x = items.withColumn("i", F.from_json("raw", ITEM))
+    bare = x.filter("i is null or coalesce(i.billing_code, '') = '' or coalesce(i.billing_code_type, '') = ''").groupBy("file_id", F.lit("billing_code").alias("fault")).agg(F.count("*").alias("n"))
+    p = x.filter("i.billing_code <> '' and i.billing_code_type <> ''").select("file_id", F.explode("i.negotiated_rates").alias("r")).select("file_id", F.explode("r.negotiated_prices").alias("p"))
+    why = price_fault(F.col("p.negotiated_type"), F.col("p.billing_class"), F.col("p.negotiated_rate"), F.col("p.negotiated_rate").try_cast("double"))
+    return bare.unionByName(p.groupBy("file_id", why.alias("fault")).agg(F.count("*").alias("n")).filter("fault is not null"))
+
+
 def provider_groups(refs: DataFrame) -> DataFrame:
     """refs(file_id, ord, raw) -> one row per distinct (file, reference id, tin, npis); the first in file order wins."""
     x = refs.withColumn("r", F.from_json("raw", REFERENCE)).select("file_id", "ord", F.col("r.provider_group_id").alias("group_id"), F.posexplode("r.provider_groups").alias("n", "g"))
@@ -124,5 +143,8 @@ def tables(parts: DataFrame) -> dict[str, DataFrame]:
     refs = provider_groups(parts.filter("kind = 'provider_reference'"))
     rate, inline = rates(parts.filter("kind = 'in_network'"), refs)
     same = ["file_id", "ord", "group_id", "tin_type", "tin", "npis", "business_name"]
-    entries = index(parts.filter("kind = 'structure'"), parts.filter("kind = 'root'"))
-    return {"tic_provider_groups": refs.select(*same).unionByName(inline.select(*same)), "tic_rates": rate, "tic_index": entries, "tic_networks": networks(entries, ["file_id", "ord"])}
+    roots = parts.filter("kind = 'root'")
+    entries = index(parts.filter("kind = 'structure'"), roots)
+    in_network = parts.filter("kind in ('in_network', 'provider_reference')").select("file_id").distinct()
+    about = file_metadata(roots.join(in_network, "file_id", "left_semi"), parts.filter("kind = 'provider_reference'"))
+    return {"tic_file_metadata": about, "tic_provider_groups": refs.select(*same).unionByName(inline.select(*same)), "tic_rates": rate, "tic_index": entries, "tic_networks": networks(entries, ["file_id", "ord"])}

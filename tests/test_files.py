@@ -33,7 +33,7 @@ def landing(tmp_path):
     g = {"npi": [1234567893, "x"], "tin": {"type": "ein", "value": "12-3"}}
     price = lambda v, **k: {"negotiated_type": "negotiated", "negotiated_rate": v, "billing_class": "professional", "expiration_date": "2026-1-5", "billing_code_modifier": ["59,25"], **k}
     (d / "innet.json").write_text(json.dumps({
-        "reporting_entity_name": "E", "provider_references": [{"provider_group_id": 10, "provider_groups": [g]}, {"provider_group_id": 9, "provider_groups": [g]}],
+        "reporting_entity_name": "E", "provider_references": [{"provider_group_id": 10, "network_name": ["Net A", "B"], "provider_groups": [g]}, {"provider_group_id": 9, "provider_groups": [g]}],
         "in_network": [{"billing_code": "99213", "billing_code_type": "CPT", "name": "secret", "negotiated_rates": [
             {"provider_references": [10, 77], "negotiated_prices": [price(1.5), price(2, billing_class="x")]}, {"provider_references": [9], "provider_groups": [g], "negotiated_prices": [price(1.5)]}]}],
     }))
@@ -62,6 +62,9 @@ def test_tables(spark, landing, tmp_path):
     assert rows("file_metadata", "file_id", "hospital_name", "license_number", "license_state", "type_2_npi") == [("nested.json", "H", None, None, "1234567893"), ("wide.csv.gz", "Acme", "L1", "CA", None)]
     assert rows("tic_provider_groups", "group_id", "tin", "npis") == [("10", "123", "1234567893"), ("9", "123", "1234567893"), ("inline-1", "123", "1234567893")]
     assert rows("tic_rates", "billing_code", "negotiated_rate", "modifiers", "expiration_date", "provider_group_ids") == [("99213", 1.5, "25|59", "2026-01-05", "9|10|inline-1")]
+    assert rows("tic_file_metadata", "file_id", "reporting_entity_name", "network_name") == [("innet.json", "E", "Net A")]
+    faults = {(r.counter, r.key, r.n) for r in ingest.quality(parts, t["rejected_codes"]).collect() if r.counter == "skipped_prices"}
+    assert faults == {("skipped_prices", "billing_class", 1)}
     q = {(r.file_id, r.counter) for r in ingest.quality(parts, t["rejected_codes"]).withColumn("file_id", name).collect()}
     assert {("page.csv", "file_error"), ("tall.csv", "rejected_codes"), ("tall.csv", "read")} <= q
     counts = write_tables(t, str(tmp_path / "out"), "parquet", by_file=True)
