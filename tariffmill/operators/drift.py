@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,7 +34,6 @@ LEAST_WEIGHT, MOST_TOGETHER = 0.5, 0.1
 #: Weights of a sketch's parts: words, coming and going, standing apart, types; and of places between equal edges.
 WORDS, CHANGES, APART, TYPES, PLACE = 0.35, 0.3, 0.2, 0.15, 0.05
 
-EDGE = "file_id long, old_id string, new_id string, weight double"
 
 
 def words(name: str | None) -> list[str]:
@@ -101,25 +99,37 @@ def assign(weight: list[list[float]]) -> list[tuple[int, int]]:
     return [(p[j] - 1, j - 1) for j in range(1, m + 1) if p[j] and weight[p[j] - 1][j - 1] > 0]
 
 
-def match_file(edges: pd.DataFrame) -> pd.DataFrame:
-    """The best assignment over the weighted edges of one file, connected part by connected part."""
-    root: dict[tuple[str, str], tuple[str, str]] = {}
+def match_file(edges: list[tuple[str, str, float]]) -> list[tuple[str, str]]:
+    """(old, new) of the best assignment over the weighted edges (old, new, weight) of one file, connected part by connected part."""
+    root: dict[tuple[bool, str], tuple[bool, str]] = {}
 
-    def find(x: tuple[str, str]) -> tuple[str, str]:
+    def find(x: tuple[bool, str]) -> tuple[bool, str]:
         while root.setdefault(x, x) != x:
             root[x] = root[root[x]]
             x = root[x]
         return x
 
-    for o, n in zip(edges.old_id, edges.new_id):
-        root[find(("o", o))] = find(("n", n))
+    for o, n, _ in edges:
+        root[find((False, o))] = find((True, n))
+    by: dict[tuple[bool, str], dict[tuple[str, str], float]] = {}
+    for o, n, w in edges:
+        by.setdefault(find((False, o)), {})[o, n] = w
     out = []
-    for _, part in edges.groupby(np.array(["\0".join(find(("o", o))) for o in edges.old_id], dtype=object), sort=True):
-        old, new = sorted(part.old_id.unique()), sorted(part.new_id.unique())
-        at = {(o, n): w for o, n, w in zip(part.old_id, part.new_id, part.weight)}
-        grid = [[at.get((o, n), 0.0) for n in new] for o in old]
-        out += [(int(edges.file_id.iloc[0]), old[i], new[j], grid[i][j]) for i, j in assign(grid)]
-    return pd.DataFrame(out, columns=["file_id", "old_id", "new_id", "weight"])
+    for at in by.values():
+        if len(at) == 1:
+            out += list(at)
+            continue
+        old, new = sorted({o for o, _ in at}), sorted({n for _, n in at})
+        out += [(old[i], new[j]) for i, j in assign([[at.get((o, n), 0.0) for n in new] for o in old])]
+    return out
+
+
+def match_udf(edges: str):
+    @F.pandas_udf("array<struct<old_id:string,new_id:string>>")
+    def run(files: pd.Series) -> pd.Series:
+        return files.map(lambda es: match_file([(e["old_id"], e["new_id"], e["weight"]) for e in es]))
+
+    return run(edges)
 
 
 def previous_files(files: DataFrame, span: int = 1000) -> DataFrame:
@@ -160,8 +170,8 @@ def changes(mappings: DataFrame, files: DataFrame) -> DataFrame:
     lone_n = both.filter("o is null").select("file_id", "n")
     lone_o = both.filter("n is null").select("file_id", "o")
     edges = field_edges(cols, lone_n.filter("not n.wide"), lone_o.filter("not o.wide")).unionByName(payer_edges(lone_n.filter("n.wide"), lone_o.filter("o.wide")))
-    pairs = cut(edges.groupBy("file_id").applyInPandas(match_file, EDGE))
-    pairs = pairs.select("file_id", "old_id", "new_id")
+    by_file = edges.groupBy("file_id").agg(F.collect_list(F.struct("old_id", "new_id", "weight")).alias("edges"))  # unmatched columns of one file
+    pairs = cut(by_file.withColumn("pairs", match_udf("edges")).select("file_id", F.inline("pairs")))
     left_n = lone_n.withColumn("new_id", F.col("n.name")).join(pairs, ["file_id", "new_id"], "left").select("file_id", "n", "old_id")
     left_o = lone_o.withColumn("old_id", F.col("o.name"))
     matched = left_n.join(left_o, ["file_id", "old_id"], "full").select("file_id", "n", "o").unionByName(both.filter("n is not null and o is not null"))
