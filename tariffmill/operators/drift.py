@@ -229,7 +229,8 @@ def payer_edges(lone_n: DataFrame, lone_o: DataFrame) -> DataFrame:
 
 def sketches(cols: DataFrame, pairs: DataFrame, lone: DataFrame) -> DataFrame:
     """(unknown, known, score): what every name that was never recognized says for each field that ever went or came with it."""
-    told = cols.filter("field is not null and not wide")
+    cols = cut(cols.filter("not wide").select("file_id", "name", "field", "value_type"))  # payer columns, most of a wide file, are not read again
+    told = cols.filter("field is not null")
     went = lone.groupBy("unknown").agg(F.count_distinct("file_id").alias("changes"))
     both = pairs.filter("known is not null").groupBy("unknown", "known").agg(F.count_distinct("file_id").alias("c"))
     one = cols.join(went.select(F.col("unknown").alias("name")), "name", "left_semi").select("file_id", F.col("name").alias("unknown"), F.col("value_type").alias("t"))
@@ -237,7 +238,7 @@ def sketches(cols: DataFrame, pairs: DataFrame, lone: DataFrame) -> DataFrame:
     stands = one.groupBy("unknown").agg(F.count_distinct("file_id").alias("files"))
     together = one.join(fields, "file_id").groupBy("unknown", "known").agg(F.count_distinct("file_id").alias("m"))
     types = lambda df, key: df.filter("t is not null").groupBy(key, F.when(F.col("t") == "bigint", "double").otherwise(F.col("t")).alias("t")).agg(F.count("*").alias("n")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias(f"{key}_types"))
-    spelt = told.select("field", F.explode(F.array_distinct(F.concat(F.split("name", "[^a-z]+"), F.split("field", "[^a-z]+")))).alias("w")).filter("w <> ''").distinct()
+    spelt = told.select("field", "name").distinct().select("field", F.explode(F.array_distinct(F.concat(F.split("name", "[^a-z]+"), F.split("field", "[^a-z]+")))).alias("w")).filter("w <> ''").distinct()
     shared = spelt.groupBy("w").agg(F.count("*").alias("uses"))
     spelling = spelt.join(shared, "w").groupBy(F.col("field").alias("known")).agg(F.map_from_entries(F.collect_list(F.struct("w", "uses"))).alias("words"))
     x = both.join(went, "unknown").join(stands, "unknown").join(together, ["unknown", "known"], "left").filter(F.coalesce(F.col("m") / F.col("files"), F.lit(0.0)) <= MOST_TOGETHER)
