@@ -96,15 +96,48 @@ def modifier_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "charge_items").select("item_id", values.merge_modifier(F.col("modifiers"), F.lit("TC")).alias("modifiers"))
 
 
-@query(r"""
-SELECT item_id, CASE WHEN billing_class <> '' THEN billing_class WHEN starts_with(description, 'PR ') THEN 'professional' WHEN code_type = 'RC' THEN 'facility'
-  WHEN starts_with(description, 'HC ') THEN 'facility' END AS billing_class FROM charge_items
-WHERE NOT coalesce((code_type IS NULL OR code_type IN ('CPT', 'HCPCS')) AND regexp_full_match(code, 'A[0-9]{5}|A[0-9]{4}T'), false)""")
+A_CODE = "coalesce((code_type IS NULL OR code_type IN ('CPT', 'HCPCS')) AND regexp_full_match(code, 'A[0-9]{5}|A[0-9]{4}T'), false)"
+
+
+@query(rf"""
+SELECT item_id, CASE WHEN billing_class <> '' THEN billing_class WHEN {A_CODE} THEN 'facility' WHEN starts_with(description, 'PR ') THEN 'professional' WHEN code_type = 'RC' THEN 'facility'
+  WHEN starts_with(description, 'HC ') THEN 'facility' END AS billing_class, CASE WHEN billing_class = '' AND {A_CODE} THEN substr(code, 2) ELSE code END AS code FROM charge_items""")
 def billing_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "charge_items")
-    t = t.filter(~F.coalesce((F.col("code_type").isNull() | F.col("code_type").isin("CPT", "HCPCS")) & F.col("code").rlike("^(?:A[0-9]{5}|A[0-9]{4}T)$"), F.lit(False)))
     b = codes.billing_class(F.col("code"), F.col("code_type"), F.col("description"), F.col("billing_class"))
-    return t.select("item_id", b["billing_class"].alias("billing_class"))
+    return table(spark, sf_dir, "charge_items").select("item_id", b.alias("b")).select("item_id", "b.billing_class", "b.code")
+
+
+#: Codes and types as files give them, with the standard pair that each must become.
+CODE_CASES = [
+    ("HCPCS C1776", None, "C1776", "HCPCS"), ("320.0", "RC", "0320", "RC"), ("99213", "HCPCS", "99213", "CPT"), ("D0120", "CPT", "D0120", "CDT"), ("0237T", "HCPCS", "0237T", "CPT"),
+    ("12345-678-9", "NDC", "12345067809", "NDC"), ("A123", "NDC", "A123", "LOCAL"), ("XJ0591X", "CPT", "J0591", "HCPCS"), ("1622", "MS-DRG", "1622", "LOCAL"), ("99232", "RC", "99232", "CPT"),
+    ("SUP-12", "CPT", "SUP-12", "CDM"), ("12345678", "CPT", "12345678", "CDM"), ("250", "HCPCS", "0250", "RC"), ("TEST 1", None, "TEST 1", "LOCAL"), ("DRG100", None, "100", "MS-DRG"),
+    ("99213", "TYPE", "99213", "CPT"), ("001-1 Short Stay", "APR-DRG", "001-1", "APR-DRG"), ("48.4", "APR-DRG", "048-4", "APR-DRG"), ("0411", "APR-DRG", "041-1", "APR-DRG"),
+    ("48-3", "APR-DRG", "048-3", "APR-DRG"), ("48", "APR-DRG", "048", "APR-DRG"), ("139 Unspecified", "APR-DRG", "139", "APR-DRG"), (None, "cpt4", None, "CPT"),
+]
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join("NULL" if v is None else "'" + str(v).replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+
+
+@query(f"SELECT i::BIGINT AS i, code, code_type FROM (VALUES {_values([(i, c, t) for i, (_, _, c, t) in enumerate(CODE_CASES)])}) AS v(i, code, code_type)")
+def code_normalize_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """normalize() on written cases; the SQL states the results as literals."""
+    return codes.normalize(spark.createDataFrame([(i, c, t) for i, (c, t, _, _) in enumerate(CODE_CASES)], "i long, code string, code_type string"))
+
+
+PLAN_CASES = [
+    ("Commercial HMO", "Commercial", "HMO", "Commercial HMO"), ("NON-HMO", "Commercial", None, "Commercial"), ("medicaid x", "Medicaid", None, "Medi-Cal"), ("", "Other", None, "Other"), (None, "Other", None, "Other"),
+    ("Zed", "Other", None, "Zed"), ("MGMCR", "Medicare", None, "Medicare Advantage"), ("Corvelwc", "Workers Comp", None, "Workers Comp"), ("Molinamgdmcaid", "Medicaid", "Managed Care", "Medi-Cal Managed Care"),
+]
+
+
+@query(f"SELECT i::BIGINT AS i, plan_category, plan_network, plan_name FROM (VALUES {_values([(i, *r[1:]) for i, r in enumerate(PLAN_CASES)])}) AS v(i, plan_category, plan_network, plan_name)")
+def plan_class_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """plan_class() on written cases; the SQL states the results as literals."""
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(PLAN_CASES)], "i long, raw string")
+    return df.select("i", payers.plan_class(F.col("raw")).alias("p")).select("i", "p.*")
 
 
 # --- values ------------------------------------------------------------------------------------------------------
