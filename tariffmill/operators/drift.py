@@ -15,6 +15,8 @@ is learnt from all files:
 
 Pairs are formed of the unmatched columns of one file only. An assignment is solved per connected part of a file's edges.
 
+The column table over all files follows from the same matches: names that the matching takes for one column are one column.
+
 Defined results: a file without previous file reports nothing; repeated mapping rows count once; a null normalized name
 is derived from the header; a null type is no change; a hospital's file loaded twice is one file.
 """
@@ -159,7 +161,23 @@ def columns_of(mappings: DataFrame) -> DataFrame:
 
 def changes(mappings: DataFrame, files: DataFrame) -> DataFrame:
     """(file_id, change, old_header, new_header) of every file against its series' previous file."""
-    cols = cut(columns_of(mappings))  # read by every step below: without a cut each would plan it anew
+    matched = matches(cut(columns_of(mappings)), files)  # read by every step: without a cut each would plan it anew
+
+    def change(when, kind: str, old: bool, new: bool):
+        side = lambda c, there: (F.coalesce(F.col(f"{c}.source_header"), F.lit("")) if there else F.lit("")).alias({"o": "old_header", "n": "new_header"}[c])
+        return F.when(when, F.struct(F.lit(kind).alias("change"), side("o", old), side("n", new)))
+
+    rows = F.array_compact(F.array(
+        change(F.col("o").isNull(), "added", False, True),
+        change(F.col("n").isNull(), "removed", True, False),
+        change(F.col("n.name") != F.col("o.name"), "renamed", True, True),
+        change(F.col("n.value_type") != F.col("o.value_type"), "retyped", True, True),
+    ))
+    return matched.select("file_id", F.inline(rows))
+
+
+def matches(cols: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_id, n, o): the columns of every file beside those of its series' previous file, null where one side lacks it."""
     order = previous_files(files).filter("prev_id is not null").select("file_id", "prev_id")
     keep = ["file_id", "name", "ord", "source_header", "value_type", "field", "wide"]
     new = cols.join(order.select("file_id"), "file_id", "left_semi").select(keep)
@@ -174,19 +192,7 @@ def changes(mappings: DataFrame, files: DataFrame) -> DataFrame:
     pairs = cut(by_file.withColumn("pairs", match_udf("edges")).select("file_id", F.inline("pairs")))
     left_n = lone_n.withColumn("new_id", F.col("n.name")).join(pairs, ["file_id", "new_id"], "left").select("file_id", "n", "old_id")
     left_o = lone_o.withColumn("old_id", F.col("o.name"))
-    matched = left_n.join(left_o, ["file_id", "old_id"], "full").select("file_id", "n", "o").unionByName(both.filter("n is not null and o is not null"))
-
-    def change(when, kind: str, old: bool, new: bool):
-        side = lambda c, there: (F.coalesce(F.col(f"{c}.source_header"), F.lit("")) if there else F.lit("")).alias({"o": "old_header", "n": "new_header"}[c])
-        return F.when(when, F.struct(F.lit(kind).alias("change"), side("o", old), side("n", new)))
-
-    rows = F.array_compact(F.array(
-        change(F.col("o").isNull(), "added", False, True),
-        change(F.col("n").isNull(), "removed", True, False),
-        change(F.col("n.name") != F.col("o.name"), "renamed", True, True),
-        change(F.col("n.value_type") != F.col("o.value_type"), "retyped", True, True),
-    ))
-    return matched.select("file_id", F.inline(rows))
+    return left_n.join(left_o, ["file_id", "old_id"], "full").select("file_id", "n", "o").unionByName(both.filter("n is not null and o is not null"))
 
 
 def field_edges(cols: DataFrame, lone_n: DataFrame, lone_o: DataFrame) -> DataFrame:
@@ -267,16 +273,65 @@ def like_udf(a: str, b: str):
     return run(a, b)
 
 
-def unified(mappings: DataFrame) -> DataFrame:
+def unified(mappings: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """The consistent column table: one row per column of the unified schema, with its headers, types and files.
 
-    A column is a canonical field, a payer column (folded header) or, for names never recognised, the name itself. The
-    type is the narrowest that holds all types seen (bigint within double, else string).
+    A column is a canonical field, a payer column (folded header) or, for names never recognised, the name itself; those that the
+    matching of the files' series takes for one column are one (see classes). Without files there is no series, and names alone
+    decide. The type is the narrowest that holds all types seen (bigint within double, else string).
     """
-    cols = columns_of(mappings)
-    kind = F.coalesce("field", "name")
+    cols = columns_of(mappings).withColumn("key", F.coalesce("field", "name"))
+    kind = F.col("key")
+    if files is not None:
+        cols = cut(cols)
+        cols = cols.join(classes(cols, matches(cols, files)), "key", "left")
+        kind = F.coalesce("label", "key")
     t = F.collect_set("value_type")
-    kinds = cols.groupBy(kind.alias("column_name")).agg(F.count("*").alias("files"), F.count_distinct("name").alias("names"), F.min("name").alias("first_name"), t.alias("types"))
+    kinds = cols.groupBy(kind.alias("column_name")).agg(F.count_distinct("file_id").alias("files"), F.count_distinct("name").alias("names"), F.min("name").alias("first_name"), t.alias("types"))
     best = F.when(F.size("types") == 0, F.lit("string")).when(F.size("types") == 1, F.element_at("types", 1))
     best = best.when(F.size(F.array_except("types", F.array(F.lit("double"), F.lit("bigint")))) == 0, F.lit("double")).otherwise(F.lit("string"))
     return kinds.withColumn("value_type", best).drop("types")
+
+
+def classes(cols: DataFrame, matched: DataFrame) -> DataFrame:
+    """(key, label) of the keys (fields, folded payer headers, names never recognised) that the matching joins with others.
+
+    Two keys are linked by the files that match a column of one with a column of the other, unless they stand side by side in more
+    than MOST_TOGETHER of the rarer one's files. A key linked to fields, or to keys that have one, takes the field of most files;
+    two fields never merge. What is linked to no field is named for its most frequent key. A key that still stands beside another
+    of its column in more than MOST_TOGETHER of its files is a column of its own.
+    """
+    keys = cut(cols.groupBy("key").agg(F.count_distinct("file_id").alias("files"), F.max(F.col("field").isNotNull() & ~F.col("wide")).alias("known")))
+    has = cols.select("file_id", "key").distinct()
+    key = lambda c: F.coalesce(f"{c}.field", f"{c}.name")
+    met = matched.filter("n is not null and o is not null").select("file_id", key("n").alias("x"), key("o").alias("y")).filter("x <> y")
+    met = met.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count_distinct("file_id").alias("n"))
+    side = lambda c: keys.select(F.col("key").alias(c), F.col("files").alias(f"{c}_files"), F.col("known").alias(f"{c}_known"))
+    links = met.join(side("x"), "x").join(side("y"), "y").filter("not (x_known and y_known)")
+    first = F.col("x_files") <= F.col("y_files")
+    links = cut(links.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("rare"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("other"), F.least("x_files", "y_files").alias("fewer"), "n"))
+    beside = links.join(has.withColumnRenamed("key", "rare"), "rare").join(has.withColumnRenamed("key", "other"), ["file_id", "other"], "left_semi").groupBy("rare", "other").agg(F.count("*").alias("m"))
+    links = links.join(beside, ["rare", "other"], "left").filter(F.coalesce("m", F.lit(0)) <= MOST_TOGETHER * F.col("fewer"))
+    ends = cut(links.select(F.inline(F.array(F.struct(F.col("rare").alias("key"), F.col("other").alias("near"), "n"), F.struct(F.col("other").alias("key"), F.col("rare").alias("near"), "n")))))
+
+    named = cut(keys.filter("known").join(ends, "key", "left_semi").select("key", F.col("key").alias("label")))
+    while True:  # every round names the keys next to named ones
+        votes = ends.join(named.select(F.col("key").alias("near"), "label"), "near").join(named, "key", "left_anti").groupBy("key", "label").agg(F.sum("n").alias("n"))
+        more = cut(votes.groupBy("key").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("label")))
+        if more.isEmpty():
+            break
+        named = cut(named.unionByName(more))
+
+    rest = cut(ends.join(named, "key", "left_anti").select("key", "near"))
+    best = cut(rest.select("key").distinct().join(keys, "key").select("key", F.struct((-F.col("files")).alias("less"), F.col("key").alias("label")).alias("best")))
+    while True:  # until no key has a neighbour with a better label
+        near = rest.join(best.select(F.col("key").alias("near"), F.col("best").alias("b")), "near").groupBy("key").agg(F.min("b").alias("b"))
+        best = cut(best.join(near, "key").select("key", F.least("best", "b").alias("best"), (F.col("b") < F.col("best")).alias("better")))
+        if best.filter("better").isEmpty():
+            break
+    labels = cut(named.unionByName(best.select("key", "best.label")))
+
+    own = F.struct("known", "files", "key")
+    at = has.join(labels.join(keys, "key"), "key").withColumn("top", F.max(own).over(Window.partitionBy("file_id", "label")))
+    leave = at.groupBy("key").agg(F.avg((F.col("top.key") != F.col("key")).cast("double")).alias("share")).filter(F.col("share") > MOST_TOGETHER)
+    return labels.join(leave, "key", "left").select("key", F.when(F.col("share").isNull(), F.col("label")).otherwise(F.col("key")).alias("label"))

@@ -28,7 +28,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.unified(table(spark, sf_dir, "header_mappings"))
+    files = table(spark, sf_dir, "file_metadata").select("file_id", "hospital_id", "file_seq")
+    return drift.unified(table(spark, sf_dir, "header_mappings"), files)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,3 +82,22 @@ def test_sketches_learn_a_field_without_words(spark):
         rows += [(f, 1, "min" if not low else "low", "minimum" if not low else "low_x", "min_negotiated_rate" if not low else None, "double"), (f, 2, "max", "maximum", "max_negotiated_rate", "double"), (f, 3, "note", "dept" if f % 3 else "dept_b", None, "string")]
     got = {(r.old_header, r.new_header) for r in D.changes(spark.createDataFrame(mapping(rows), MAP), spark.createDataFrame(files, FILES)).collect() if r.change == "renamed"}
     assert ("min", "low") in got
+
+
+def test_unified_follows_the_matching(spark):
+    """A name never recognized is the column that it was renamed from, also by way of another such name; a misspelt payer is the payer;
+    columns that stand side by side stay apart."""
+    paid = "standard_charge|{}|PPO|negotiated_dollar"
+    rows, files = [], []
+    for f in range(60):
+        s, k = divmod(f, 3)
+        files.append((f, s, k))
+        first = [("gross", "gross_charge", "gross_charge"), ("grs_chg", "grs_chg", None), ("chg_grs", "chg_grs", None)][k if s % 2 else 0]
+        rows += [(f, 1, *first, "double"), (f, 2, "qty", "qty", None, "bigint"), (f, 3, "dept", "dept_name", None, "string")]
+        rows.append((f, 4, h := paid.format("Aetna" if k < 2 else "Aetnah"), h.replace("|", "").lower(), "wide_payer:negotiated_rate", "double"))
+        rows += [(f, 5 + i, h := paid.format(f"Gold {i}"), h.replace("|", "").lower(), "wide_payer:negotiated_rate", "double") for i in ((1, 2) if s else (1 + k % 2,))]
+    got = {r.column_name: (r.files, r.names) for r in D.unified(spark.createDataFrame(mapping(rows), MAP), spark.createDataFrame(files, FILES)).collect()}
+    payer = lambda p: f"standardcharge|{p}|ppo|negotiateddollar"
+    assert got == {"gross_charge": (60, 3), "qty": (60, 1), "dept_name": (60, 1), payer("aetna"): (60, 2), payer("gold1"): (59, 1), payer("gold2"): (58, 1)}
+    apart = D.unified(spark.createDataFrame(mapping(rows), MAP), spark.createDataFrame([], FILES))
+    assert {r.column_name for r in apart.collect()} == {*got, "grs_chg", "chg_grs", payer("aetnah")}
