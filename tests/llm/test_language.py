@@ -65,6 +65,35 @@ def test_readings_need_no_list_of_short_forms(spark):
     assert {r.row_id: r.entry_id for r in canonical.assign(rows, "id", ["plan"], df, trade={}).collect()}[10] == 1  # a typo of a learnt form
 
 
+PLANS = [(1, "plan", "Exchange Gold"), (2, "plan", "Preferred Gold"), (3, "plan", "Community PPO"), (4, "plan", "Commercial PPO"), (5, "plan", "Medicare Supplement"), (6, "plan", "Medicaid Managed Care"), (7, "plan", "Veterans Community Care"), (8, "plan", "Medical Carve Out"), (9, "plan", "Comprehensive Major Medical")]
+MANY = {"co ma me": 9, "me me co ca ve": 7, "me ma ca me": 6, "ve co ca ma": 7, "zz me co ca ma": 0, "me " * 40: 5}
+
+
+def test_values_of_many_readings(monkeypatch):
+    """Every way of reading a value counts, however many there are."""
+    lists = canonical.Lists(PLANS, {})
+    rnd = random.Random(3)
+    values = [*MANY, *(" ".join(rnd.choice(["me", "ma", "co", "ca", "ve", "su", "gold", "ppo", "zz", "of"]) for _ in range(rnd.randint(2, 5))) for _ in range(150))]
+    got = [lists.nearest("plan", v) for v in values]
+    assert [e for e, _ in got[: len(MANY)]] == list(MANY.values())
+    monkeypatch.setattr(canonical, "READINGS", 0)
+    assert [lists.nearest("plan", v) for v in values] == got
+    monkeypatch.setattr(canonical, "READINGS", 10**9)  # all written out
+    assert [lists.nearest("plan", v) for v in values if len(v) < 40] == [g for v, g in zip(values, got) if len(v) < 40]
+
+
+def test_shards_read_by_the_whole_list(spark, monkeypatch):
+    """Gold names no single entry, Comm PPO the entry of the longer name: a shard alone cannot tell."""
+    ref = spark.createDataFrame(PLANS, "entry_id long, field_name string, canonical_value string")
+    rows = spark.createDataFrame(list(enumerate(["Gold", "Comm PPO", "Commecial PPO", "med supp", "x", *(v for v in MANY if len(v) < 40)])), "id long, plan string")
+    got = lambda: {r.value: r.entry_id for r in canonical.assign(rows, "id", ["plan"], ref).collect()}
+    want = got()
+    assert want["Gold"] == 0 and want["Comm PPO"] == 4
+    for size in (1, 4):
+        monkeypatch.setattr(canonical, "BROADCAST_ENTRIES", size)
+        assert got() == want
+
+
 # --- problem 3 -------------------------------------------------------------------------------------------------------
 
 
